@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, tokenfile
+from . import bpe, chunkdedup, decontam, simhash, tokenfile, vecjoin
 from .common import table
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op5_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digest(table(spark, sf_dir, "documents"))
 
@@ -22,8 +30,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op6_token_file, op7_simhash)}
+    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op9_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
