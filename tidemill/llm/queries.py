@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, decontam, simhash, tokenfile, vecjoin
+from . import bpe, chunkdedup, decontam, licenses, secretscan, simhash, tokenfile, urlfilter, vecjoin
 from .common import table
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,13 +34,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkdedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op9_substrings)}
+    return {f.__name__: f for f in (op2_secrets, op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op8_urls, op9_substrings, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_urls": urlfilter.judge_sql()}
