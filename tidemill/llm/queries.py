@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, decontam, licenses, secretscan, simhash, tokenfile, urlfilter, vecjoin
+from . import bpe, chunkdedup, decontam, licenses, secretscan, simhash, tokenfile, toxicity, urlfilter, vecjoin
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op8_urls, op9_substrings, op10_licences)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op8_urls, op9_substrings, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
