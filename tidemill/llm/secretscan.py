@@ -123,14 +123,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret in the text replaced by ``[SECRET]``; overlapping spans are one. Null texts stay null."""
-    names = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.col(text_col)
+    text = F.coalesce(own, F.lit(""))
     value = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 8
     base = F.concat(_spans(text, ASSIGN, 0, value, ASSIGN), _spans(text, ACCESS, 1, lambda x: F.length(x["m"]) >= 16, "AKIA[A-Z0-9]{12}"), _spans(text, "[0-9a-f]{32,}", 2, lambda x: F.length(x["m"]) >= 32, "[0-9a-f]{32}"))
-    work = docs.withColumn("__base", base)
-    work = work.withColumn("__spans", F.array_sort(F.concat("__base", _entropy_spans(text, F.col("__base")))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.when(x["e"] <= acc["at"], acc).otherwise(F.struct(x["e"].alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("[SECRET]"))).alias("out")))
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    work = work.withColumn(text_col, F.when(F.col(text_col).isNull() | (F.size("__spans") == 0), F.col(text_col)).otherwise(clean))
-    return work.select(*names)
+    cleaned = lambda spans: F.when(F.size(spans) == 0, own).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return docs.withColumn(text_col, _let(base, lambda b: _let(F.array_sort(F.concat(b, _entropy_spans(text, b))), cleaned)))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

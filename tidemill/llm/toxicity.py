@@ -27,10 +27,11 @@ from .common import slices
 #: The bound of the labelled sample, and those of the features that are counted and kept.
 TRAIN_ROWS, CANDIDATES, FEATURES = 50_000, 60_000, 5_000
 #: How many times as frequent in toxic documents a feature has to be.
-RATIO = 8.0
+RATIO = 20.0
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h"}
 SWAP_COST, WILD_COST, SINGLE_COST, DOUBLE_COST, KEEP_COST = 1.5, 3.0, 0.7, 0.7, 0.05
 SINGLY = re.compile(r"(?<![^\W_])[a-z0-9@$!|+*]([ ._-])[a-z0-9@$!|+*](?:\1[a-z0-9@$!|+*]){2,24}(?![^\W_])")
+SIGNS = "!#$%&*+@|~^=<>"
 EDGES = ".,;:?\"'()[]{}<>«»…-_/\\"
 LONGEST = 24
 
@@ -133,7 +134,7 @@ def token_sets(texts: list[str], restorer: Restorer) -> list[set[str]]:
     for text in texts:
         low = text.lower()
         words = {w.strip(EDGES) for w in low.split()}
-        more = set()
+        more = {w.strip(SIGNS + EDGES) for w in words if not w.isalpha()}
         for w in words:
             if not w.isalpha() and 3 <= len(w) <= LONGEST:
                 core = w.rstrip("!+*|")
@@ -275,6 +276,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``least``, with all their columns; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = held.value
+        restorer = Restorer(own.costs)
+        for batch in batches:
+            yield batch.filter(pa.array(own.scores([t or "" for t in batch.column(at).to_pylist()], restorer) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: fits the model and scores every row of ``docs``.
 
