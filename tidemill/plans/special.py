@@ -1,0 +1,325 @@
+"""Queries built with the library's functions and operators, each with its SQL twin where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as tx
+from ..operators import folds, retrieval
+from ..sources import stores
+from ..streaming import events as streams
+
+QUERY = "the erer that ingthe ed thore with re onthe"
+STOP = "['" + "','".join(tx.STOPWORDS) + "']"
+#: DuckDB's tokens of a text, as in ``functions.text.tokenize`` for ASCII.
+TOKENS = f"list_filter(flatten(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_./][a-z0-9]+)*'), lambda t: CASE WHEN regexp_matches(t, '[-_./]') THEN list_concat([t], regexp_split_to_array(t, '[-_./]')) ELSE [t] END)), lambda t: t <> '' AND NOT list_contains({STOP}, t))"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query_row(spark: SparkSession, sf_dir: str, vec_id: int = 3) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select(F.col("embedding").alias("q"))
+
+
+def tokenize_terms(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(tx.tokenize(F.col("text"))).alias("term"), "doc_id")
+    return words.groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("tf")).where("df >= 20")
+
+
+def _bm25(spark, sf_dir, msm):
+    scored = retrieval.bm25(table(spark, sf_dir, "documents"), QUERY, "doc_id", "text", msm)
+    return retrieval.top(scored, "doc_id", 10).select("doc_id", F.round("score", 6).alias("score"), "matched", "rank")
+
+
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir, 0.0)
+
+
+def bm25_msm(spark, sf_dir):
+    return _bm25(spark, sf_dir, 0.5)
+
+
+def bm25_sql(msm: float, k: int = 10, last: str | None = None) -> str:
+    terms = "['" + "','".join(retrieval.query_tokens(QUERY)) + "']"
+    tail = last or "SELECT doc_id, round(score, 6) AS score, matched, rank FROM best"
+    return f"""
+WITH q AS (SELECT unnest({terms}) AS term), t AS (SELECT doc_id, {TOKENS} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t),
+p AS (SELECT doc_id, len(ts) AS dl, term, len(list_filter(ts, lambda x: x = term)) AS tf FROM t, q), df AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM p GROUP BY term),
+s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, CAST(count(*) AS INT) AS matched FROM p JOIN df USING (term), st WHERE tf > 0 GROUP BY doc_id),
+best AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE matched >= greatest(1, ceil({msm} * len({terms}))) ORDER BY score DESC, doc_id LIMIT {k})
+{tail}"""
+
+
+def knn_topk(spark, sf_dir):
+    scored = retrieval.nearest(table(spark, sf_dir, "embeddings"), query_row(spark, sf_dir), "vec_id", "embedding")
+    return retrieval.top(scored, "vec_id", 10).select("vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+KNN = "SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings"
+KNN_SQL = f"SELECT vec_id, round(score, 5) AS score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM ({KNN}) ORDER BY score DESC, vec_id LIMIT 10"
+
+
+def rrf_fuse(spark, sf_dir):
+    out = retrieval.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, query_row(spark, sf_dir))
+    return out.select("doc_id", "keyword_rank", "vector_rank", F.round("score", 6).alias("score"))
+
+
+RRF_SQL = bm25_sql(0.3, 30, f""", v AS (SELECT vec_id AS doc_id, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS vr FROM ({KNN}) ORDER BY score DESC, vec_id LIMIT 30)
+SELECT doc_id, rank AS keyword_rank, vr AS vector_rank, round(coalesce(1.0 / (60 + rank), 0.0) + coalesce(1.0 / (60 + vr), 0.0), 6) AS score FROM best FULL JOIN v USING (doc_id)
+ORDER BY coalesce(1.0::DOUBLE / (60 + rank), 0.0) + coalesce(1.0::DOUBLE / (60 + vr), 0.0) DESC, coalesce(rank, 1000000 + vr) LIMIT 10""").replace("\n, v AS", ", v AS")
+
+
+def cache_match(spark, sf_dir):
+    """The best partner, within the label, of every vector whose id is divisible by 20."""
+    v = table(spark, sf_dir, "embeddings")
+    a = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    pairs = v.join(a, "label").where("vec_id <> query_id").select("query_id", "vec_id", tx.cosine(F.col("embedding"), F.col("q")).alias("sim"))
+    best = pairs.groupBy("query_id").agg(F.max(F.struct(F.round("sim", 6).alias("sim"), (-F.col("vec_id")).alias("neg"))).alias("b"))
+    return best.select("query_id", (-F.col("b.neg")).alias("vec_id"), F.col("b.sim").alias("sim"), (F.col("b.sim") >= 0.8).alias("hit"))
+
+
+CACHE_SQL = """SELECT query_id, vec_id, sim, sim >= 0.8 AS hit FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rn
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rn = 1"""
+
+
+def threshold_sweep(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    b = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("l2"), F.col("embedding").alias("e2"))
+    pairs = v.join(b, "vec_id").select((F.col("label") == F.col("l2")).alias("hit"), F.round(tx.cosine(F.col("embedding"), F.col("e2")), 6).alias("sim"))
+    steps = spark.range(50, 100).select((F.col("id") / 100).alias("threshold"))
+    # 50 thresholds: the pairs are counted once into steps, and the counts summed up
+    counted = pairs.groupBy(F.floor(F.col("sim") * 100).alias("step")).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
+    total = pairs.agg(F.count_if("hit").alias("hits"))
+    at = F.broadcast(steps).join(counted, F.col("step") >= F.floor(F.col("threshold") * 100 + 0.5), "left").groupBy("threshold").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"), F.coalesce(F.sum("fp"), F.lit(0)).alias("fp"))
+    return at.crossJoin(F.broadcast(total)).select("threshold", "tp", "fp", F.round(F.try_divide("tp", "hits"), 6).alias("recall"))
+
+
+SWEEP_SQL = """WITH p AS (SELECT a.label = b.label AS hit, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+t AS (SELECT i / 100.0::DOUBLE AS threshold, i FROM range(50, 100) r(i))
+SELECT threshold, count(*) FILTER (WHERE hit AND floor(sim * 100) >= i) AS tp, count(*) FILTER (WHERE NOT hit AND floor(sim * 100) >= i) AS fp,
+  round(count(*) FILTER (WHERE hit AND floor(sim * 100) >= i) / nullif(count(*) FILTER (WHERE hit), 0)::DOUBLE, 6) AS recall FROM t, p GROUP BY threshold"""
+
+
+def sensitive_findings(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.sensitive_findings(F.col("text"))).alias("f")).where("f.id = 'email' or f.id = 'password_assignment'")
+    return found.select("doc_id", F.col("f.id").alias("rule"), F.col("f.kind").alias("kind"), F.col("f.n").cast("long").alias("n"))
+
+
+PASSWORD = r"(?i)(\b(password|passwd|pwd)|密码)\s*[:=：]\s*\S{4,}"
+SENSITIVE_SQL = f"""SELECT * FROM (SELECT doc_id, 'email' AS rule, 'pii' AS kind, len(regexp_extract_all(text, '{EMAIL}')) AS n FROM documents
+ UNION ALL SELECT doc_id, 'password_assignment', 'secret', len(regexp_extract_all(text, '{PASSWORD}')) FROM documents) WHERE n > 0"""
+
+
+def redacted(spark, sf_dir):
+    text = F.col("text")
+    for _, _, pattern, new in (tx.SENSITIVE[2], tx.SENSITIVE[5]):
+        text = F.regexp_replace(text, pattern, new)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+REDACT_SQL = f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{PASSWORD}', '[REDACTED_PASSWORD]', 'g'), '{EMAIL}', '[REDACTED_EMAIL]', 'g')) AS digest FROM documents"
+
+
+def language_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.reply_language(F.col("text")).alias("reply"))
+
+
+LANGUAGE_SQL = r"""SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_-]*([0-9_-][A-Za-z]|[A-Za-z][0-9_-])[A-Za-z0-9_-]*', ' ', 'g'), '[A-Za-z]+'),
+  lambda w: length(w) > 1 AND w <> upper(w))) > len(regexp_extract_all(text, '\p{Han}')) THEN 'en' ELSE 'zh' END AS reply FROM documents"""
+
+
+def difficulty_score(spark, sf_dir):
+    d = tx.difficulty(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", d.alias("d"))
+    return rows.select("conv_id", "turn", "d.score", "d.level", F.array_join("d.signals", ",").alias("signals"))
+
+
+def injection_flags(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("role", tx.injection_rule(F.col("text")).alias("rule")).groupBy("role", "rule").agg(F.count("*").alias("n"))
+
+
+def key_terms(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tx.key_terms(F.col("text")), " ").alias("terms"))
+
+
+def chunk_pack(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tx.pack_chunks(F.col("text"))).alias("i", "chunk"))
+    return rows.select("item_id", F.col("i"), F.length("chunk").alias("size"), F.sha1(F.col("chunk").cast("binary")).alias("hash"))
+
+
+CHUNK_SQL = r"""WITH RECURSIVE u AS (SELECT item_id, list_filter(flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''),
+    lambda l: list_transform(string_split_regex(regexp_replace(l, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)))), lambda s: s <> '') AS units FROM benchmark),
+ f AS (SELECT item_id, units, 1 AS k, 0 AS i, '' AS cur, NULL::VARCHAR AS done FROM u
+   UNION ALL SELECT item_id, units, k + 1, CASE WHEN cur <> '' AND length(cur) + 1 + length(units[k]) > 180 THEN i + 1 ELSE i END,
+     CASE WHEN cur = '' OR length(cur) + 1 + length(units[k]) > 180 THEN units[k] ELSE cur || chr(10) || units[k] END,
+     CASE WHEN cur <> '' AND length(cur) + 1 + length(units[k]) > 180 THEN cur END FROM f WHERE k <= len(units))
+SELECT item_id, CAST(i AS INT) AS i, CAST(length(c) AS INT) AS size, sha1(c) AS hash FROM (SELECT item_id, i - 1 AS i, done AS c FROM f WHERE done IS NOT NULL
+  UNION ALL SELECT item_id, i, cur FROM f WHERE k = len(units) + 1 AND cur <> '')"""
+
+
+def sanitized(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.sanitize(F.col("text")).cast("binary")).alias("digest"))
+
+
+def previews(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text"), 80).alias("preview"), tx.title_from_body(F.col("text")).alias("title"))
+
+
+PREVIEW_SQL = """SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '… (+' || (length(text) - 80) || ')' ELSE text END AS preview,
+  substr(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1], ''), 1, 24) AS title FROM documents"""
+
+
+def html_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.strip_html(F.col("html")).cast("binary")).alias("digest"))
+
+
+HTML_SQL = r"SELECT page_id, md5(substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')), 1, 280)) AS digest FROM pages"
+
+
+def exact_keys(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("|", "role", "text"), 256).alias("exact_key"), F.concat_ws("|", "role", F.lit("v1")).alias("partition_key"))
+
+
+def mention_groups(spark, sf_dir):
+    low = F.lower("text")
+    groups = [("license", "licence"), ("password", "token"), ("the", "les")]
+    hits = F.aggregate(F.array(*[F.when(F.exists(F.array(*map(F.lit, g)), lambda w: F.contains(low, w)), 1).otherwise(0) for g in groups]), F.lit(0), lambda a, x: a + x)
+    return table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"), F.round(hits / 3, 6).alias("recall"))
+
+
+MENTION_SQL = """SELECT doc_id, h AS hits, round(h / 3.0::DOUBLE, 6) AS recall FROM (SELECT doc_id, (CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'licence') THEN 1 ELSE 0 END
+ + CASE WHEN contains(lower(text), 'password') OR contains(lower(text), 'token') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'les') THEN 1 ELSE 0 END) AS h FROM documents)"""
+
+
+def json_prop_histogram(spark, sf_dir):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, sf_dir, "events").groupBy(k.alias("k"), "event_type").agg(F.count("*").alias("n"))
+
+
+def json_validate(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.regexp_replace("props", "[}]", "")).otherwise(F.col("props")).alias("p"))
+    return rows.select("event_id", F.try_parse_json("p").isNotNull().alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+def trace_tree(spark, sf_dir):
+    return spark.sql(TRACE_SQL.replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}"), nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
+
+
+TRACE_SQL = """WITH RECURSIVE span AS (SELECT concat('r', CAST(r_regionkey AS STRING)) AS id, CAST(NULL AS STRING) AS parent, r_name AS name FROM region
+  UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), n_name FROM nation
+  UNION ALL SELECT concat('o', CAST(n_nationkey AS STRING)), 'gone', n_name FROM nation WHERE n_nationkey < 3),
+ rooted AS (SELECT s.id, s.name, p.id AS parent FROM span s LEFT JOIN span p ON s.parent = p.id),
+ walk AS (SELECT id, name, 0 AS depth, CAST(name AS STRING) AS path FROM rooted WHERE parent IS NULL
+  UNION ALL SELECT r.id, r.name, w.depth + 1, concat(w.path, '/', r.name) FROM rooted r JOIN walk w ON r.parent = w.id)
+ SELECT id, name, depth, path, row_number() OVER (ORDER BY path, id) AS pos FROM walk"""
+
+
+def grounding_check(spark, sf_dir):
+    rows = [(1, "Batch B-240909-01 fell by 7.4 % at T-ETCH-07, ETCH-RF-DRIFT", "B-240909-01 T-ETCH-07 ETCH-RF-DRIFT 91.6 99"), (2, "B-111111-11 rose 31%", "B-240909-01 12 5"), (3, "100% checked, 9% lost", "2024-09-09 12"), (4, "20 % of 50", "10 50")]
+    df = spark.createDataFrame(rows, "id int, output string, evidence string")
+    return df.select("id", F.array_join(tx.ungrounded(F.col("output"), F.col("evidence")), ",").alias("ungrounded"))
+
+
+GROUNDING_SQL = "SELECT * FROM (VALUES (1, ''), (2, 'B-111111-11,31%'), (3, '9%'), (4, '')) AS t(id, ungrounded)"
+
+
+def zh_numeral(spark, sf_dir):
+    df = spark.createDataFrame([(x,) for x in ("三", "十", "十二", "二十", "二十五", "九十九", "零", "百", "十十")], "x string")
+    return df.select("x", tx.chinese_number(F.col("x")).alias("n"))
+
+
+ZH_SQL = "SELECT * FROM (VALUES ('三', 3), ('十', 10), ('十二', 12), ('二十', 20), ('二十五', 25), ('九十九', 99), ('零', NULL), ('百', NULL), ('十十', NULL)) AS t(x, n)"
+
+
+def kind_lookup(spark, sf_dir):
+    df = spark.sql("SELECT * FROM VALUES ('s1', map('duo', 30, 'coach', 90)), ('s2', map('duo', 25)), ('s3', map()) AS t(streamer, prices)")
+    kinds = F.array(*map(F.lit, ("duo", "coach", "review")))
+    return df.select("streamer", F.try_element_at("prices", F.lit("coach")).alias("price"), F.array_join(F.filter(kinds, lambda k: F.map_contains_key("prices", k)), ",").alias("offered"))
+
+
+KIND_SQL = "SELECT * FROM (VALUES ('s1', 90, 'duo,coach'), ('s2', NULL, 'duo'), ('s3', NULL, '')) AS t(streamer, price, offered)"
+
+
+def sections_split(spark, sf_dir):
+    body = "---\ntitle: Pump check\ntype: sop\ncodes: A-B, C-D\n---\nintro\n## Steps\nOpen. Close.\n## Empty\n\n## Notes\n- one\n- two\n"
+    df = spark.createDataFrame([(body,)], "b string")
+    rows = df.select(F.posexplode(tx.sections(F.col("b"))).alias("i", "s"), tx.front_matter(F.col("b")).alias("m"))
+    return rows.select("i", F.col("s.heading").alias("heading"), F.col("s.body").alias("body"), F.col("m")["title"].alias("title"), F.array_join(tx.comma_list(F.col("m")["codes"]), "|").alias("codes"))
+
+
+SECTIONS_SQL = "SELECT * FROM (VALUES (0, 'Steps', 'Open. Close.', 'Pump check', 'A-B|C-D'), (1, 'Notes', '- one' || chr(10) || '- two', 'Pump check', 'A-B|C-D')) AS t(i, heading, body, title, codes)"
+
+
+def fingerprints(spark, sf_dir):
+    return stores.fingerprint(table(spark, sf_dir, "nation"))
+
+
+def rate_limit_sliding(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_millis("ts").alias("ms"), "event_id")
+    return folds.rate_limit(rows, "user_id", "ms", "event_id", 3, 3_600_000)
+
+
+def fsm_fold(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    action = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", "accept"), ("view", "start"), ("click", "complete"), ("purchase", "reject"), ("error", "cancel")) for x in p]), F.col("event_type"))
+    return folds.run_orders(e.select("user_id", "event_id", action.alias("action"), F.when(F.col("event_id") % 2 == 0, "viewer").otherwise("streamer").alias("actor")), "user_id", "event_id", "action", "actor")
+
+
+def event_windows(spark, sf_dir):
+    return streams.windowed(table(spark, sf_dir, "events"))
+
+
+WINDOW_SQL = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+def event_sessions(spark, sf_dir):
+    return streams.sessions(table(spark, sf_dir, "events"))
+
+
+SESSION_SQL = """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+ (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
+
+
+def sse_round_trip(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return stores.decode_events(stores.encode_events(rows), "event_id long, event_type string, value double")
+
+
+SPECIAL = {
+    "tokenize_terms": (tokenize_terms, f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 20"),
+    "bm25_topk": (bm25_topk, bm25_sql(0.0)),
+    "bm25_msm": (bm25_msm, bm25_sql(0.5)),
+    "knn_topk": (knn_topk, KNN_SQL),
+    "rrf_fuse": (rrf_fuse, RRF_SQL),
+    "cache_match": (cache_match, CACHE_SQL),
+    "threshold_sweep": (threshold_sweep, SWEEP_SQL),
+    "sensitive_findings": (sensitive_findings, SENSITIVE_SQL),
+    "redact": (redacted, REDACT_SQL),
+    "language_id": (language_id, LANGUAGE_SQL),
+    "difficulty_score": (difficulty_score, None),
+    "injection_flags": (injection_flags, "SELECT role, NULL::VARCHAR AS rule, count(*) AS n FROM conversations GROUP BY role"),
+    "key_terms": (key_terms, None),
+    "chunk_pack": (chunk_pack, CHUNK_SQL),
+    "sanitize": (sanitized, "SELECT doc_id, md5(regexp_replace(text, '[\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{feff}\\x{ad}]', '', 'g')) AS digest FROM documents"),
+    "preview": (previews, PREVIEW_SQL),
+    "html_strip": (html_strip, HTML_SQL),
+    "exact_key": (exact_keys, "SELECT conv_id, turn, sha256(role || '|' || text) AS exact_key, role || '|v1' AS partition_key FROM conversations"),
+    "mention_groups": (mention_groups, MENTION_SQL),
+    "json_prop_histogram": (json_prop_histogram, "SELECT CAST(json_extract(props, '$.k') AS INT) AS k, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "json_validate": (json_validate, "SELECT valid, count(*) AS n FROM (SELECT json_valid(CASE WHEN event_id % 5 = 0 THEN replace(props, '}', '') ELSE props END) AS valid FROM events) GROUP BY valid"),
+    "trace_tree": (trace_tree, TRACE_SQL),
+    "grounding_check": (grounding_check, GROUNDING_SQL),
+    "zh_numeral": (zh_numeral, ZH_SQL),
+    "kind_lookup": (kind_lookup, KIND_SQL),
+    "section_split": (sections_split, SECTIONS_SQL),
+    "fingerprint": (fingerprints, None),
+    "rate_limit_sliding": (rate_limit_sliding, None),
+    "fsm_fold": (fsm_fold, None),
+    "event_windows": (event_windows, WINDOW_SQL),
+    "event_sessions": (event_sessions, SESSION_SQL),
+    "sse_round_trip": (sse_round_trip, "SELECT event_id, event_type, value FROM events"),
+}
