@@ -30,7 +30,7 @@ WORDS, SIMILARITY = 5, 0.8
 RADIUS, SHARES = 16, (4, 3, 3, 3)
 #: Items and characters of items in one pass.
 PASS_ITEMS, PASS_CHARS = 5_000, 8_000_000
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 800_000
 LONGEST = 255
 ONES = np.uint64(0x0101010101010101)
 HIGH = np.uint64(0x8080808080808080)
@@ -132,8 +132,6 @@ class Index:
         low, high = at[text], at[text + 1]
         start = np.minimum(np.maximum(start, low), np.maximum(high - size, low))
         length = np.minimum(size, high - start)
-        pairs = np.unique(np.stack([start, length, text]), axis=1)
-        start, length, text = pairs
         needed = math.ceil(similarity * 2 * size / (1 + similarity) * 0.5)
         # a window shares no more shingles with the item than it has shingles of the item
         for a in range(0, len(start), 4096):
@@ -168,6 +166,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns. Nulls as in ``contaminated``; no shuffle."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(1, math.ceil(count / PASS_ITEMS), math.ceil(chars / PASS_CHARS))
+    at = docs.columns.index(text_col)
+    for k in range(passes):
+        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
+        docs = docs.mapInArrow(_cleaner(part, similarity, at), docs.schema)
+    return docs
+
+
+def _cleaner(part, similarity, at):
+    def run(batches):
+        index = Index(part)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep = np.ones(len(texts), bool)
+            for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
+                keep[[a + m[0] for m in index.matches(texts[a:b], similarity)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _searcher(part, similarity):
     def run(batches):
         index = Index(part)
