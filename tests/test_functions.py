@@ -102,7 +102,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = streams.fold_runs(stream).writeStream.format("memory").queryName("folded").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    key = lambda r: (r.user_id, r.n, r.started, r.ended, r.errors)
+    key = lambda r: (r.user_id, r.n, str(r.started), str(r.ended), r.errors)
     assert sorted(map(key, spark.table("folded").collect())) == sorted(map(key, streams.fold_runs(source).collect()))
 
 

@@ -10,7 +10,7 @@ from ..functions import text as tx
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, title, type, codes, tools, updated, body of each ``.md`` file; unknown types are ``sop``."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     rows = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1).alias("doc_id"), F.col("value").alias("body"), tx.front_matter(F.col("value")).alias("m"))
     at = lambda k: F.try_element_at("m", F.lit(k))
     kind = F.when(at("type").isin("runbook", "sop", "incident", "spec"), at("type")).otherwise("sop")

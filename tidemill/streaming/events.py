@@ -7,19 +7,26 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """With a watermark if the rows are a stream; times without a zone are taken as the session's."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def fold_runs(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """One row per user, kept up to date: counts, first and last time, first click, errors. Works on batches alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = timed(events, late)
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.min(F.when(F.col("event_type") == "click", F.col("ts"))).alias("first_click"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
 
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = timed(events, late)
     return rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = timed(events, late)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
