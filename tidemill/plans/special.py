@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import folds, retrieval
+from ..operators import folds, market, retrieval, rules, runlog
 from ..sources import stores
 from ..streaming import events as streams
 
@@ -323,3 +323,114 @@ SPECIAL = {
     "event_sessions": (event_sessions, SESSION_SQL),
     "sse_round_trip": (sse_round_trip, "SELECT event_id, event_type, value FROM events"),
 }
+
+
+def _runs(spark, sf_dir):
+    """A run log made of the events."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    status = F.when(F.col("event_type") == "error", "error").when(k % 17 == 0, "blocked").otherwise("ok")
+    return e.select(
+        k.alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("task_type"), status.alias("status"), (k % 9 == 0).alias("fell_back"), F.when(k % 4 > 0, k % 900).alias("ttft_ms"), (k % 5000).alias("total_ms"),
+        F.when(k % 3 > 0, k % 1000).alias("prompt_tokens"), (k % 77).alias("completion_tokens"), ((k % 10) / 100).alias("cost_usd"), ((k % 7) / 100).alias("saved_usd"), F.when(k % 11 == 0, k).alias("cache_entry_id"), (k % 300).alias("cache_saved_ms"),
+        F.when(k % 6 == 0, "complex").when(k % 6 < 4, "simple").alias("difficulty"), F.when(k % 5 == 0, "strong").otherwise("standard").alias("model_tier"), (k % 25 == 0).alias("escalated"),
+    )
+
+
+RUNS_SQL = """WITH runs AS (SELECT event_id AS k, ts, event_type AS task_type, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 17 = 0 THEN 'blocked' ELSE 'ok' END AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 500),
+r AS (SELECT *, status = 'ok' AND k % 11 <> 0 AS model, k % 3 > 0 AS used FROM runs) """
+STATS_SQL = RUNS_SQL + """SELECT count(*) AS runs, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'error') AS error, CAST(0 AS BIGINT) AS aborted, count(*) FILTER (WHERE status = 'blocked') AS blocked,
+ count(*) FILTER (WHERE k % 9 = 0) AS fell_back, count(*) FILTER (WHERE model) AS latency_count, quantile_disc(k % 900, 0.5) FILTER (WHERE model AND k % 4 > 0) AS ttft_p50, quantile_disc(k % 900, 0.95) FILTER (WHERE model AND k % 4 > 0) AS ttft_p95,
+ quantile_disc(k % 5000, 0.5) FILTER (WHERE model) AS total_p50, quantile_disc(k % 5000, 0.95) FILTER (WHERE model) AS total_p95, CAST(floor(avg(k % 1000 + k % 77) FILTER (WHERE used) + 0.5) AS BIGINT) AS avg_tokens,
+ round(sum((k % 10) / 100.0::DOUBLE) FILTER (WHERE used), 6) AS cost_usd, round(sum((k % 7) / 100.0::DOUBLE) FILTER (WHERE used), 6) AS saved_usd,
+ round(sum((k % 7) / 100.0::DOUBLE) FILTER (WHERE used) / sum((k % 7 + k % 10) / 100.0::DOUBLE) FILTER (WHERE used), 6) AS savings_rate, count(*) FILTER (WHERE k % 11 = 0) AS cache_hits,
+ round(count(*) FILTER (WHERE k % 11 = 0)::DOUBLE / count(*) FILTER (WHERE status = 'ok'), 6) AS hit_rate, CAST(sum(k % 300) FILTER (WHERE k % 11 = 0) AS BIGINT) AS cache_saved_ms, quantile_disc(k % 5000, 0.5) FILTER (WHERE k % 11 = 0) AS hit_p50,
+ count(*) FILTER (WHERE k % 6 < 4) AS assessed, count(*) FILTER (WHERE k % 6 = 0) AS complex, count(*) FILTER (WHERE k % 5 > 0) AS tier_standard, count(*) FILTER (WHERE k % 5 = 0) AS tier_strong, count(*) FILTER (WHERE k % 25 = 0) AS escalated,
+ count(*) FILTER (WHERE k % 25 = 0) AS escalation_kept FROM r"""
+
+
+def run_stats(spark, sf_dir):
+    out = runlog.run_stats(_runs(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("cost_usd", "saved_usd", "savings_rate", "hit_rate")})
+
+
+def runs_by_task(spark, sf_dir):
+    return runlog.by_task(_runs(spark, sf_dir)).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+BY_TASK_SQL = RUNS_SQL + """SELECT task_type, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors, CAST(floor(avg(k % 1000 + k % 77) FILTER (WHERE used) + 0.5) AS BIGINT) AS avg_tokens,
+ round(sum((k % 10) / 100.0::DOUBLE), 6) AS cost_usd FROM r GROUP BY task_type"""
+
+
+def trace_waterfall(spark, sf_dir):
+    rows = [("r", "root", None, 1000, 2000, None), ("r", "b", "root", 1500, 2000, 1600), ("r", "a", "root", 1100, 1200, None), ("r", "a1", "a", 1120, 1150, None), ("r", "orphan", "gone", 1900, None, None)]
+    spans = spark.createDataFrame(rows, "run_id string, span_id string, parent_id string, started_at long, ended_at long, first_token_at long")
+    return runlog.waterfall(spans).select("span_id", "depth", "pos", F.round("offset_pct", 4).alias("offset_pct"), F.round("width_pct", 4).alias("width_pct"), F.round("ttft_pct", 4).alias("ttft_pct"))
+
+
+WATERFALL_SQL = "SELECT * FROM (VALUES ('root', 0, 1, 0.0::DOUBLE, 100.0::DOUBLE, NULL::DOUBLE), ('a', 1, 2, 10.0, 10.0, NULL), ('a1', 2, 3, 12.0, 3.0, NULL), ('b', 1, 4, 50.0, 50.0, 20.0), ('orphan', 0, 5, 90.0, 0.0, NULL)) AS t(span_id, depth, pos, offset_pct, width_pct, ttft_pct)"
+
+
+def route_decision(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    task = F.when(F.col("turn") % 3 == 0, "analyze").when(F.col("turn") % 3 == 1, "chat").otherwise("tags")
+    strategy = F.when(F.col("conv_id") % 4 == 0, "only-local").when(F.col("conv_id") % 4 == 1, "only-cloud").otherwise("auto")
+    return c.select("conv_id", "turn", rules.route(task, strategy, F.length("text") * 20, F.col("conv_id") % 5 > 0, F.lit(True)).alias("route"))
+
+
+ROUTE_SQL = """SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'local' WHEN conv_id % 4 = 1 THEN CASE WHEN conv_id % 5 > 0 THEN 'cloud' ELSE 'local' END
+ WHEN turn % 3 = 0 THEN CASE WHEN conv_id % 5 > 0 THEN 'cloud' ELSE 'local' END WHEN conv_id % 5 > 0 AND length(text) * 20 >= 2000 THEN 'cloud' ELSE 'local' END AS route FROM conversations"""
+
+
+def error_classes(spark, sf_dir):
+    rows = [(429, "slow down"), (429, "quota exceeded"), (None, "Rate limit: tokens per minute"), (401, ""), (None, "invalid api key"), (404, ""), (None, "maximum context length"), (503, ""), (None, "odd"), (None, "Too many requests: tokens")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, status int, text string")
+    code = rules.error_code(F.col("status"), F.col("text"))
+    return df.select("i", code.alias("code"), rules.falls_back_to_local(code).alias("to_local"), rules.lowers_tier(code).alias("lower"))
+
+
+ERROR_SQL = "SELECT * FROM (VALUES (0, 'rate_limited', true, true), (1, 'quota_exhausted', true, true), (2, 'rate_limited', true, true), (3, 'auth', false, false), (4, 'auth', false, false), (5, 'model_unavailable', false, true), (6, 'context_too_long', false, false), (7, 'provider_unavailable', true, true), (8, 'unknown', false, false), (9, 'quota_exhausted', true, true)) AS t(i, code, to_local, lower)"
+
+
+def rerank_scores(spark, sf_dir):
+    df = spark.createDataFrame([(1, '```json\n{"scores": [{"id": "P2", "score": 3}, {"id": "[P1]", "score": 7}, {"id": "P9", "score": 3}]}\n```', 3), (2, "no json", 2), (3, '{"scores": [{"id": "p1", "score": 0.5}]}', 1)], "i int, raw string, n int")
+    return df.select("i", F.array_join(F.transform(rules.rerank_scores(F.col("raw"), F.col("n")), lambda x: x.cast("string")), ",").alias("scores"))
+
+
+def store_skip(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    reason = rules.store_skip_reason(F.when(F.col("event_type") == "error", "error").otherwise("ok"), F.floor("value").cast("int"), F.when(k % 13 == 0, "auth"), k % 7 == 0, F.when(k % 5 == 0, F.array(F.lit("input"), F.lit("output"))).otherwise(F.array(F.lit("input"))), (k % 3).cast("int"))
+    return e.select("event_id", reason.alias("reason"))
+
+
+SKIP_SQL = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'status error' WHEN floor(value) = 0 THEN 'status ok' WHEN event_id % 13 = 0 THEN 'provider error auth' WHEN event_id % 7 = 0 THEN 'sensitive input'
+ WHEN event_id % 5 = 0 THEN 'output guardrail hit' WHEN event_id % 3 > 0 THEN 'ungrounded references' END AS reason FROM events"""
+
+
+def hottest_kind(spark, sf_dir):
+    kinds = ("AIR", "click", "purchase", "view", "signup", "error")
+    return market.hottest(table(spark, sf_dir, "events"), "user_id", "event_type", kinds)
+
+
+HOTTEST_SQL = """SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, list_position(['AIR', 'click', 'purchase', 'view', 'signup', 'error'], event_type)) AS rn FROM
+ (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE rn = 1"""
+
+
+def order_reasons(spark, sf_dir):
+    rows = [(1, "duo", None, None, "chess", "x"), (2, "bad", None, None, "chess", "x"), (3, "seed", None, " ", "chess", "x"), (4, "duo", None, None, " ", "x"), (5, "duo", None, None, "chess", ""), (6, "duo", "gambling", None, "chess", "x"), (7, "seed", None, "s", "chess", "")]
+    df = spark.createDataFrame(rows, "i int, kind string, violation string, seed string, game string, details string")
+    return df.select("i", rules.order_reason(F.col("kind"), ("duo", "seed"), F.col("violation"), F.col("seed"), F.col("game"), F.col("details")).alias("reason"))
+
+
+REASON_SQL = "SELECT * FROM (VALUES (1, NULL), (2, 'kind_not_allowed'), (3, 'seed_required'), (4, 'game_required'), (5, 'details_required'), (6, 'gambling'), (7, NULL)) AS t(i, reason)"
+
+SPECIAL |= {
+    "run_stats": (run_stats, STATS_SQL),
+    "runs_by_task": (runs_by_task, BY_TASK_SQL),
+    "trace_waterfall": (trace_waterfall, WATERFALL_SQL),
+    "route_decision": (route_decision, ROUTE_SQL),
+    "error_classes": (error_classes, ERROR_SQL),
+    "rerank_scores": (rerank_scores, "SELECT * FROM (VALUES (1, '3,3,0'), (2, '0,0'), (3, '1')) AS t(i, scores)"),
+    "store_skip_reason": (store_skip, SKIP_SQL),
+    "hottest_kind": (hottest_kind, HOTTEST_SQL),
+    "order_reasons": (order_reasons, REASON_SQL),
+}
