@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as tx
+from ..functions import plans, text as tx
 from ..operators import folds, market, retrieval, rules, runlog
 from ..sources import stores
 from ..streaming import events as streams
@@ -434,3 +434,50 @@ SPECIAL |= {
     "hottest_kind": (hottest_kind, HOTTEST_SQL),
     "order_reasons": (order_reasons, REASON_SQL),
 }
+
+
+PLAN_JSON = '{"inScope": true, "summary": "Etch drifts.", "findings": [{"text": "Yield fell", "refs": ["B-1"]}], "causes": [{"text": "RF drift", "confidence": "high", "refs": []}], "actions": [{"text": "Clean", "priority": "P0", "owner": "process"}], "dataToConfirm": ["pressure"]}'
+PLANS = ((1, f"```json\n{PLAN_JSON}\n```"), (2, "{broken"), (3, PLAN_JSON.replace('"high"', '"certain"')), (4, '{"inScope": false, "summary": "No.", "findings": [], "causes": [], "actions": [], "dataToConfirm": []}'), (5, '{"inScope": true, "summary": "x", "findings": [], "causes": [], "actions": [], "dataToConfirm": []}'))
+
+
+def plan_markdown(spark, sf_dir):
+    df = spark.createDataFrame(PLANS, "i int, raw string").select("i", plans.parse_plan(F.col("raw")).alias("p"))
+    return df.select("i", F.col("p").isNotNull().alias("ok"), plans.render_plan(F.col("p")).alias("text"), F.array_join(plans.ungrounded_refs(F.col("p"), F.lit("A-1")), ",").alias("loose"))
+
+
+PLAN_TEXT = "'Etch drifts.\n\n## Findings\n- Yield fell (B-1)\n\n## Likely causes\n- [high] RF drift\n\n## Actions\n- P0 · Clean — process\n\n## Data to confirm\n- pressure'"
+PLAN_SQL = f"SELECT * FROM (VALUES (1, true, {PLAN_TEXT}, 'B-1'), (2, false, NULL, NULL), (3, false, NULL, NULL), (4, true, 'No.', ''), (5, false, NULL, NULL)) AS t(i, ok, text, loose)"
+
+
+def formats(spark, sf_dir):
+    df = spark.createDataFrame([(1, 0.0, 999), (2, 0.00005, 12345), (3, 0.0051, 2_500_000), (4, 0.25, 1000), (5, 12.5, None), (6, None, 0)], "i int, usd double, n long")
+    return df.select("i", plans.format_usd(F.col("usd")).alias("usd"), plans.format_tokens(F.col("n")).alias("tokens"))
+
+
+FORMATS_SQL = "SELECT * FROM (VALUES (1, '$0', '999'), (2, '<$0.0001', '12.3k'), (3, '$0.0051', '2.5M'), (4, '$0.250', '1,000'), (5, '$12.50', '—'), (6, '—', '0')) AS t(i, usd, tokens)"
+
+
+def embed_prompts(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    model, purpose = F.when(F.col("item_id") % 2 == 0, "embeddinggemma:300m").otherwise("other"), F.when(F.col("item_id") % 3 == 0, "document").when(F.col("item_id") % 3 == 1, "query").otherwise("similarity")
+    return b.select("item_id", F.md5(plans.embed_prompt(model, purpose, F.col("text"), F.when(F.col("item_id") % 5 == 0, "T")).cast("binary")).alias("digest"))
+
+
+PROMPT_SQL = """SELECT item_id, md5(CASE WHEN item_id % 2 > 0 THEN CASE WHEN item_id % 5 = 0 THEN 'T' || chr(10) || text ELSE text END WHEN item_id % 3 = 0 THEN 'title: ' || CASE WHEN item_id % 5 = 0 THEN 'T' ELSE 'none' END || ' | text: ' || text
+ WHEN item_id % 3 = 1 THEN 'task: search result | query: ' || text ELSE 'task: sentence similarity | query: ' || text END) AS digest FROM benchmark"""
+
+
+def compact_tables(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").orderBy("n_nationkey")
+    rows = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("rows"))
+    return rows.select("n_regionkey", plans.compact_table(F.col("rows"), ("n_nationkey", "n_name", "n_regionkey")).alias("text"))
+
+
+COMPACT_SQL = "SELECT n_regionkey, 'same for all rows: n_regionkey=' || n_regionkey || chr(10) || 'n_nationkey | n_name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey"
+
+SPECIAL |= {
+    "plan_markdown": (plan_markdown, PLAN_SQL),
+    "usd_format": (formats, FORMATS_SQL),
+    "embed_prompt": (embed_prompts, PROMPT_SQL),
+    "compact_table": (compact_tables, COMPACT_SQL),
+}
