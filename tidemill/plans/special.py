@@ -259,7 +259,7 @@ def fingerprints(spark, sf_dir):
 
 
 def rate_limit_sliding(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", F.unix_millis("ts").alias("ms"), "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
     return folds.rate_limit(rows, "user_id", "ms", "event_id", 3, 3_600_000)
 
 
