@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 CUES = frozenset(
-    "license licensed licence licenced licensing copyright copyrighted copyleft rights reserved warranty redistribution redistribute permission apache mit gnu gpl lgpl agpl mozilla mpl bsd isc cc cc0 creative commons unlicense eclipse epl domain spdx attribution sharealike noncommercial proprietary confidential".split()
+    "license licensed licence licenced licensing copyright copyrighted copyleft rights reserved warranty redistribution redistribute permission apache gnu gpl lgpl agpl mozilla mpl bsd isc cc cc0 creative commons unlicense eclipse epl domain spdx attribution sharealike noncommercial proprietary confidential".split()
 )
 UNKNOWN = "unknown"
 TEMPLATES = {
