@@ -86,5 +86,25 @@ def compact_table(rows: Column, columns: tuple[str, ...]) -> Column:
     return let(rows, text)
 
 
+# What makes a reply a claim about data, and how short a direct reply is.
+DATA_CLAIM = r"(?<![A-Za-z0-9_])B-\d{6}-\d{2}(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])T-[A-Z]+-\d+(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])[A-Z]{2,}(?:-[A-Z0-9]{2,})+(?![A-Za-z0-9_])|\d(?:\.\d+)?\s*%"
+DIRECT_CHARS = {"zh": 200, "en": 600}
+
+
+def missing_sections(text: Column, titles: tuple[str, ...], least: int = 200) -> Column:
+    """The titles that a text of at least ``least`` characters lacks, in any case."""
+    low = F.lower(text)
+    lacking = F.filter(F.array(*map(F.lit, titles)), lambda t: ~F.contains(low, F.lower(t)))
+    return F.when(F.length(strip(text)) >= least, lacking).otherwise(F.array().cast(EMPTY))
+
+
+def is_direct_reply(text: Column, language: Column, titles: tuple[str, ...]) -> Column:
+    """Short, without claims about data, and with fewer than two titles of a plan."""
+    most = F.when(language == "en", DIRECT_CHARS["en"]).otherwise(DIRECT_CHARS["zh"])
+    low = F.lower(text)
+    held = F.size(F.filter(F.array(*map(F.lit, titles)), lambda t: F.contains(low, F.lower(t))))
+    return (F.coalesce(F.length(text), F.lit(0)) > 0) & (F.length(text) < most) & ~text.rlike(DATA_CLAIM) & (held < 2)
+
+
 def _equal(first: Column, name: str):
     return lambda r: r[name].eqNullSafe(first[name])

@@ -44,14 +44,10 @@ def rate_limit(hits: DataFrame, key: str, ms: str, tie: str, limit: int = 20, wi
                 accepted.append(ok)
             yield pd.DataFrame({key: f[key], tie: f[tie], "accepted": accepted})
 
-    kinds = dict(df_types(hits))
+    kinds = dict(hits.dtypes)
     return ordered(hits.select(key, ms, tie), key, ms, tie).mapInPandas(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, accepted boolean")
 
 
-def df_types(df: DataFrame):
-    return df.dtypes
-
-
 def refunds(action: str, actor: str, status: str, funds: str) -> bool:
     if funds != "held" or status == "completed":
         return False

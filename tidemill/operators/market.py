@@ -17,6 +17,11 @@ def offered_kinds(prices: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, kinds)), lambda k: F.map_contains_key(prices, k))
 
 
+def offered_games(offers: Column, kinds: tuple[str, ...]) -> Column:
+    """Games of the offers that price at least one of ``kinds``."""
+    return F.transform(F.filter(offers, lambda o: F.size(offered_kinds(o["kindPrices"], kinds)) > 0), lambda o: o["game"])
+
+
 def visible_goods(goods: DataFrame, streamers: DataFrame, kinds: tuple[str, ...], banned: str | None = None) -> DataFrame:
     """Listed goods of a known kind whose streamer is there and whose words no rule bans."""
     rows = goods.where(F.col("listed") & F.col("kind").isin(*kinds))

@@ -481,3 +481,49 @@ SPECIAL |= {
     "embed_prompt": (embed_prompts, PROMPT_SQL),
     "compact_table": (compact_tables, COMPACT_SQL),
 }
+
+
+def section_check(spark, sf_dir):
+    titles = ("the", "and the", "is the")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(plans.missing_sections(F.col("text"), titles), ",").alias("missing"), plans.is_direct_reply(F.col("text"), tx.reply_language(F.col("text")), titles).alias("direct"))
+
+
+_HAS = {t: f"contains(lower(text), '{t}')" for t in ("the", "and the", "is the")}
+SECTION_SQL = (
+    "SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200 THEN array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT {h} THEN '{t}' END" for t, h in _HAS.items()) + "], lambda x: x IS NOT NULL), ',') ELSE '' END AS missing, "
+    "length(text) > 0 AND length(text) < CASE WHEN reply = 'en' THEN 600 ELSE 200 END AND NOT regexp_matches(text, '\\bB-\\d{6}-\\d{2}\\b|\\bT-[A-Z]+-\\d+\\b|\\b[A-Z]{2,}(?:-[A-Z0-9]{2,})+\\b|\\d(?:\\.\\d+)?\\s*%') AND "
+    + " + ".join(f"CASE WHEN {h} THEN 1 ELSE 0 END" for h in _HAS.values()) + f" < 2 AS direct FROM documents JOIN ({LANGUAGE_SQL}) USING (doc_id)"
+)
+
+
+def offer_games(spark, sf_dir):
+    df = spark.sql("SELECT * FROM VALUES ('s1', array(named_struct('game', 'chess', 'kindPrices', map('duo', 30)), named_struct('game', 'go', 'kindPrices', map('other', 1)))), ('s2', array(named_struct('game', 'chess', 'kindPrices', map('coach', 5)))) AS t(id, offers)")
+    return df.select("id", F.array_join(market.offered_games(F.col("offers"), ("duo", "coach")), ",").alias("games"))
+
+
+def featured_offer(spark, sf_dir):
+    df = spark.sql("SELECT * FROM VALUES (1, 's1', false, array(named_struct('game', 'chess', 'kindPrices', map('duo', 30)))), (2, 's2', true, array(named_struct('game', 'go', 'kindPrices', map('x', 1)), named_struct('game', 'chess', 'kindPrices', map('coach', 5, 'duo', 2)))) AS t(pos, id, live, offers)")
+    return market.featured(df, ("duo", "coach"))
+
+
+def collated_sort(spark, sf_dir):
+    """Names in Unicode order: a few rows, ranked by one window."""
+    return spark.sql("SELECT n_name, row_number() OVER (ORDER BY collate(n_name, 'UNICODE'), n_nationkey) AS pos FROM {n}", n=table(spark, sf_dir, "nation"))
+
+
+def finding_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.describe_findings(tx.sensitive_findings(F.col("text"), ("pii",))).alias("pii")).where("pii <> ''").select("doc_id", F.regexp_extract("pii", "email×[0-9]+", 0).alias("email")).where("email <> ''")
+
+
+def corpus_fingerprint(spark, sf_dir):
+    return stores.fingerprint(table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("hash")))
+
+
+SPECIAL |= {
+    "section_check": (section_check, SECTION_SQL),
+    "offer_games": (offer_games, "SELECT * FROM (VALUES ('s1', 'chess'), ('s2', 'chess')) AS t(id, games)"),
+    "featured_offer": (featured_offer, "SELECT 's2' AS id, 'chess' AS game, 'duo' AS kind"),
+    "collated_sort": (collated_sort, "SELECT n_name, row_number() OVER (ORDER BY n_name, n_nationkey) AS pos FROM nation"),
+    "finding_summary": (finding_summary, f"SELECT doc_id, 'email×' || n AS email FROM (SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS n FROM documents) WHERE n > 0"),
+    "corpus_fingerprint": (corpus_fingerprint, None),
+}
