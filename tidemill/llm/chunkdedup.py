@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import slices
 
-#: One boundary in 16 bytes on average; a chunk that finds none is cut after 128.
-MASK, LONGEST = np.uint16(0xF000), 128
+#: A boundary where the hash's upper byte is below this, one in 23 bytes on average; a chunk that finds none is cut after 128.
+BELOW, LONGEST = np.uint16(11), 128
 MIN_WORDS, RUN_WORDS = 50, 8
 BLOCK_BYTES = 1_000_000
 
@@ -37,7 +37,7 @@ def boundaries(data: np.ndarray) -> np.ndarray:
         shifted = np.zeros_like(h)
         shifted[k:] = h[:-k] << np.uint16(k)
         h = h + shifted
-    return (h & MASK) == 0
+    return (h >> np.uint16(8)) < BELOW
 
 
 def chunk_ends(data: np.ndarray) -> np.ndarray:
@@ -52,10 +52,10 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, place, first_word: the chunks of each text, in which any run of white space counts as one blank.
+    """doc_id, digest, place: the chunks of each text, in which any run of white space counts as one blank.
 
-    ``place`` packs the chunk's number and, in a byte each, the words that begin in it, in the one before and in the one
-    after. Null and empty texts, and rows without an id, have none.
+    ``place`` packs where the chunk begins, in UTF-8 bytes of that text, its length, and the words that begin in it, in the
+    one before and in the one after, in a byte each. Null and empty texts, and rows without an id, have none.
     """
     blank = np.arange(256, dtype=np.uint8)
     blank[[9, 10, 11, 12, 13]] = 32
@@ -78,10 +78,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 np.cumsum(word & ~np.concatenate(([False], word[:-1])), out=begins[1:])
                 words = (begins[ends] - begins[starts]).astype(np.int64)
                 n = len(ends)
-                place = np.arange(n) << 24 | words << 16
+                place = starts.astype(np.int64) << 32 | (ends - starts) << 24 | words << 16
                 place[1:] |= words[:-1] << 8
                 place[:-1] |= words[1:]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int64)), pa.array(hashes.view(np.int64)), pa.array(place), pa.array(begins[starts])], ["doc_id", "digest", "place", "first_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int64)), pa.array(hashes.view(np.int64)), pa.array(place)], ["doc_id", "digest", "place"])
 
     def batched(batches):
         """A batch of Arrow for many texts, not for each."""
@@ -96,27 +96,30 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(batched, "doc_id long, digest long, place long, first_word int")
+    return rows.mapInArrow(batched, "doc_id long, digest long, place long")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first_word, n_words, most_words, other_id: one row for each repeated passage of each document.
+    """doc_id, start, end, n_words, most_words, other_id: one row for each repeated passage of each document.
 
-    ``n_words`` and ``most_words`` bound the passage's length; ``other_id`` is a document that holds its first chunk too,
-    the least of them or, in that one, the greatest. Documents without repeated passages have no row. Rows that repeat a
-    doc_id count as one document, whose equal chunks at equal places are one; an empty table gives no rows; further columns are not carried.
+    ``start`` and ``end`` are places in the text as in ``chunks``; ``n_words`` and ``most_words`` bound
+    the passage's length; ``other_id`` is a document that holds its first chunk too, the least of them or, in that one,
+    the greatest. Documents without repeated passages have no row. Rows that repeat a doc_id count as one document, whose
+    equal chunks at equal places are one; an empty table gives no rows; further columns are not carried.
 
     Digests are counted by an aggregation that combines before the shuffle, so a very common chunk is a few rows; the
     join back to the chunks can be split by Spark where a digest is very common. Runs are found within each document.
     """
     all_chunks = chunks(docs, id_col, text_col)
     repeated = all_chunks.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    held = all_chunks.join(repeated, "digest").drop("digest").dropDuplicates(["doc_id", "place"])
+    other = F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low"))
+    held = all_chunks.join(repeated, "digest").select("doc_id", "place", other.alias("other_id"))
+    held = held.repartition("doc_id").dropDuplicates(["doc_id", "place"])  # one shuffle serves this and the windows
     by_doc = Window.partitionBy("doc_id").orderBy("place")
     byte = lambda at, k: F.shiftright(F.col(at), 8 * k).bitwiseAND(255)
-    runs = held.withColumn("run", F.shiftright("place", 24) - F.row_number().over(by_doc))
-    found = runs.groupBy("doc_id", "run").agg(F.min(F.struct("place", "first_word", "low", "high")).alias("a"), F.max("place").alias("z"), F.sum(byte("place", 2)).cast("int").alias("n_words"))
+    before = F.sum(byte("place", 3)).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = held.withColumn("run", F.shiftright("place", 32) - F.coalesce(before, F.lit(0)))  # the same for chunks that follow each other
+    found = runs.groupBy("doc_id", "run").agg(F.min(F.struct("place", "other_id")).alias("a"), F.max("place").alias("z"), F.sum(byte("place", 2)).cast("int").alias("n_words"))
     most = F.col("n_words") + byte("a.place", 1) + byte("z", 0)
-    other = F.when(F.col("a.low") == F.col("doc_id"), F.col("a.high")).otherwise(F.col("a.low"))
-    out = found.select("doc_id", F.col("a.first_word").alias("first_word"), "n_words", most.cast("int").alias("most_words"), other.alias("other_id"))
+    out = found.select("doc_id", F.shiftright("a.place", 32).alias("start"), (F.shiftright("z", 32) + byte("z", 3)).alias("end"), "n_words", most.cast("int").alias("most_words"), F.col("a.other_id").alias("other_id"))
     return out.where((F.col("n_words") >= run_words) & (F.col("most_words") >= min_words))
