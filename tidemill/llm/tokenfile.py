@@ -12,6 +12,7 @@ these, as byte-level BPE never merges across pieces (``pretoken``).
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 
 import numpy as np
@@ -44,6 +45,7 @@ class LibraryEncoder:
     """Encodes texts by a tokenizers file, without special tokens; keeps the ids of pieces it has seen."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -65,20 +67,19 @@ class LibraryEncoder:
         """Pieces that begin with a blank stay apart when joined, so one call takes many; the others go one by one."""
         seen = self.seen
         joined = [p for p in new if len(p) > 1 and p[0] == " " and not p.isspace()]
-        for a, b in slices([len(p) for p in joined], 20_000):
-            part = joined[a:b]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [joined[a:b] for a, b in slices(list(map(len, joined)), 20_000)]
+        # offsets are not needed, so the faster call does; its ids are the same
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             at = np.cumsum(self.width[ids])
-            ends = np.cumsum([len(p.encode("utf-8", "replace")) for p in part])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "replace")) for p in part])
             cuts = np.searchsorted(at, ends) + 1
             if cuts[-1] != len(ids) or not np.array_equal(at[cuts - 1], ends):
                 raise ValueError("a token reaches over a piece: this vocabulary is not a byte-level one")
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(part, (4 * cuts).tolist()):
-                seen[piece] = raw[start:end]
-                start = end
+            raw, stops = ids.tobytes(), (4 * cuts).tolist()
+            seen.update(zip(part, [raw[i:j] for i, j in zip([0, *stops], stops)]))
         rest = list(new.difference(joined))
-        for piece, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             seen[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -87,15 +88,17 @@ class LibraryEncoder:
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list[bytes] = []
         for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
-            split = pretoken.pieces(texts[a:b])
-            new = set().union(*split).difference(self.seen)
+            joined, bounds, index = pretoken.piece_bounds(texts[a:b])
+            at = bounds.tolist()
+            every = [joined[i:j] for i, j in zip(at, at[1:])]
+            new = set(every).difference(self.seen)
             if new:
                 if len(self.seen) + len(new) > CACHE_PIECES:
                     self.seen.clear()
-                    new = set().union(*split)
+                    new = set(every)
                 self.learn(new)
-            get = self.seen.__getitem__
-            out += [b"".join(map(get, x)) for x in split]
+            raw, cuts = list(map(self.seen.__getitem__, every)), index.tolist()
+            out += [b"".join(raw[i:j]) for i, j in zip(cuts, cuts[1:])]
         return out
 
 
