@@ -324,3 +324,24 @@ def test_pipeline(spark):
     values = list(fps.values())
     assert all((a ^ b).bit_count() > 3 for k, a in enumerate(values) for b in values[:k])
     assert len(ids["encoding"]) > 0.7 * len(text)
+
+
+def test_passages_of_any_place_and_length(spark):
+    """Of passages at the limit, in random surroundings, all are found from 50 words on, none below, and with their exact places."""
+    rng = np.random.default_rng(8)
+    make = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(1, 9))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(240):
+        n = (49, 50, 51, 55, 60, 80)[k % 6]
+        shared = make(n - 1).replace(" ", " " if k % 5 else "\n \t") + " end"
+        for i in (2 * k, 2 * k + 1):
+            before, after = make(int(rng.integers(0, 60))) + f" a{i}", f"b{i} " + make(int(rng.integers(0, 60)))
+            rows.append((i, f"{before} {shared}{'.' if i % 2 else ' -'} {after}"))
+            if n >= 50:
+                start = len(before) + 1
+                want[i] = (start, start + len(" ".join(shared.split())), n, n, i ^ 1)
+    # a passage that is shared with another document in each half, of which no whole is repeated
+    x = make(98).split()
+    rows += [(1000, " ".join(x)), (1001, " ".join(x[:49])), (1002, " ".join(x[49:]))]
+    got = {r.doc_id: tuple(r)[1:] for r in chunkdedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

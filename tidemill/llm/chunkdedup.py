@@ -1,125 +1,169 @@
-"""Substring dedup by content-defined chunks.
-
-A gear rolling hash over the last 16 bytes decides where a chunk ends, so the chunks of a passage are the same wherever
-it stands, and an insertion only changes those around it. A chunk is repeated if its digest occurs in two documents. A
-run of repeated chunks is a repeated passage; its true length lies between that of the run and that of the run with the
-chunk before and the chunk after it, into which the passage may reach. Passages that may have ``min_words`` words, and of
-which the run has ``run_words``, are returned.
+"""Substring dedup: every passage of ``min_words`` words or more that two documents share byte by byte.
+
+Words are runs of bytes without white space; a passage goes from the first letter or digit of its first word to the last
+one of its last word, so that signs around it do not matter. All hashes are of exact stretches of bytes, by differences
+of running sums. A window of ``min_words`` words is marked by the least hash of the grams of half its length inside it,
+which depends on nothing outside the window, so equal windows have equal marks. Windows that follow each other mostly
+share a mark and are one row. Where all rows of a mark in two documents are the same bytes, all their windows are
+repeated; where they differ, their windows are compared one by one. Repeated windows that follow each other are a
+passage, whose length is exact. Nothing is missed and, but for collisions of 64-bit hashes, nothing is added.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
-
-#: A boundary where the hash's upper byte is below this, one in 23 bytes on average; a chunk that finds none is cut after 128.
-BELOW, LONGEST = np.uint16(11), 128
-MIN_WORDS, RUN_WORDS = 50, 8
-BLOCK_BYTES = 1_000_000
-
-
-@functools.cache
-def gear() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 16, 256, dtype=np.uint16)
-
-
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Whether a chunk ends after each byte. h[i] = 2 h[i-1] + gear[byte i] in 16 bits, which hold the last 16 bytes; by doubling."""
-    h = gear()[data]
-    for k in (1, 2, 4, 8):
-        shifted = np.zeros_like(h)
-        shifted[k:] = h[:-k] << np.uint16(k)
-        h = h + shifted
-    return (h >> np.uint16(8)) < BELOW
-
-
-def chunk_ends(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one text; the last is its length."""
-    ends = np.flatnonzero(boundaries(data)) + 1
-    ends = np.union1d(ends, [len(data)]) if len(data) else ends
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    long = np.flatnonzero(ends - starts > LONGEST)
-    if long.size:
-        ends = np.union1d(ends, np.concatenate([np.arange(starts[i] + LONGEST, ends[i], LONGEST) for i in long]))
-    return ends
-
-
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, place: the chunks of each text, in which any run of white space counts as one blank.
-
-    ``place`` packs where the chunk begins, in UTF-8 bytes of that text, its length, and the words that begin in it, in the
-    one before and in the one after, in a byte each. Null and empty texts, and rows without an id, have none.
+from . import wordhash
+from .common import slices, spill_table
+
+MIN_WORDS = 50
+BLOCK_CHARS = 500_000
+#: A row ends after so many windows, or before a word of so many bytes; bounds the packed places only, never results.
+ROW_WINDOWS, ROW_STEP = 32, 1_000
+#: Power of two of the 64-bit slots of ``bits`` (16 MB); bounds what is broadcast, and only spares the join rows it would drop.
+SLOTS = 21
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values that follow each other, by doubling."""
+    held = 1
+    while held * 2 <= width:
+        values = np.minimum(values[:-held], values[held:])
+        held *= 2
+    extra = width - held
+    return np.minimum(values[:-extra], values[extra:]) if extra else values
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin, and where their first letter or digit is and their last one ends (the whole word, if it has none)."""
+    edge = np.flatnonzero(np.diff(data != 32, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    signs = np.flatnonzero(wordhash.word_bytes()[data])
+    a, z = np.searchsorted(signs, starts), np.searchsorted(signs, ends)
+    some = a < z
+    first, last = starts.copy(), ends.copy()
+    first[some], last[some] = signs[a[some]], signs[z[some] - 1] + 1
+    return starts, first, last
+
+
+def bits(marks: DataFrame) -> np.ndarray:
+    """A bit for each mark, by its lower bits; of bounded size, so marks that share a bit are not told apart."""
+    slot, bit = F.col("mark").bitwiseAND((1 << SLOTS) - 1).cast("int"), F.shiftright("mark", SLOTS).bitwiseAND(63).cast("int")
+    found = marks.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << SLOTS, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def among(held: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether ``bits`` has a bit for each mark."""
+    return (held[marks & np.uint64((1 << SLOTS) - 1)] >> (marks >> np.uint64(SLOTS) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def marked(docs: DataFrame, min_words: int = MIN_WORDS, wanted=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark, span: windows that follow each other and share a mark; ``span`` is the hash of all their bytes.
+
+    With ``wanted``, a broadcast pair of ``bits``, only rows whose mark may be in the first, as doc_id, mark, copy, word, n,
+    start, end, reach, hashes, steps: ``copy`` is a hash of the whole text, ``word`` the number of the first word, ``n``
+    the number of windows; the first window stands from ``start`` to ``end``, the last one ends at ``reach``, in UTF-8
+    bytes of the text in which any run of white space counts as one blank. Where the mark may be in the second, each
+    window has its hash in ``hashes`` and in ``steps`` how far it begins and ends after the first. Null texts, and rows
+    without an id, have none.
     """
+    gram = (min_words + 1) // 2
     blank = np.arange(256, dtype=np.uint8)
     blank[[9, 10, 11, 12, 13]] = 32
 
+    def block(ids, texts):
+        raw = []
+        for text in texts:
+            data = blank[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+            raw.append(data[np.concatenate(([True], (data[1:] != 32) | (data[:-1] != 32)))] if len(data) else data)
+        begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+        data = np.concatenate([x for r in raw for x in (r, blank[32:33])])
+        starts, first, last = _words(data)
+        n = len(starts) - min_words + 1
+        if n <= 0:
+            return None
+        powers, inverse = wordhash._powers(max(16, (len(data) + 1).bit_length()))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(wordhash.byte_values()[data] * powers[: len(data)], out=total[1:])
+        stretch = lambda a, z: wordhash.mix((total[z] - total[a]) * inverse[a])
+        text_of = np.searchsorted(begin, starts, side="right") - 1
+        mark = least(stretch(first[: len(first) - gram + 1], last[gram - 1 :]), min_words - gram + 1)
+        whole = text_of[:n] == text_of[min_words - 1 :]
+        a, z = first[:n], last[min_words - 1 :]
+        ahead = np.ones(n, bool)  # begins a row
+        ahead[1:] = (mark[1:] != mark[:-1]) | (text_of[1:n] != text_of[: n - 1]) | (np.diff(a) > ROW_STEP) | (np.diff(z) > ROW_STEP)
+        ahead = ahead[whole]
+        at = np.flatnonzero(whole)
+        if not len(at):
+            return None
+        head = np.flatnonzero(ahead)
+        since = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+        head = np.flatnonzero(since % ROW_WINDOWS == 0)
+        cuts = np.append(head, len(at))
+        i, j = at[head], at[cuts[1:] - 1]
+        ids = np.asarray(ids, np.int64)
+        if wanted is None:
+            return pa.RecordBatch.from_arrays([pa.array(ids[text_of[i]]), pa.array(mark[i].view(np.int64)), pa.array(stretch(a[i], z[j]).view(np.int64))], ["doc_id", "mark", "span"])
+        some, apart = wanted.value
+        keep = among(some, mark[i])
+        counts = np.diff(cuts)
+        at = at[np.repeat(keep, counts)]
+        i, j, counts = i[keep], j[keep], counts[keep]
+        each = among(apart, mark[i])
+        of, base = at[np.repeat(each, counts)], np.repeat(i[each], counts[each])
+        steps = (a[of] - a[base]) << 16 | (z[of] - z[base])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.where(each, counts, 0)))).astype(np.int32))
+        copies = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in raw], np.uint64).astype(np.uint32).view(np.int32)
+        doc = text_of[i]
+        places = (i - np.searchsorted(starts, begin)[doc], counts, a[i] - begin[doc], z[i] - begin[doc], z[j] - begin[doc])
+        columns = [pa.array(ids[doc]), pa.array(mark[i].view(np.int64)), pa.array(copies[doc]), *(pa.array(x.astype(np.int32)) for x in places)]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(stretch(a[of], z[of]).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(steps.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "copy", "word", "n", "start", "end", "reach", "hashes", "steps"])
+
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, text in zip(ids, batch.column(1).to_pylist()):
-                data = blank[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-                if not len(data):
-                    continue
-                data = data[np.concatenate(([True], (data[1:] != 32) | (data[:-1] != 32)))]
-                ends = chunk_ends(data)
-                raw = data.tobytes()
-                starts = np.concatenate(([0], ends[:-1]))
-                hashes = np.array([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
-                word = data != 32
-                begins = np.zeros(len(data) + 1, np.int32)
-                np.cumsum(word & ~np.concatenate(([False], word[:-1])), out=begins[1:])
-                words = (begins[ends] - begins[starts]).astype(np.int64)
-                n = len(ends)
-                place = starts.astype(np.int64) << 32 | (ends - starts) << 24 | words << 16
-                place[1:] |= words[:-1] << 8
-                place[:-1] |= words[1:]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int64)), pa.array(hashes.view(np.int64)), pa.array(place)], ["doc_id", "digest", "place"])
-
-    def batched(batches):
-        """A batch of Arrow for many texts, not for each."""
-        held, size = [], 0
-        for one in run(batches):
-            held.append(one)
-            size += one.num_rows
-            if size >= 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in slices(list(map(len, texts)), BLOCK_CHARS):
+                if (found := block(ids[a:b], texts[a:b])) is not None:
+                    yield found
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(batched, "doc_id long, digest long, place long")
+    more = "copy int, word int, n int, start int, end int, reach int, hashes array<long>, steps array<int>"
+    return rows.mapInArrow(run, "doc_id long, mark long, " + ("span long" if wanted is None else more))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, n_words, most_words, other_id: one row for each repeated passage of each document.
 
-    ``start`` and ``end`` are places in the text as in ``chunks``; ``n_words`` and ``most_words`` bound
-    the passage's length; ``other_id`` is a document that holds its first chunk too, the least of them or, in that one,
-    the greatest. Documents without repeated passages have no row. Rows that repeat a doc_id count as one document, whose
-    equal chunks at equal places are one; an empty table gives no rows; further columns are not carried.
+    ``start`` and ``end`` are places in the text as in ``marked``; ``n_words`` is the passage's length, and so is
+    ``most_words``; ``other_id`` is a document that holds its first ``min_words`` words too, the least of them or, in that
+    one, the greatest. Documents without repeated passages have no row. Rows that repeat a doc_id count as one document,
+    whose equal texts are one; an empty table gives no rows; further columns are not carried.
 
-    Digests are counted by an aggregation that combines before the shuffle, so a very common chunk is a few rows; the
-    join back to the chunks can be split by Spark where a digest is very common. Runs are found within each document.
+    Marks and windows are counted by aggregations that combine before the shuffle, so a very common one is a few rows;
+    the joins back can be split by Spark where one is very common. Passages are put together within each document.
     """
-    all_chunks = chunks(docs, id_col, text_col)
-    repeated = all_chunks.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    other = F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low"))
-    held = all_chunks.join(repeated, "digest").select("doc_id", "place", other.alias("other_id"))
-    held = held.repartition("doc_id").dropDuplicates(["doc_id", "place"])  # one shuffle serves this and the windows
-    by_doc = Window.partitionBy("doc_id").orderBy("place")
-    byte = lambda at, k: F.shiftright(F.col(at), 8 * k).bitwiseAND(255)
-    before = F.sum(byte("place", 3)).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = held.withColumn("run", F.shiftright("place", 32) - F.coalesce(before, F.lit(0)))  # the same for chunks that follow each other
-    found = runs.groupBy("doc_id", "run").agg(F.min(F.struct("place", "other_id")).alias("a"), F.max("place").alias("z"), F.sum(byte("place", 2)).cast("int").alias("n_words"))
-    most = F.col("n_words") + byte("a.place", 1) + byte("z", 0)
-    out = found.select("doc_id", F.shiftright("a.place", 32).alias("start"), (F.shiftright("z", 32) + byte("z", 3)).alias("end"), "n_words", most.cast("int").alias("most_words"), F.col("a.other_id").alias("other_id"))
-    return out.where((F.col("n_words") >= run_words) & (F.col("most_words") >= min_words))
+    low, high = F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    marks = marked(docs, min_words, None, id_col, text_col).groupBy("mark").agg(low, high, (F.min("span") == F.max("span")).alias("same")).where("low < high")
+    marks = spill_table(marks, "marks")
+    wanted = docs.sparkSession.sparkContext.broadcast((bits(marks), bits(marks.where("not same"))))
+    other = F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low")).alias("other_id")
+    shared = spill_table(marked(docs, min_words, wanted, id_col, text_col).join(marks, "mark").select("doc_id", "copy", "word", "n", "start", "end", "reach", "hashes", "steps", "same", other), "marked")
+    alike = shared.where("same").select("doc_id", "copy", "word", "n", "start", F.col("reach").alias("end"), "other_id")
+    every = shared.where("not same").select("doc_id", "copy", "word", "start", "end", F.posexplode(F.arrays_zip("hashes", "steps")).alias("k", "w"))
+    every = every.select("doc_id", "copy", (F.col("word") + F.col("k")).alias("word"), (F.col("start") + F.shiftright("w.steps", 16)).alias("start"), (F.col("end") + F.col("w.steps").bitwiseAND(0xFFFF)).alias("end"), F.col("w.hashes").alias("hash"))
+    repeated = every.groupBy("hash").agg(low, high).where("low < high")
+    single = every.join(repeated, "hash").select("doc_id", "copy", "word", F.lit(1).alias("n"), "start", "end", other)
+    held = alike.unionByName(single).repartition("doc_id").dropDuplicates(["doc_id", "copy", "word"])  # one shuffle serves this and the windows
+    before = F.sum("n").over(Window.partitionBy("doc_id", "copy").orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
+    runs = held.withColumn("run", F.col("word") - F.coalesce(before, F.lit(0)))  # the same for windows that follow each other
+    found = runs.groupBy("doc_id", "copy", "run").agg(F.min(F.struct("word", "start", "other_id")).alias("a"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    words = (F.col("n") + (min_words - 1)).cast("int")
+    return found.select("doc_id", F.col("a.start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), words.alias("n_words"), words.alias("most_words"), F.col("a.other_id").alias("other_id"))
