@@ -345,3 +345,30 @@ def test_passages_of_any_place_and_length(spark):
     rows += [(1000, " ".join(x)), (1001, " ".join(x[:49])), (1002, " ".join(x[49:]))]
     got = {r.doc_id: tuple(r)[1:] for r in chunkdedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_passages_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(7_000, "to be " * 300), (7_001, "be to " * 90), (7_002, "to be " * 200)]
+    core = re.compile(r"[a-zA-Z0-9\x80-\U0010ffff](?:\S*[a-zA-Z0-9\x80-\U0010ffff])?")
+    holders, windows = {}, {}
+    for d, t in rows:
+        words = re.split("[ \t\n\v\f\r]+", (t or "").strip(" \t\n\v\f\r"))
+        windows[d] = []
+        for i in range(len(words) - 49):
+            w = words[i : i + 50]
+            for at, cut in ((0, lambda m, x: x[m.start() :]), (-1, lambda m, x: x[: m.end()])):
+                if m := core.search(w[at]):
+                    w[at] = cut(m, w[at])
+            windows[d].append(" ".join(w))
+            holders.setdefault(windows[d][-1], set()).add(d)
+    want = Counter()
+    for d, own in windows.items():
+        n = 0
+        for w in [*own, None]:
+            if w is not None and len(holders[w]) > 1:
+                n += 1
+            elif n:
+                want[(d, n + 49)] += 1
+                n = 0
+    got = chunkdedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words) for r in got) == want and len(want) > 10
