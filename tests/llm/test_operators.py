@@ -372,3 +372,30 @@ def test_passages_against_brute_force(spark, sf):
                 n = 0
     got = chunkdedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_words) for r in got) == want and len(want) > 10
+
+
+def brute_contaminated(docs, items):
+    shingles = lambda t: (lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)])(re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower()))
+    want, bags = set(), [(i, Counter(shingles(t))) for i, t in items]
+    for d, t in docs:
+        s = shingles(t)
+        for i, bag in bags:
+            m = sum(bag.values())
+            for p in range(max(1, len(s) - m + 1)):
+                w = Counter(s[p : p + m])
+                shared = sum((w & bag).values())
+                if shared and shared / (sum(w.values()) + m - shared) >= 0.8:
+                    want.add((d, i))
+                    break
+    return want
+
+
+def test_decontamination_of_clipped_items(spark, sf):
+    """Documents that are an item less its last or first words, of which some have fewer shingles than the windows sought."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").limit(60).collect()]
+    items += [(9_000 + n, " ".join(f"x{n}y{i}" for i in range(n))) for n in (5, 6, 9, 10, 14, 280)]
+    docs = [(10_000 * k + 2 * j + side, " ".join(w[: len(w) - k] if side else w[k:])) for j, (_, t) in enumerate(items) for k in (1, 2, 3, 4, 5, 9, 40) for side in (0, 1) if len(w := t.split()) > k]
+    want = brute_contaminated(docs, items)
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == want and len(want) > 300
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}

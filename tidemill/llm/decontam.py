@@ -7,7 +7,8 @@ machine words, a byte for each bit, and come from differences of running sums. F
 item's agree with it in at least one of four blocks of 16 bits up to that block's share of the radius; tables of all
 block values so near give the windows to compare, and none within the radius is missed. For each hit the window is
 widened to the item's own size, and the weighted Jaccard similarity of the two bags of shingles, by their counts, is
-computed; at 0.8 or more the document holds the item.
+computed; at 0.8 or more the document holds the item. A text with fewer shingles than an item is compared as a whole, by
+the shingles that the two share.
 
 Documents are not shuffled. Items go to the executors in blocks of bounded size, with a pass over the documents for each.
 """
@@ -82,7 +83,7 @@ class Index:
         words, first = wordhash.word_hashes([t for _, t in items])
         hashes, at = wordhash.shingle_hashes(words, first, WORDS)
         sizes = grid()
-        self.items, entries = [], defaultdict(list)
+        self.items, entries, whole = [], defaultdict(list), []
         for k, (item_id, _) in enumerate(items):
             own = hashes[at[k] : at[k + 1]]
             if not len(own):
@@ -91,7 +92,12 @@ class Index:
             fps = window_fingerprints(lanes(own), size)
             for offset in {0, len(own) - size}:
                 entries[size].append((fps[offset], len(self.items), offset))
+            whole.append(np.unique(own))
             self.items.append((item_id, own, np.sort(own), Counter(own.tolist())))
+        self.lengths = np.array([len(x[1]) for x in self.items], np.int64)
+        held = np.concatenate(whole) if whole else np.empty(0, np.uint64)
+        order = np.argsort(held, kind="stable")
+        self.held, self.held_by = held[order], np.repeat(np.arange(len(whole)), [len(x) for x in whole])[order]
         self.sizes = {}
         for size, found in entries.items():
             tables = np.zeros((4, 1 << 16), bool)
@@ -124,8 +130,39 @@ class Index:
                 hit = at_window[np.bitwise_count(window ^ fps[e]) <= RADIUS]
                 if hit.size:
                     self._verify(hit - offset_of[e], text_of[hit], int(item_of[e]), hashes, at, similarity, best)
+        self._short(hashes, at, similarity, best)
         return [(t, self.items[i][0], s, a, n) for (t, i), (s, a, n) in sorted(best.items())]
 
+    def _short(self, hashes, at, similarity, best) -> None:
+        """Texts with fewer shingles than an item, as a whole: by the shingles that they share, without fingerprints."""
+        length = np.diff(at)
+        texts = np.flatnonzero((length > 0) & (length < self.lengths.max(initial=0)))
+        if not texts.size:
+            return
+        text, place = _spread(at[texts], length[texts], texts)
+        item, which = self._holders(hashes[place])
+        text = text[which]
+        for t, i in self._often(text, item, length, similarity):
+            if length[t] < self.lengths[i]:
+                shared = sum((Counter(hashes[at[t] : at[t + 1]].tolist()) & self.items[i][3]).values())
+                score = shared / (int(length[t] + self.lengths[i]) - shared)
+                if score >= similarity and ((t, i) not in best or score > best[t, i][0]):
+                    best[t, i] = (score, 0, int(length[t]) + WORDS - 1)
+
+    def _holders(self, hashes) -> tuple[np.ndarray, np.ndarray]:
+        """The items that hold each shingle, and the place of that shingle."""
+        low, high = np.searchsorted(self.held, hashes), np.searchsorted(self.held, hashes, side="right")
+        which, place = _spread(low, high - low, np.arange(len(hashes)))
+        return self.held_by[place], which
+
+    def _often(self, text, item, length, similarity) -> list[tuple[int, int]]:
+        """The texts and items that meet in as many places as the similarity asks for, when ``length`` places are compared."""
+        pair, count = np.unique(text.astype(np.int64) * len(self.items) + item, return_counts=True)
+        text, item = np.divmod(pair, len(self.items))
+        least = similarity * (np.minimum(length[text], self.lengths[item]) + self.lengths[item]) / (1 + similarity)
+        keep = count >= least - 1e-6
+        return list(zip(text[keep].tolist(), item[keep].tolist()))
+
     def _verify(self, start, text, item, hashes, at, similarity, best) -> None:
         _, own, ordered, bag = self.items[item]
         size = len(own)
@@ -148,6 +185,12 @@ class Index:
                     best[key] = (score, int(s[k] - at[t[k]]), int(n[k]) + WORDS - 1)
 
 
+def _spread(start, count, label) -> tuple[np.ndarray, np.ndarray]:
+    """Each label as often as its count says, and the places from its start on."""
+    before = np.cumsum(count) - count
+    return np.repeat(label, count), np.arange(int(count.sum())) + np.repeat(start - before, count)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: one row for each item that a document holds, none for clean documents.
 
