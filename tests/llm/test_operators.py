@@ -399,3 +399,27 @@ def test_decontamination_of_clipped_items(spark, sf):
     bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == want and len(want) > 300
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_decontamination_of_long_items(spark):
+    """Items of more shingles than the lanes count, without their ends, changed inside, or with shingles that repeat."""
+    rng = np.random.default_rng(6)
+    make = lambda n, kinds=10**6: [f"w{k}" for k in rng.integers(0, kinds, n)]
+    items, docs = [], []
+    for i, n in enumerate((255, 259, 260, 300, 600, 4000)):
+        w = make(n) if i % 2 else make(n - 40) + make(10, 2) * 4
+        items.append((i, " ".join(w)))
+        for cut in (0.0, 0.03, 0.045, 0.055, 0.07):
+            c = int(n * cut)
+            docs.append(make(60) + make(c) + w[c : n - c] + make(c) + make(60))
+            docs.append([x if rng.random() > cut / 3 else "changed" for x in w] + make(30))
+            docs.append(w[c : n - c])
+    docs = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    want = brute_contaminated(docs, items)
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and 30 < len(want) < len(docs)
+    # the similarity is that of the best window
+    index, text, item = decontam.Index([(1, "a b c d e f " * 100)]), "a b c d e f " * 97 + "x " + "a b c d e f " * 20, Counter(zip(*[("a b c d e f " * 100).split()[k:] for k in range(5)]))
+    size, s = sum(item.values()), list(zip(*[text.split()[k:] for k in range(5)]))
+    shared = max(sum((Counter(s[p : p + size]) & item).values()) for p in range(len(s) - size + 1))
+    assert abs(index.matches([text])[0][2] - shared / (2 * size - shared)) < 1e-12

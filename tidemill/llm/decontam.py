@@ -8,7 +8,7 @@ item's agree with it in at least one of four blocks of 16 bits up to that block'
 block values so near give the windows to compare, and none within the radius is missed. For each hit the window is
 widened to the item's own size, and the weighted Jaccard similarity of the two bags of shingles, by their counts, is
 computed; at 0.8 or more the document holds the item. A text with fewer shingles than an item is compared as a whole, by
-the shingles that the two share.
+the shingles that the two share, and so are all windows of a text with items of more shingles than a byte counts.
 
 Documents are not shuffled. Items go to the executors in blocks of bounded size, with a pass over the documents for each.
 """
@@ -88,16 +88,19 @@ class Index:
             own = hashes[at[k] : at[k + 1]]
             if not len(own):
                 continue
-            size = max(s for s in sizes if s <= len(own))
-            fps = window_fingerprints(lanes(own), size)
-            for offset in {0, len(own) - size}:
-                entries[size].append((fps[offset], len(self.items), offset))
+            if len(own) <= LONGEST:
+                size = max(s for s in sizes if s <= len(own))
+                fps = window_fingerprints(lanes(own), size)
+                for offset in {0, len(own) - size}:
+                    entries[size].append((fps[offset], len(self.items), offset))
             whole.append(np.unique(own))
             self.items.append((item_id, own, np.sort(own), Counter(own.tolist())))
         self.lengths = np.array([len(x[1]) for x in self.items], np.int64)
         held = np.concatenate(whole) if whole else np.empty(0, np.uint64)
         order = np.argsort(held, kind="stable")
         self.held, self.held_by = held[order], np.repeat(np.arange(len(whole)), [len(x) for x in whole])[order]
+        long = self.lengths[self.held_by] > LONGEST
+        self.long, self.long_by = self.held[long], self.held_by[long]
         self.sizes = {}
         for size, found in entries.items():
             tables = np.zeros((4, 1 << 16), bool)
@@ -131,6 +134,7 @@ class Index:
                 if hit.size:
                     self._verify(hit - offset_of[e], text_of[hit], int(item_of[e]), hashes, at, similarity, best)
         self._short(hashes, at, similarity, best)
+        self._long(hashes, at, text_of, similarity, best)
         return [(t, self.items[i][0], s, a, n) for (t, i), (s, a, n) in sorted(best.items())]
 
     def _short(self, hashes, at, similarity, best) -> None:
@@ -140,7 +144,7 @@ class Index:
         if not texts.size:
             return
         text, place = _spread(at[texts], length[texts], texts)
-        item, which = self._holders(hashes[place])
+        item, which = _holders(self.held, self.held_by, hashes[place])
         text = text[which]
         for t, i in self._often(text, item, length, similarity):
             if length[t] < self.lengths[i]:
@@ -149,11 +153,39 @@ class Index:
                 if score >= similarity and ((t, i) not in best or score > best[t, i][0]):
                     best[t, i] = (score, 0, int(length[t]) + WORDS - 1)
 
-    def _holders(self, hashes) -> tuple[np.ndarray, np.ndarray]:
-        """The items that hold each shingle, and the place of that shingle."""
-        low, high = np.searchsorted(self.held, hashes), np.searchsorted(self.held, hashes, side="right")
-        which, place = _spread(low, high - low, np.arange(len(hashes)))
-        return self.held_by[place], which
+    def _long(self, hashes, at, text_of, similarity, best) -> None:
+        """Items of over LONGEST shingles in texts of no fewer: every window of the item's size that may be as similar, exactly."""
+        if not len(self.long):
+            return
+        item, which = _holders(self.long, self.long_by, hashes)
+        length = np.diff(at)
+        for t, i in self._often(text_of[which], item, length, similarity):
+            size = int(self.lengths[i])
+            if length[t] < size:
+                continue
+            kinds, counts = np.unique(self.items[i][2], return_counts=True)
+            text = hashes[at[t] : at[t + 1]]
+            kind = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
+            kind[kinds[kind] != text] = len(kinds)
+            total = np.concatenate(([0], np.cumsum(kind < len(kinds))))
+            near = np.flatnonzero(total[size:] - total[:-size] >= similarity * 2 * size / (1 + similarity) - 1e-6)
+            left, kind, last = [*counts.tolist(), 0], kind.tolist(), None  # of each shingle, those of the item not in the window
+            for a in near.tolist():
+                if last is None or a != last + 1:
+                    left, shared = [*counts.tolist(), 0], 0
+                    new = kind[a : a + size]
+                else:
+                    k = kind[last]
+                    left[k] += 1
+                    shared -= k < len(kinds) and left[k] > 0
+                    new = kind[a + size - 1 : a + size]
+                for k in new:
+                    shared += k < len(kinds) and left[k] > 0
+                    left[k] -= 1
+                last = a
+                score = shared / (2 * size - shared)
+                if score >= similarity and ((t, i) not in best or score > best[t, i][0]):
+                    best[t, i] = (score, a, size + WORDS - 1)
 
     def _often(self, text, item, length, similarity) -> list[tuple[int, int]]:
         """The texts and items that meet in as many places as the similarity asks for, when ``length`` places are compared."""
@@ -191,6 +223,13 @@ def _spread(start, count, label) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(label, count), np.arange(int(count.sum())) + np.repeat(start - before, count)
 
 
+def _holders(held, held_by, hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The items that hold each shingle, and the place of that shingle."""
+    low, high = np.searchsorted(held, hashes), np.searchsorted(held, hashes, side="right")
+    which, place = _spread(low, high - low, np.arange(len(hashes)))
+    return held_by[place], which
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: one row for each item that a document holds, none for clean documents.
 
