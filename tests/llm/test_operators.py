@@ -423,3 +423,18 @@ def test_decontamination_of_long_items(spark):
     size, s = sum(item.values()), list(zip(*[text.split()[k:] for k in range(5)]))
     shared = max(sum((Counter(s[p : p + size]) & item).values()) for p in range(len(s) - size + 1))
     assert abs(index.matches([text])[0][2] - shared / (2 * size - shared)) < 1e-12
+
+
+def test_token_file_with_added_tokens(spark, tmp_path):
+    """Against the library as it comes: the content of an added token is that token, wherever it stands."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = ["plain text", *(x for c in added for x in (c, f"a{c}b", f"one {c} two\n{c}{c} é", f"{c[:-1]} {c[1:]}", f" {c.upper()} "))]
+    rows = list(enumerate(texts))
+    path = str(tmp_path / "tokens")
+    tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, parts=2)
+    got = {r.doc_id: r.tokens for r in tokenfile.read_tokens(spark, path).collect()}
+    assert added and got == {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in rows}

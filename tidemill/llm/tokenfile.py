@@ -6,7 +6,8 @@ so bit-packed; the other columns are delta-encoded (format version 2). Row group
 page index to skip: a few documents, or the metadata of all, can be read without the rest.
 
 Every distinct piece of a block is encoded by the tokenizers library, many in one call; texts are put together from
-these, as byte-level BPE never merges across pieces (``pretoken``).
+these, as byte-level BPE never merges across pieces (``pretoken``). Texts that hold an added token's content, which may
+reach over pieces, are encoded by the library whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ WRITE = {
 
 
 class LibraryEncoder:
-    """Encodes texts by a tokenizers file, without special tokens; keeps the ids of pieces it has seen."""
+    """Encodes texts by a tokenizers file, adding no special tokens; keeps the ids of pieces it has seen."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -50,13 +51,17 @@ class LibraryEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        #: For pieces of texts without added tokens, which pieces put together by ``learn`` are not to make either.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
         own = self.tokenizer.pre_tokenizer
         self.by_piece = isinstance(own, ByteLevel) and not own.add_prefix_space and own.use_regex and self.tokenizer.normalizer is None
         if self.by_piece:
             alphabet = ByteLevel.alphabet()
             names = self.tokenizer.get_vocab()
-            if not set(alphabet) <= set(names):
+            if not set(alphabet) <= set(names) or any(not t.special and " " in t.content for t in added):
                 self.by_piece = False
             self.width = np.ones(max(names.values()) + 1, np.int64)
             for name, i in names.items():
@@ -69,7 +74,7 @@ class LibraryEncoder:
         joined = [p for p in new if len(p) > 1 and p[0] == " " and not p.isspace()]
         parts = [joined[a:b] for a, b in slices(list(map(len, joined)), 20_000)]
         # offsets are not needed, so the faster call does; its ids are the same
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+        for part, found in zip(parts, self.plain.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             at = np.cumsum(self.width[ids])
             ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "replace")) for p in part])
@@ -79,13 +84,29 @@ class LibraryEncoder:
             raw, stops = ids.tobytes(), (4 * cuts).tolist()
             seen.update(zip(part, [raw[i:j] for i, j in zip([0, *stops], stops)]))
         rest = list(new.difference(joined))
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+        for piece, found in zip(rest, self.plain.encode_batch_fast(rest, add_special_tokens=False)):
             seen[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         if not self.by_piece:
-            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return self.whole(texts)
+        held = [i for i, t in enumerate(texts) if any(c in t for c in self.added)]
+        if held:
+            rest = list(texts)
+            for i in held:
+                rest[i] = ""
+            out = self.encode_plain(rest)
+            for i, raw in zip(held, self.whole([texts[i] for i in held])):
+                out[i] = raw
+            return out
+        return self.encode_plain(texts)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Of texts without added tokens."""
         out: list[bytes] = []
         for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
             joined, bounds, index = pretoken.piece_bounds(texts[a:b])
