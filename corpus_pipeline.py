@@ -20,10 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id stays; rows without an id belong to no group and stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each group the text of the least id stays, of that id's the one of the least hash; rows without an id stay.
+
+    Rows count as one document if both their ids and their texts are equal, so a text without a near copy stays whatever
+    other rows have its id.
+    """
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = simhash.near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    rows = keyed.select("_key", "doc_id").join(groups, "_key")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("least")).select(F.col("least._key").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -438,3 +438,13 @@ def test_token_file_with_added_tokens(spark, tmp_path):
     tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, parts=2)
     got = {r.doc_id: r.tokens for r in tokenfile.read_tokens(spark, path).collect()}
     assert added and got == {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in rows}
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Texts that share an id but have no near copy all stay, and one of those that have."""
+    import corpus_pipeline as p
+
+    make = lambda k: " ".join(f"t{k}w{i}" for i in range(80))
+    rows = [(5, make(1)), (5, make(2)), (5, make(3)), (5, make(1)), (7, make(2)), (8, make(4)), (3, make(3)), (9, make(4)), (None, make(4)), (6, "")]
+    kept = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(5, make(1)), (5, make(2)), (3, make(3)), (8, make(4)), (None, make(4)), (6, "")])
