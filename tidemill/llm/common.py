@@ -84,8 +84,8 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, by: Column) -> DataFrame:
-    """Inner join of ``rows`` with ``counted``, which has one row for each ``key`` and in ``n`` how many rows there are of it.
+def join_counted(rows: DataFrame, counted: DataFrame, key: list[str], n: str, by: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, which has one row for each ``key`` (no nulls) and in ``n`` how many rows there are of it.
 
     A hot key's rows are dealt to several tasks by the hash of ``by``. Hot keys are those with more than a 65,536th of all
     rows (and ``HOT_ROWS`` at least), so there are 65,536 of them at most and their list can be broadcast at any size.
@@ -93,7 +93,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, by: Colu
     total = counted.agg(F.sum(n)).first()[0] or 0
     most = max(HOT_ROWS, total // HOT_KEYS)
     parts = F.ceil(F.col(n) / most).cast("int")
-    hot = counted.where(F.col(n) > most).select(key, parts.alias("_parts"))
+    hot = counted.where(F.col(n) > most).select(*key, parts.alias("_parts"))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     spread = counted.withColumn("_salt", F.explode(F.when(F.col(n) > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
-    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+    return dealt.join(spread, [*key, "_salt"]).drop("_salt")

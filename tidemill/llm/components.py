@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import spill_table
+from .common import drop_table, spill_table
 
 #: Nodes that a task's forest holds; then it starts afresh, which only lets more links through.
 FOREST_NODES = 200_000
@@ -78,7 +78,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        edges = spill_table(small.distinct(), "links")
+        edges, old = spill_table(small.distinct(), "links"), edges
+        drop_table(old)
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0))).first()
         if now == signature or now[0] == 0:
             break

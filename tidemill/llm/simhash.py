@@ -23,12 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import spill_table
+from . import wordhash
+from .common import HOT_KEYS, join_counted, partitions_for, slices, spill_table
 from .components import Forest, Residents, components
 
 SEED = 42
 #: Residents of an anchor on average, and of one slice of it at most on average.
-RESIDENTS, SLICE = 512, 2048
+RESIDENTS, SLICE = 4096, 16384
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -104,58 +105,75 @@ def anchors(fps: np.ndarray, lengths: list[int], threshold: int) -> tuple[np.nda
     return np.concatenate(index), np.concatenate(anchor)
 
 
-def links(distinct: DataFrame, n_distinct: int, threshold: int = 3) -> DataFrame:
-    """src, dst: links between the rows (node, fp) of distinct fingerprints that leave the same components as all links."""
+def links(distinct: DataFrame, n_distinct: int, threshold: int = 3, check_bits: int = 0) -> DataFrame:
+    """src, dst: links between the rows (node, fp) of distinct fingerprints that leave the same components as all links.
+
+    With columns check_a and check_b, a second fingerprint of 128 bits, rows only link if theirs differ in at most
+    ``check_bits`` too.
+    """
     spark = distinct.sparkSession
     lengths = code_for(n_distinct)
 
     def deal(batches):
         for batch in batches:
-            node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            fp = batch.column(1).to_numpy().view(np.uint64)
             for a in range(0, len(fp), 4096):
                 index, anchor = anchors(fp[a : a + 4096], lengths, threshold)
                 resident = np.zeros(len(index), np.int8)
                 resident[: len(fp[a : a + 4096])] = 1
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(resident), pa.array(node[a : a + 4096][index]), pa.array(fp[a : a + 4096][index].view(np.int64))], ["anchor", "resident", "node", "fp"])
+                part = batch.slice(a, 4096).take(pa.array(index))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(resident), *part.columns], ["anchor", "resident", *batch.schema.names])
 
-    dealt = distinct.select("node", "fp").mapInArrow(deal, "anchor long, resident tinyint, node long, fp long")
+    more = [c for c in ("check_a", "check_b") if c in distinct.columns]
+    kinds = "anchor long, resident tinyint, node long, fp long" + "".join(f", {c} long" for c in more)
+    dealt = distinct.select("node", "fp", *more).mapInArrow(deal, kinds)
 
     def home_only(batches):
         for batch in batches:
             home, _ = homes(batch.column(0).to_numpy().view(np.uint64), lengths)
             yield pa.RecordBatch.from_arrays([pa.array(home)], ["anchor"])
 
-    counts = distinct.select("fp").mapInArrow(home_only, "anchor long").groupBy("anchor").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+    # anchors to be split: of more than SLICE residents and a 65,536th of all, so there are never more than 65,536
+    size = max(SLICE, n_distinct // HOT_KEYS)
+    counts = distinct.select("fp").mapInArrow(home_only, "anchor long").groupBy("anchor").agg(F.count("*").alias("c"))
+    split = counts.where(F.col("c") > size).select("anchor", F.ceil(F.col("c") / size).cast("int").alias("more"))
+    rows = dealt.join(F.broadcast(split), "anchor", "left").withColumn("parts", F.coalesce("more", F.lit(1)))
     # residents go to one slice, and to all of them as replicas, since pairs within an anchor may be in different slices
-    rows = dealt.join(counts, "anchor")
-    alone = rows.where("resident = 1").select("anchor", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("slice"), F.lit(0).cast("tinyint").alias("kind"), "node", "fp")
-    spread = rows.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.lit(1).cast("tinyint").alias("kind"), "node", "fp")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    alone = rows.where("resident = 1").select("anchor", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("slice"), F.lit(0).cast("tinyint").alias("kind"), "node", "fp", *more)
+    spread = rows.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.lit(1).cast("tinyint").alias("kind"), "node", "fp", *more)
+    parts = partitions_for(spark, n_distinct * 12.0 * len(lengths) * (24 + 8 * len(more)))
     met = alone.unionByName(spread).repartition(parts, "anchor", "slice").sortWithinPartitions("anchor", "slice", "kind")
 
     def compare(batches):
         forest = Forest()
-        key, res_fp, residents, held = None, None, None, []
+        key, held, res, residents = None, [], None, None
         for batch in batches:
             anchor, part, kind = (batch.column(i).to_numpy() for i in range(3))
-            node, fp = batch.column(3).to_numpy(), batch.column(4).to_numpy().view(np.uint64)
+            node = batch.column(3).to_numpy()
+            codes = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(4, batch.num_columns)])
             change = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
             src: list[int] = []
             dst: list[int] = []
-            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(fp)]):
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(node)]):
                 if a == b:
                     continue
                 if key != (anchor[a], part[a]):
-                    key, held = (anchor[a], part[a]), []
+                    key, held, residents = (anchor[a], part[a]), [], None
                 if kind[a] == 0:
-                    held.append((fp[a:b], node[a:b]))
-                    res_fp, residents = np.concatenate([x for x, _ in held]), Residents(np.concatenate([y for _, y in held]))
+                    held.append((codes[:, a:b], node[a:b]))
                     continue
                 if not held:
                     continue
-                for c in range(a, b, 512):
-                    near = np.bitwise_count(fp[c : min(b, c + 512), None] ^ res_fp[None, :]) <= threshold
-                    for u, v in forest.join(*residents.links(node[c : min(b, c + 512)], near)):
+                if residents is None:
+                    res, residents = np.concatenate([x for x, _ in held], axis=1), Residents(np.concatenate([y for _, y in held]))
+                for c in range(a, b, 128):
+                    some = codes[:, c : min(b, c + 128)]
+                    near = np.bitwise_count(some[0, :, None] ^ res[0, None, :]) <= threshold
+                    if len(some) > 1:
+                        i, j = np.nonzero(near)
+                        far = sum(np.bitwise_count(some[k, i] ^ res[k, j]).astype(np.int16) for k in range(1, len(some))) > check_bits
+                        near[i[far], j[far]] = False
+                    for u, v in forest.join(*residents.links(node[c : min(b, c + 128)], near)):
                         src.append(u)
                         dst.append(v)
             if src:
@@ -164,17 +182,101 @@ def links(distinct: DataFrame, n_distinct: int, threshold: int = 3) -> DataFrame
     return met.mapInArrow(compare, "src long, dst long")
 
 
+def _named(distinct: DataFrame, of: DataFrame) -> DataFrame:
+    """``distinct`` (node, least) with the least id of its component, which is found by an aggregation."""
+    rooted = distinct.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    return join_counted(rooted, least, ["root"], "_n", F.col("node"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach): one row per row of ``docs``.
 
-    Documents of one fingerprint are linked at distance 0, those without words among them (fingerprint 0). Repeated rows
-    stay and share a component. A null id takes part as any other but is never a component's id unless it is alone.
-    An empty table gives an empty result; further columns are not carried.
+    Documents of one fingerprint are linked at distance 0, those without words among them (fingerprint 0: null and empty
+    texts). Whole texts count, however long; a bit that is set in just half of the shingles is 0. Repeated rows stay and
+    share a component, rows of one id with different texts are linked by their texts alone. A null id takes part as any
+    other but is a component's id only if no row of it has one. An empty table gives an empty result; further columns are not
+    carried, whatever their names.
     """
     spark = docs.sparkSession
     fps = spill_table(fingerprints(docs, words, id_col, text_col), "simhash")
-    distinct = spill_table(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-distinct")
-    n = distinct.count()
-    of = components(links(distinct, n, threshold))
-    nodes = distinct.join(of, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(nodes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = spill_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.col("fp")), "simhash-distinct")
+    nodes = _named(distinct, components(links(distinct, distinct.count(), threshold)))
+    return join_counted(fps, nodes.select("fp", "n", "component_id"), ["fp"], "n", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- near copies by two fingerprints
+
+#: Bits by which the 128-bit fingerprints of two texts of cosine 0.8 differ on average: an angle of acos(0.8).
+SIMILARITY = 0.8
+BLOCK_CHARS = 400_000
+
+
+def check_bits(similarity: float = SIMILARITY) -> int:
+    return math.floor(128 * math.acos(similarity) / math.pi)
+
+
+def _majorities(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A bit for each text that is set in over half of its hashes; texts are runs of hashes that begin at ``start``."""
+    out = np.zeros(len(start) - 1, np.uint64)
+    size = np.diff(start)
+    some = np.flatnonzero(size)
+    for a, b in slices(size[some].tolist(), 1 << 16):
+        t = some[a:b]
+        own = hashes[start[t[0]] : start[t[-1] + 1]]
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total = np.add.reduceat(bits, start[t] - start[t[0]], axis=0, dtype=np.int32)
+        out[t] = np.packbits(2 * total > size[t][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+#: Constants that make further hashes of a hash; the first fingerprints are of the hashes themselves.
+OTHER = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+
+
+def word_codes(texts: list[str], words: int = 5) -> np.ndarray:
+    """(4, n): two fingerprints of the words of each text, by two hashes, and two more, 128 bits, of its shingles of ``words`` words; all with their counts.
+
+    Words are lower-cased runs of letters and digits. A text of fewer words is one shingle; one without words has the
+    hash of what it holds without white space for its only word, and zeros if that is nothing.
+    """
+    hashes, first = wordhash.word_hashes(texts)
+    out = np.zeros((4, len(texts)), np.uint64)
+    shingles, at = wordhash.shingle_hashes(hashes, first, words)
+    out[0], out[1] = _majorities(hashes, first), _majorities(wordhash.mix(hashes ^ OTHER[0]), first)
+    out[2], out[3] = _majorities(shingles, at), _majorities(wordhash.mix(shingles ^ OTHER[1]), at)
+    for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < words)).tolist():
+        own = xxhash.xxh3_128_intdigest(hashes[first[i] : first[i + 1]].tobytes())
+        out[2:, i] = own >> 64, own & (1 << 64) - 1
+    for i in np.flatnonzero(np.diff(first) == 0).tolist():
+        if held := "".join(texts[i].split()).encode("utf-8", "replace"):
+            own = xxhash.xxh3_128_intdigest(held)
+            out[:, i] = xxhash.xxh64_intdigest(held), xxhash.xxh64_intdigest(held, 1), own >> 64, own & (1 << 64) - 1
+    return out
+
+
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, threshold: int = 3, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component_id for every row of ``docs`` with an id: texts link if their fingerprints say so.
+
+    Two SimHashes of the words with their counts find candidates, within ``threshold`` bits of either, by the covering
+    anchors; a SimHash of 128 bits of the shingles of ``words`` words then has to differ in no more bits than an angle of
+    cosine ``similarity`` gives on average. All are compared within an anchor before links are contracted, so a candidate
+    that the last fingerprint refuses never joins two groups. Null texts count as empty ones; empty texts are alike;
+    repeated rows share a component; an empty table gives no rows; further columns are not carried.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
+                codes = word_codes(texts[a:b], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c.view(np.int64)) for c in codes)], ["doc_id", *names])
+
+    names = ["fp", "fp_b", "check_a", "check_b"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    fps = spill_table(rows.mapInArrow(run, "doc_id long, fp long, fp_b long, check_a long, check_b long"), "text-codes")
+    distinct = spill_table(fps.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.xxhash64(*names)), "text-codes-distinct")
+    n, bits = distinct.count(), check_bits(similarity)
+    found = [links(distinct.select("node", F.col(name).alias("fp"), "check_a", "check_b"), n, threshold, bits) for name in names[:2]]
+    nodes = _named(distinct, components(found[0].unionByName(found[1])))
+    return join_counted(fps, nodes.select(*names, "n", "component_id"), names, "n", F.col("doc_id")).select("doc_id", "component_id")

@@ -8,7 +8,8 @@ distance to the plane between h and j is at most r. Cells are joined independent
 replicas only go to cells of lower number.
 
 Equal vectors are one row with a count, so copies are never paired. Cells with many residents are split: residents are
-dealt to slices by a hash, and each replica is sent to all slices. Links are contracted within a task.
+dealt to slices by a hash, and each replica is sent to all slices; the list of such cells is bounded, so no vector is
+joined by its cell. Links are contracted within a task.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import spill_table
+from .common import HOT_KEYS, join_counted, partitions_for, spill_table
 from .components import Forest, Residents, components
 
 COSINE = 0.98
-#: Vectors of a cell on average, residents of one slice, and pivots in all.
-CELL, SLICE, PIVOTS = 512, 2048, 4096
+#: Vectors of a cell on average, residents of one slice of a cell with more than these.
+CELL, SLICE = 512, 2048
+#: Pivots in all: this many at least, else twice the root of the number of vectors, so that the work to find a vector's
+#: cells and that to compare it within them grow alike; and bytes of all pivots, which bound what tasks are sent.
+PIVOTS, PIVOT_BYTES = 4096, 256 << 20
 #: Cosines so near the threshold are computed again without rounding between the steps.
 EDGE = 1e-9
 
@@ -43,16 +47,21 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell): the home of each row and all lower cells whose residents may lie within ``radius``. Rows are of length 1."""
-    d = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
-    home = d.argmin(axis=1)
-    own = d[np.arange(len(x)), home][:, None]
-    between = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))[home]
-    slack = 1e-6
-    near = (d - own <= 2 * radius + slack) & (d * d - own * own <= 2 * between * (radius + slack))
-    near &= np.arange(len(pivots))[None, :] < home[:, None]
-    row, cell = np.nonzero(near)
-    return np.concatenate((np.arange(len(x)), row)), np.concatenate((home, cell))
+    """(row, cell): the home of each row, and then all lower cells whose residents may lie within ``radius``. Rows are of length 1."""
+    home, row, cell = np.empty(len(x), np.int64), [], []
+    slack, step = 1e-6, max(1, 2_000_000 // len(pivots))
+    for a in range(0, len(x), step):
+        d = np.sqrt(np.maximum(2 - 2 * (x[a : a + step] @ pivots.T), 0))
+        h = home[a : a + step] = d.argmin(axis=1)
+        own = d[np.arange(len(h)), h]
+        i, j = np.nonzero((d - own[:, None] <= 2 * radius + slack) & (np.arange(len(pivots))[None, :] < h[:, None]))
+        for b in range(0, len(i), 20_000):
+            k, c = i[b : b + 20_000], j[b : b + 20_000]
+            between = np.linalg.norm(pivots[c] - pivots[h[k]], axis=1)
+            near = d[k, c] ** 2 - own[k] ** 2 <= 2 * between * (radius + slack)
+            row.append(a + k[near])
+            cell.append(c[near])
+    return np.concatenate((np.arange(len(x)), *row)), np.concatenate((home, *cell))
 
 
 def vector_classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -87,23 +96,25 @@ def range_join(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     spark = classes.sparkSession
     radius = math.sqrt(2 - 2 * cosine)
-    sizes = {(r.label, r.dim): r.c for r in classes.groupBy("label", "dim").agg(F.count("*").alias("c")).orderBy(F.desc("c")).limit(PIVOTS).collect()}
-    total = max(1, sum(sizes.values()))
-    wanted = {k: max(1, min(math.ceil(c / CELL), PIVOTS * c // total)) for k, c in sizes.items()}
-    # one pivot for a small group is the same as none, so only groups of several cells send theirs
-    several = {k: n for k, n in wanted.items() if n > 1}
+    groups = classes.groupBy("label", "dim").agg(F.count("*").alias("c"))
+    total, width = groups.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    most = max(2, min(max(PIVOTS, 2 * math.isqrt(total)), PIVOT_BYTES // (8 * width)))
+    # one pivot for a small group is the same as none, so only groups of several cells send theirs: at most ``most`` groups
+    wanted = F.greatest(F.lit(1), F.least(F.ceil(F.col("c") / CELL), F.floor(F.lit(most) * F.col("c") / max(1, total)))).cast("int")
+    several = groups.withColumn("wanted", wanted).where("wanted > 1")
+    # a part of each group by the hash of its rows, a little over the number wanted
+    share = (F.lit(1.5) * F.col("wanted") + 8) / F.col("c")
+    drawn = classes.join(F.broadcast(several), ["label", "dim"]).withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share)
     pivots: dict[tuple[str, int], np.ndarray] = {}
-    if several:
-        share = F.lit(0.0)
-        for (label, dim), n in several.items():
-            share = F.when((F.col("label") == label) & (F.col("dim") == dim), F.lit(min(1.0, 1.5 * n / sizes[label, dim] + 8 / sizes[label, dim]))).otherwise(share)
-        # a part of each group by the hash of its rows, a little over the number wanted
-        picked = classes.withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share)
-        for r in picked.select("label", "dim", "node", "vector").orderBy("u").limit(2 * PIVOTS).collect():
-            pivots.setdefault((r.label, r.dim), []).append(r.vector)
-        pivots = {k: unit(np.array(v[: several[k]], np.float64)) for k, v in pivots.items()}
+    for r in drawn.select("label", "dim", "node", "vector", "u", "wanted").orderBy("u", "node").limit(2 * most).collect():
+        own = pivots.setdefault((r.label, r.dim), [])
+        if len(own) < r.wanted:
+            own.append(r.vector)
+    pivots = {k: unit(np.array(v, np.float64)) for k, v in pivots.items()}
+    sent = spark.sparkContext.broadcast(pivots)
 
     def deal(batches):
+        pivots = sent.value
         for batch in batches:
             label, dim = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             groups: dict[tuple[str, int], list[int]] = {}
@@ -122,12 +133,16 @@ def range_join(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     dealt = classes.select("node", "label", "dim", "vector", "n").mapInArrow(deal, "node long, label string, dim int, vector array<double>, n long, cell int, resident boolean, home int")
     key = ["label", "dim", "cell"]
-    parts = dealt.where("resident").groupBy(*key).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
-    rows = dealt.join(parts, key)
+    # cells to be split: of more than SLICE residents and a 65,536th of all vectors, so there are never more than 65,536
+    counts = dealt.where("resident").groupBy(*key).agg(F.count("*").alias("c"))
+    size = max(SLICE, total // HOT_KEYS)
+    split = counts.where(F.col("c") > size).select(*key, F.ceil(F.col("c") / size).cast("int").alias("more"))
+    rows = dealt.join(F.broadcast(split), key, "left").withColumn("parts", F.coalesce("more", F.lit(1)))
     columns = [*key, "slice", "kind", "node", "n", "home", "vector"]
     alone = rows.where("resident").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("kind", F.lit(0)).select(columns)
     spread = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(1)).select(columns)
-    met = alone.unionByName(spread).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key, "slice").sortWithinPartitions(*key, "slice", "kind")
+    parts = partitions_for(spark, 3.0 * total * (8 * width + 60))
+    met = alone.unionByName(spread).repartition(parts, *key, "slice").sortWithinPartitions(*key, "slice", "kind")
 
     def compare(batches):
         forest = Forest()
@@ -189,9 +204,10 @@ def range_join(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (least vec_id reachable), kept: one row per vector.
 
-    Vectors that are null, zero, empty or hold null or non-finite components, and those without a label, link with
-    nothing; nor do vectors of different dimensions. Repeated rows link with each other. An empty table gives no rows;
-    further columns are not carried.
+    Vectors that are null, zero, empty or hold null or non-finite components, and those without a label or an id, link
+    with nothing; nor do vectors of different dimensions. A cosine that ties with the threshold links: near it, cosines
+    are computed again with exact sums. Repeated rows link with each other, those of one id too. A null id is null in all
+    columns but ``n_links``. An empty table gives no rows; further columns are not carried, whatever their names.
     """
     valid = vector_classes(vectors, id_col, vector_col, label_col)
     key = ["label", "dim", "digest"]
@@ -200,8 +216,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     of = components(found.where("dst is not null").select("src", "dst"))
     counts = found.where("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     named = classes.select(*key, "node", "n").join(counts, "node", "left").join(of, "node", "left")
-    named = named.select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    linked = valid.select("vec_id", *key).join(named, key).select("vec_id", "n_links", F.col("root").alias("component_id"))
+    named = named.select(*key, "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    linked = join_counted(valid.select("vec_id", *key), named, key, "n", F.col("vec_id")).select("vec_id", "n_links", F.col("root").alias("component_id"))
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col), F.col(vector_col))
     # rows that cannot link, by the same rule
     spare = every.where(F.col(label_col).isNull() | F.col("vec_id").isNull() | ~F.coalesce(_usable(F.col(vector_col)), F.lit(False)))
