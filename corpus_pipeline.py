@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     other rows have its id.
     """
     keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = simhash.near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    groups = simhash.similar_texts(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
     rows = keyed.select("_key", "doc_id").join(groups, "_key")
     kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("least")).select(F.col("least._key").alias("_key"))
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").unionByName(docs.where("doc_id is null"))
