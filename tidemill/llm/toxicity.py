@@ -1,10 +1,13 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 A writer's letters pass a channel that swaps them for signs that look alike, repeats them and sets blanks or points
-between them. Candidate strings (tokens with letters and such signs, with a letter three times in a row, and letters
-standing singly) are turned into lattices: each sign may be one of several letters, a run of a letter may be one or two
-of it, and what stands between single letters is nothing. The Viterbi path of a lattice under a character trigram model
-of the corpus, with the costs of the channel, is the restored word. Texts are scored with the restored words.
+between them. Candidate strings (tokens of letters and such signs, with a letter three times in a row, and signs standing
+singly) are turned into lattices: each sign may be one of several letters, a run of a letter may be one or two of it, and
+what stands between single signs is nothing or the end of a word. Letters other than a to z stand for themselves. The
+Viterbi path of a lattice under a character trigram model of the corpus, with the costs of the channel, is the restored
+word; of paths that tie, the one whose signs are read by the earlier option. Candidates may have any length: a path is a
+chain of steps that the states share, so time and memory grow in proportion. Texts are scored with the restored words
+beside their own.
 
 The trigram counts come from all documents and are summed in a table of fixed size. The classifier is a logistic
 regression on words and prefixes of words: it is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by the hash of
@@ -22,18 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import slices, spill_table
 
-#: The bound of the labelled sample, and those of the features that are counted and kept.
-TRAIN_ROWS, CANDIDATES, FEATURES = 50_000, 60_000, 5_000
-#: How many times as frequent in toxic documents a feature has to be.
-RATIO = 20.0
+#: The bound of the labelled sample, and of the features that the model keeps.
+TRAIN_ROWS, FEATURES = 50_000, 5_000
+#: How many times as frequent in toxic documents a feature has to be, and in which part of them it has to stand.
+RATIO, SHARE = 12.0, 0.01
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h"}
-SWAP_COST, WILD_COST, SINGLE_COST, DOUBLE_COST, KEEP_COST = 1.5, 3.0, 0.7, 0.7, 0.05
-SINGLY = re.compile(r"(?<![^\W_])[a-z0-9@$!|+*]([ ._-])[a-z0-9@$!|+*](?:\1[a-z0-9@$!|+*]){2,24}(?![^\W_])")
+SWAP_COST, WILD_COST, SINGLE_COST, DOUBLE_COST, KEEP_COST, GAP_COST, LOST_COST = 1.5, 3.0, 0.7, 0.7, 0.05, 1.0, 1.0
+SINGLY = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+*])([ ._-])(?:[^\W_]|[@$!|+*])(?:\1(?:[^\W_]|[@$!|+*])){2,}(?![^\W_])")
+THRICE = re.compile(r"([^\W\d_])\1\1")
 SIGNS = "!#$%&*+@|~^=<>"
 EDGES = ".,;:?\"'()[]{}<>«»…-_/\\"
-LONGEST = 24
+#: Words whose restored form a worker keeps, and the longest of them; longer ones are decoded each time.
+KNOWN, KNOWN_CHARS = 100_000, 64
 
 
 @functools.cache
@@ -76,111 +81,143 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
-        self.known: dict[str, str] = {}
-
-    def lattice(self, seen: str) -> list[list[tuple[str, float]]]:
-        out, i = [], 0
+        self.known: dict[tuple[str, bool], str] = {}
+
+    def options(self, c: str) -> list[tuple[str, float]]:
+        """What a sign may stand for, with the cost of each reading."""
+        if "a" <= c <= "z":
+            return [(c, KEEP_COST)]
+        if c in LOOKALIKE:
+            return [(x, WILD_COST if c == "*" else SWAP_COST) for x in LOOKALIKE[c]]
+        return [(c, 0.0)] if c.isalpha() else [("", LOST_COST)]
+
+    def lattice(self, seen: str, singly: bool):
+        """The readings of each run of a sign in turn; between single signs, nothing or the end of a word."""
+        i = 0
         while i < len(seen):
             c, j = seen[i], i + 1
-            while j < len(seen) and seen[j] == c:
+            while not singly and j < len(seen) and seen[j] == c:
                 j += 1
-            options = [(c, KEEP_COST)] if "a" <= c <= "z" else [(x, WILD_COST if c == "*" else SWAP_COST) for x in LOOKALIKE.get(c, "")]
-            n = j - i
-            if not options:
-                out.append([("", 1.0)])
-            elif n == 1:
-                out.append(options)
-            elif n == 2:
-                out.append([(2 * x, w) for x, w in options] + [(x, w + SINGLE_COST + 1) for x, w in options])
+            readings = self.options(c)
+            if singly:
+                if i:
+                    yield [("", 0.0), (" ", GAP_COST)]
+                yield readings
+            elif readings[0][0] == "" or j - i == 1 or (j - i > 2 and c.isalpha() and not "a" <= c <= "z"):
+                yield readings  # of letters that the model does not tell apart, a long run is one
+            elif j - i == 2:
+                yield [(2 * x, w) for x, w in readings] + [(x, w + SINGLE_COST + 1) for x, w in readings]
             else:
-                out.append([(2 * x, w + DOUBLE_COST) for x, w in options] + [(x, w + SINGLE_COST) for x, w in options])
+                yield [(2 * x, w + DOUBLE_COST) for x, w in readings] + [(x, w + SINGLE_COST) for x, w in readings]
             i = j
-        return out
 
-    def restore(self, seen: str) -> str:
-        got = self.known.get(seen)
+    def restore(self, seen: str, singly: bool = False) -> str:
+        """The path of least cost; ``singly`` if the signs of ``seen`` stood apart."""
+        got = self.known.get((seen, singly))
         if got is not None:
             return got
-        cost = self.costs
-        states: dict[tuple[int, int], tuple[float, str]] = {(26, 26): (0.0, "")}
-        for options in self.lattice(seen):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, word) in states.items():
-                for letters, price in options:
+        cost, done = self.costs, []
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(26, 26): (0.0, None)}
+        for readings in self.lattice(seen, singly):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (total, path) in states.items():
+                for letters, price in readings:
                     x, y, z = a, b, total + price
                     for c in letters:
-                        k = ord(c) - 97
+                        k = ord(c) - 97 if "a" <= c <= "z" else 26
                         z += cost[x][y][k]
                         x, y = y, k
                     if (x, y) not in after or z < after[x, y][0]:
-                        after[x, y] = (z, word + letters)
+                        after[x, y] = (z, (path, letters))
+            if len(after) == 1:  # all paths go through here, so what lies before is settled
+                (state, (total, path)), = after.items()
+                done.append(_letters(path))
+                after = {state: (total, None)}
             states = after
-        best = min((z + cost[a][b][26], word) for (a, b), (z, word) in states.items())[1]
-        if len(self.known) > 100_000:
-            self.known.clear()
-        self.known[seen] = best
+        path = min(((z + cost[a][b][26], n, path) for n, ((a, b), (z, path)) in enumerate(states.items())), key=lambda x: x[:2])[2]
+        best = "".join(done) + _letters(path)
+        if len(seen) <= KNOWN_CHARS:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            self.known[seen, singly] = best
         return best
 
 
-def thrice(data: np.ndarray) -> np.ndarray:
-    """Where a letter of ASCII stands three times in a row."""
-    code = letter_codes()[data]
-    return np.flatnonzero((code[:-2] < 26) & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:]))
+def _letters(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point up to 256, the last for all others: 1 for letters, 2 for digits and signs that stand for letters, 3 for what stands between single signs."""
+    out = np.zeros(257, np.uint8)
+    out[[c for c in range(256) if chr(c).isalpha()] + [256]] = 1
+    out[[ord(c) for c in "0123456789@$!|+*"]] = 2
+    out[[ord(c) for c in " ._-"]] = 3
+    return out
+
+
+def _points(low: str) -> tuple[np.ndarray, np.ndarray]:
+    code = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
+    return code, _kinds()[np.minimum(code, 256)]
+
+
+def _thrice(code: np.ndarray, kind: np.ndarray) -> bool:
+    """Whether a letter stands three times in a row, as a quick test before the pattern."""
+    return bool(((kind[:-2] == 1) & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])).any())
+
+
+def _single(kind: np.ndarray) -> bool:
+    """Whether four signs stand singly in a row, as a quick test before the pattern."""
+    some = (kind == 1) | (kind == 2)
+    between = kind == 3
+    if len(kind) < 7:
+        return False
+    near = some[:-6].copy()
+    for k in range(1, 7):
+        near &= (between if k % 2 else some)[k : len(kind) - 6 + k]
+    return bool(near.any())
 
 
 def token_sets(texts: list[str], restorer: Restorer) -> list[set[str]]:
-    """The distinct words of each text, lower-cased, with restored ones in place of those that were disguised."""
+    """The distinct words of each text, lower-cased, and beside them the restored ones of those that were disguised."""
     out = []
     for text in texts:
         low = text.lower()
         words = {w.strip(EDGES) for w in low.split()}
         more = {w.strip(SIGNS + EDGES) for w in words if not w.isalpha()}
         for w in words:
-            if not w.isalpha() and 3 <= len(w) <= LONGEST:
-                core = w.rstrip("!+*|")
-                for x in {w, core}:
-                    if len(x) >= 3 and any("a" <= c <= "z" for c in x) and sum("a" <= c <= "z" or c in LOOKALIKE for c in x) == len(x):
+            if not w.isalpha() and len(w) >= 3:
+                for x in {w, w.rstrip("!+*|")}:
+                    if len(x) >= 3 and any(c.isalpha() for c in x) and all(c.isalpha() or c in LOOKALIKE for c in x):
                         more.add(restorer.restore(x))
-        if thrice(np.frombuffer(low.encode("utf-8", "replace"), np.uint8)).size:
-            more.update(restorer.restore(w) for w in words if w.isascii() and w.isalpha() and len(w) <= 2 * LONGEST and any(w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2)))
-        if " " in low or "." in low or "-" in low:
-            data = np.frombuffer(low.encode("latin-1", "replace"), np.uint8)
-            if _single(data):
-                more.update(restorer.restore(re.sub(r"[ ._-]", "", m[0])) for m in SINGLY.finditer(low))
+        code, kind = _points(low)
+        if _thrice(code, kind):
+            more.update(restorer.restore(w) for w in words if w.isalpha() and THRICE.search(w))
+        if _single(kind):
+            for m in SINGLY.finditer(low):
+                signs = m[0][::2]
+                if any(c.isalpha() for c in signs):
+                    more.update(restorer.restore(signs, True).split())
         words |= more
         words.discard("")
         out.append(words)
     return out
 
 
-@functools.cache
-def _kinds() -> np.ndarray:
-    out = np.zeros(256, np.uint8)
-    out[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789@$!|+*"]] = 1
-    out[[ord(c) for c in " ._-"]] = 2
-    return out
-
-
-def _single(data: np.ndarray) -> bool:
-    """Whether three signs stand singly in a row, as a quick test before the pattern."""
-    kind = _kinds()[data]
-    if len(kind) < 7:
-        return False
-    lone = (kind[1:-1] == 1) & (kind[:-2] != 1) & (kind[2:] != 1)
-    near = lone[:-2] & lone[2:]
-    near[:-1] |= lone[:-3] & lone[3:]
-    return bool((near[:-2] & near[2:]).any() or (near[:-3] & near[3:]).any())
-
-
-def features_of(words: set[str]) -> set[str]:
+def features_of(words) -> set[str]:
     out = set(words)
-    for n in (4, 5, 6):
+    for n in range(4, 9):
         out.update({f"{w[:n]}~" for w in words if len(w) > n})
     return out
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """text, toxic of at most ``most`` labelled rows, those of the least hashes of their ids."""
+    """text, toxic of at most ``most`` labelled rows, those of the least hashes of their ids. Of labels that differ for an id, 1 counts."""
     own = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
@@ -200,48 +237,67 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Labels are only read where crc32(doc_id) mod 5 is not 0. Without labels of both classes nothing is ever toxic."""
+    """Labels are only read where crc32(doc_id) mod 5 is not 0. Without labels of both classes nothing is ever toxic.
+
+    The documents are read once for the trigrams and once for the words of the labelled ones, which are written down;
+    everything after reads these.
+    """
     costs = trigram_costs([(r.code, r.n) for r in trigram_counts(docs).collect()])
-    rows = _train_rows(docs, labels, most)
+
+    def restored(batches):
+        restorer = Restorer(costs)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in slices([len(t) for t in texts], 200_000):
+                words = [sorted(w) for w in token_sets(texts[a:b], restorer)]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)[a:b].cast(pa.int32())], ["words", "toxic"])
+
+    rows = spill_table(_train_rows(docs, labels, most).mapInArrow(restored, "words array<string>, toxic int"), "labelled-words")
 
     def count(wanted, only):
         def run(batches):
-            restorer, found, n = Restorer(costs), Counter(), 0
+            found, n = Counter(), 0
             for batch in batches:
-                texts = [t or "" for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if y == only]
-                n += len(texts)
-                for words in token_sets(texts, restorer):
-                    got = features_of(words)
-                    found.update(got if wanted is None else got & wanted)
+                for words, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if y == only:
+                        n += 1
+                        got = features_of(words)
+                        found.update(got if wanted is None else got & wanted)
             yield pa.RecordBatch.from_arrays([pa.array(["", *found], pa.string()), pa.array([n, *found.values()], pa.int64())], ["feature", "n"])
 
         return rows.mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
-    with_pos = count(None, 1)
-    n_pos = next((r.n for r in with_pos.where("feature = ''").collect()), 0) or 0
-    if not n_pos:
-        return Model(costs, -5.0, {})
-    least = max(4, math.ceil(0.01 * n_pos))
-    pos = {r.feature: r.n for r in with_pos.where(f"feature <> '' and n >= {least}").orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
-    neg = {r.feature: r.n for r in count(frozenset(pos), 0).collect()}
-    n_neg = neg.pop("", 0)
-    if not n_neg:
-        return Model(costs, 5.0, {})
-    odds = {f: math.log((n + 0.5) / (n_pos + 1)) - math.log((neg.get(f, 0) + 0.5) / (n_neg + 1)) for f, n in pos.items()}
-    kept = sorted((f for f, o in odds.items() if o >= math.log(RATIO)), key=lambda f: (-pos[f] * odds[f], f))[:FEATURES]
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_pos or not n_neg:
+        return Model(costs, 5.0 if n_pos else -5.0, {})
+    # a feature stands in a hundredth of the toxic documents, so there are at most a hundred times as many as a document has
+    pos = {r.feature: r.n for r in count(None, 1).where(f"feature <> '' and n >= {least_count(n_pos)}").collect()}
+    neg = {r.feature: r.n for r in count(frozenset(pos), 0).where("feature <> ''").collect()}
+    kept = choose(pos, neg, n_pos, n_neg)
     place = {f: i for i, f in enumerate(kept)}
 
     def matched(batches):
-        restorer, held = Restorer(costs), place.keys()
+        held = place.keys()
         for batch in batches:
-            found = [[place[f] for f in held & features_of(w)] for w in token_sets([t or "" for t in batch.column(0).to_pylist()], restorer)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], ["found", "toxic"])
+            found = [sorted(place[f] for f in held & features_of(w)) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
 
     table = rows.mapInArrow(matched, "found array<int>, toxic int").groupBy("found", "toxic").agg(F.count("*").alias("n")).collect()
-    constant, weights = _regress([(sorted(r.found), r.toxic, r.n) for r in table], len(kept))
+    constant, weights = _regress([(r.found, r.toxic, r.n) for r in table], len(kept))
     return Model(costs, constant, {f: w for f, w in zip(kept, weights) if w})
 
 
+def least_count(n_pos: int, share: float = SHARE) -> int:
+    return max(4, math.ceil(share * n_pos))
+
+
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, ratio: float = RATIO, most: int = FEATURES) -> list[str]:
+    """Features that are ``ratio`` times as frequent in toxic documents, those that tell most first; at most ``most``."""
+    odds = {f: math.log((n + 0.5) / (n_pos + 1)) - math.log((neg.get(f, 0) + 0.5) / (n_neg + 1)) for f, n in pos.items()}
+    return sorted((f for f, o in odds.items() if o >= math.log(ratio)), key=lambda f: (-pos[f] * odds[f], f))[:most]
+
+
 def _regress(rows, size: int, rounds: int = 300, decay: float = 1e-4) -> tuple[float, list[float]]:
     """Logistic regression by accelerated gradient steps; rows are (features, label, how often)."""
     rows.sort()
@@ -293,8 +349,10 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "tex
 def judge(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: fits the model and scores every row of ``docs``.
 
-    Null and empty texts are scored like texts without words; a null id is never held out. Repeated rows stay. Empty
-    tables give no rows; further columns are neither read nor carried.
+    Null and empty texts are scored like texts without words; a null id is never held out. Repeated rows stay, and equal
+    texts have equal scores. Texts and words may be of any length. A score of just 0.5 counts as toxic. Labels of rows
+    that are not there are not used; of labels that differ for an id, 1 counts. Empty tables give no rows; further
+    columns are neither read nor carried, whatever their names.
     """
     scored = score(docs, fit(docs, labels, most))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
