@@ -1,24 +1,30 @@
-"""Substring dedup: every passage of ``min_words`` words or more that two documents share byte by byte.
+"""Substring dedup by content-defined chunks: every passage of ``min_words`` words or more that two documents share byte by byte.
 
 Words are runs of bytes without white space; a passage goes from the first letter or digit of its first word to the last
-one of its last word, so that signs around it do not matter. All hashes are of exact stretches of bytes, by differences
-of running sums. A window of ``min_words`` words is marked by the least hash of the grams of half its length inside it,
-which depends on nothing outside the window, so equal windows have equal marks. Windows that follow each other mostly
-share a mark and are one row. Where all rows of a mark in two documents are the same bytes, all their windows are
-repeated; where they differ, their windows are compared one by one. Repeated windows that follow each other are a
-passage, whose length is exact. Nothing is missed and, but for collisions of 64-bit hashes, nothing is added.
+one of its last word, so that signs around it do not matter. A gear hash rolls over the bytes: shifted by one bit a byte,
+its 32 bits know the last 32 bytes and nothing else. Cuts are the word ends at which the gear hash is least within reach:
+the cut of a window of ``min_words`` words is the least of its word ends whose 32 bytes lie in the window, so it depends
+on nothing outside, and an insertion moves no other cut. Windows that follow each other mostly share a cut; together they
+are a chunk, which varies in size, overlaps its neighbours by a window less a word, and has the hash of all its bytes as
+digest. So every window lies whole in the chunk of its cut, and a repeated window has the same cut wherever it stands.
+
+Chunks are counted by cut and digest. Where all chunks of a cut in two documents have one digest, all their windows are
+repeated; where digests differ, an exact check compares their windows one by one. Repeated windows that follow each other
+are a passage, whose length is exact. Nothing is missed and, but for collisions of 64-bit hashes, nothing is added.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from . import wordhash
-from .common import slices, spill_table
+from .common import join_counted, slices, spill_table
 
 MIN_WORDS = 50
 BLOCK_CHARS = 500_000
@@ -28,14 +34,53 @@ ROW_WINDOWS, ROW_STEP = 32, 1_000
 SLOTS = 21
 
 
-def least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` values that follow each other, by doubling."""
-    held = 1
-    while held * 2 <= width:
-        values = np.minimum(values[:-held], values[held:])
+#: Bytes that the gear hash knows.
+REACH = 32
+
+
+@functools.cache
+def gears() -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, 256, dtype=np.uint32)
+
+
+def gear_hashes(data: np.ndarray) -> np.ndarray:
+    """The gear hash after each byte, h = (h << 1) + gear[byte] in 32 bits, of all bytes at once by doubling."""
+    out, held = gears()[data], 1
+    while held < REACH:
+        out[held:] += out[:-held].copy() << np.uint32(held)
         held *= 2
-    extra = width - held
-    return np.minimum(values[:-extra], values[extra:]) if extra else values
+    return out
+
+
+def least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of ``values[low[i] : high[i] + 1]`` for each i, from the least of all stretches of a power of two."""
+    length = high - low + 1
+    power = np.frexp(length)[1] - 1
+    out, held = np.empty(len(low), values.dtype), values
+    for k in range(int(power.max(initial=0)) + 1):
+        own = np.flatnonzero(power == k)
+        out[own] = np.minimum(held[low[own]], held[high[own] - (1 << k) + 1])
+        if len(held) > 1 << k:
+            held = np.minimum(held[: -(1 << k)], held[1 << k :])
+    return out
+
+
+@functools.cache
+def _blanks() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint8)
+    out[[9, 10, 11, 12, 13]] = 32
+    return out
+
+
+def _flat(text: str) -> np.ndarray:
+    """The UTF-8 bytes of a text, with one blank for each run of white space."""
+    data = _blanks()[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    return data[np.concatenate(([True], (data[1:] != 32) | (data[:-1] != 32)))] if len(data) else data
+
+
+def _copy(data: np.ndarray) -> int:
+    """A hash of a whole text, that tells texts of one id apart."""
+    return int(np.array(xxhash.xxh3_64_intdigest(data.tobytes()) & 0xFFFFFFFF, np.uint32).view(np.int32))
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +96,7 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bits(marks: DataFrame) -> np.ndarray:
-    """A bit for each mark, by its lower bits; of bounded size, so marks that share a bit are not told apart."""
+    """A bit for each mark, by its lower bits; of bounded size, so marks that share a bit are not told apart: this spares rows, and decides nothing."""
     slot, bit = F.col("mark").bitwiseAND((1 << SLOTS) - 1).cast("int"), F.shiftright("mark", SLOTS).bitwiseAND(63).cast("int")
     found = marks.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << SLOTS, np.int64)
@@ -65,26 +110,23 @@ def among(held: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame, min_words: int = MIN_WORDS, wanted=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark, span: windows that follow each other and share a mark; ``span`` is the hash of all their bytes.
+    """doc_id, mark, span: the chunks; ``mark`` names the cut by its gear hash and its bytes, ``span`` is the digest of the chunk.
 
-    With ``wanted``, a broadcast pair of ``bits``, only rows whose mark may be in the first, as doc_id, mark, copy, word, n,
+    A chunk of more than ``ROW_WINDOWS`` windows is several rows. With ``wanted``, a broadcast pair of ``bits``, only
+    rows whose mark may be in the first, as doc_id, mark, copy, word, n,
     start, end, reach, hashes, steps: ``copy`` is a hash of the whole text, ``word`` the number of the first word, ``n``
     the number of windows; the first window stands from ``start`` to ``end``, the last one ends at ``reach``, in UTF-8
     bytes of the text in which any run of white space counts as one blank. Where the mark may be in the second, each
     window has its hash in ``hashes`` and in ``steps`` how far it begins and ends after the first. Null texts, and rows
     without an id, have none.
     """
-    gram = (min_words + 1) // 2
-    blank = np.arange(256, dtype=np.uint8)
-    blank[[9, 10, 11, 12, 13]] = 32
+    if 2 * min_words - 1 < REACH:
+        raise ValueError("windows have to be as long as the gear hash's reach")
 
     def block(ids, texts):
-        raw = []
-        for text in texts:
-            data = blank[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-            raw.append(data[np.concatenate(([True], (data[1:] != 32) | (data[:-1] != 32)))] if len(data) else data)
+        raw = [_flat(text) for text in texts]
         begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-        data = np.concatenate([x for r in raw for x in (r, blank[32:33])])
+        data = np.concatenate([x for r in raw for x in (r, _blanks()[32:33])])
         starts, first, last = _words(data)
         n = len(starts) - min_words + 1
         if n <= 0:
@@ -94,8 +136,12 @@ def marked(docs: DataFrame, min_words: int = MIN_WORDS, wanted=None, id_col: str
         np.cumsum(wordhash.byte_values()[data] * powers[: len(data)], out=total[1:])
         stretch = lambda a, z: wordhash.mix((total[z] - total[a]) * inverse[a])
         text_of = np.searchsorted(begin, starts, side="right") - 1
-        mark = least(stretch(first[: len(first) - gram + 1], last[gram - 1 :]), min_words - gram + 1)
         whole = text_of[:n] == text_of[min_words - 1 :]
+        # a cut by its gear hash, and by a digest of the bytes that this knows
+        back = np.maximum(last - REACH, 0)
+        cut = gear_hashes(data)[last - 1].astype(np.uint64) << np.uint64(32) | stretch(back, last) >> np.uint64(32)
+        high = np.arange(n) + min_words - 1
+        mark = least_between(cut, np.minimum(np.searchsorted(last, first[:n] + REACH), high), high)
         a, z = first[:n], last[min_words - 1 :]
         ahead = np.ones(n, bool)  # begins a row
         ahead[1:] = (mark[1:] != mark[:-1]) | (text_of[1:n] != text_of[: n - 1]) | (np.diff(a) > ROW_STEP) | (np.diff(z) > ROW_STEP)
@@ -120,7 +166,7 @@ def marked(docs: DataFrame, min_words: int = MIN_WORDS, wanted=None, id_col: str
         of, base = at[np.repeat(each, counts)], np.repeat(i[each], counts[each])
         steps = (a[of] - a[base]) << 16 | (z[of] - z[base])
         offsets = pa.array(np.concatenate(([0], np.cumsum(np.where(each, counts, 0)))).astype(np.int32))
-        copies = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in raw], np.uint64).astype(np.uint32).view(np.int32)
+        copies = np.array([_copy(r) for r in raw], np.int32)
         doc = text_of[i]
         places = (i - np.searchsorted(starts, begin)[doc], counts, a[i] - begin[doc], z[i] - begin[doc], z[j] - begin[doc])
         columns = [pa.array(ids[doc]), pa.array(mark[i].view(np.int64)), pa.array(copies[doc]), *(pa.array(x.astype(np.int32)) for x in places)]
@@ -139,31 +185,82 @@ def marked(docs: DataFrame, min_words: int = MIN_WORDS, wanted=None, id_col: str
     return rows.mapInArrow(run, "doc_id long, mark long, " + ("span long" if wanted is None else more))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, end, n_words, most_words, other_id: one row for each repeated passage of each document.
-
-    ``start`` and ``end`` are places in the text as in ``marked``; ``n_words`` is the passage's length, and so is
-    ``most_words``; ``other_id`` is a document that holds its first ``min_words`` words too, the least of them or, in that
-    one, the greatest. Documents without repeated passages have no row. Rows that repeat a doc_id count as one document,
-    whose equal texts are one; an empty table gives no rows; further columns are not carried.
-
-    Marks and windows are counted by aggregations that combine before the shuffle, so a very common one is a few rows;
-    the joins back can be split by Spark where one is very common. Passages are put together within each document.
-    """
-    low, high = F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    marks = marked(docs, min_words, None, id_col, text_col).groupBy("mark").agg(low, high, (F.min("span") == F.max("span")).alias("same")).where("low < high")
+def _repeated(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, copy, word, n, start, end, low, other_id: runs of windows that another document holds too, ``low`` being the least id that does."""
+    low, high, count = F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows_of")
+    marks = marked(docs, min_words, None, id_col, text_col).groupBy("mark").agg(low, high, count, (F.min("span") == F.max("span")).alias("same")).where("low < high")
     marks = spill_table(marks, "marks")
     wanted = docs.sparkSession.sparkContext.broadcast((bits(marks), bits(marks.where("not same"))))
     other = F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low")).alias("other_id")
-    shared = spill_table(marked(docs, min_words, wanted, id_col, text_col).join(marks, "mark").select("doc_id", "copy", "word", "n", "start", "end", "reach", "hashes", "steps", "same", other), "marked")
-    alike = shared.where("same").select("doc_id", "copy", "word", "n", "start", F.col("reach").alias("end"), "other_id")
+    again = marked(docs, min_words, wanted, id_col, text_col)
+    shared = spill_table(join_counted(again, marks, ["mark"], "rows_of", F.col("doc_id")).select("doc_id", "copy", "word", "n", "start", "end", "reach", "hashes", "steps", "same", "low", other), "marked")
+    alike = shared.where("same").select("doc_id", "copy", "word", "n", "start", F.col("reach").alias("end"), "low", "other_id")
     every = shared.where("not same").select("doc_id", "copy", "word", "start", "end", F.posexplode(F.arrays_zip("hashes", "steps")).alias("k", "w"))
     every = every.select("doc_id", "copy", (F.col("word") + F.col("k")).alias("word"), (F.col("start") + F.shiftright("w.steps", 16)).alias("start"), (F.col("end") + F.col("w.steps").bitwiseAND(0xFFFF)).alias("end"), F.col("w.hashes").alias("hash"))
-    repeated = every.groupBy("hash").agg(low, high).where("low < high")
-    single = every.join(repeated, "hash").select("doc_id", "copy", "word", F.lit(1).alias("n"), "start", "end", other)
-    held = alike.unionByName(single).repartition("doc_id").dropDuplicates(["doc_id", "copy", "word"])  # one shuffle serves this and the windows
+    repeated = every.groupBy("hash").agg(low, high, count).where("low < high")
+    single = join_counted(every, repeated, ["hash"], "rows_of", F.col("doc_id")).select("doc_id", "copy", "word", F.lit(1).alias("n"), "start", "end", "low", other)
+    return alike.unionByName(single)
+
+
+def _runs(held: DataFrame, min_words: int) -> DataFrame:
+    """Stretches of repeated windows that follow each other, within each document."""
+    held = held.repartition("doc_id").dropDuplicates(["doc_id", "copy", "word"])  # one shuffle serves this and the windows
     before = F.sum("n").over(Window.partitionBy("doc_id", "copy").orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
     runs = held.withColumn("run", F.col("word") - F.coalesce(before, F.lit(0)))  # the same for windows that follow each other
     found = runs.groupBy("doc_id", "copy", "run").agg(F.min(F.struct("word", "start", "other_id")).alias("a"), F.max("end").alias("end"), F.sum("n").alias("n"))
     words = (F.col("n") + (min_words - 1)).cast("int")
-    return found.select("doc_id", F.col("a.start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), words.alias("n_words"), words.alias("most_words"), F.col("a.other_id").alias("other_id"))
+    return found.select("doc_id", "copy", F.col("a.start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), words.alias("n_words"), F.col("a.other_id").alias("other_id"))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, end, n_words, most_words, other_id: one row for each repeated passage of each document.
+
+    ``start`` and ``end`` are places in the text as in ``marked``; ``n_words`` is the passage's length, and so is
+    ``most_words``; ``other_id`` is a document that holds its first ``min_words`` words too, the least of them or, in that
+    one, the greatest. Documents without repeated passages have no row: null and empty texts, texts of fewer words, and
+    passages that only repeat within one document. Rows without an id are not looked at, as nothing could be said of
+    them. Rows that repeat a doc_id count as one document; each of its distinct texts is reported, once. Texts may be of
+    any length; an empty table gives no rows; further columns are not carried, whatever their names.
+
+    Chunks and windows are counted by aggregations that combine before the shuffle, so a very common one is a few rows;
+    in the joins back its rows are dealt to several tasks. Passages are put together within each document.
+    """
+    found = _runs(_repeated(docs, min_words, id_col, text_col), min_words)
+    return found.select("doc_id", "start", "end", "n_words", F.col("n_words").alias("most_words"), "other_id")
+
+
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every passage cut from the text that a document of a lower id holds too. Other columns stay.
+
+    A word goes if some window around it stands in a document of a lower id, so all that is cut is kept somewhere, and
+    of each passage the copy of the least id stays. Where a passage went, a line break is left. Texts without any, null
+    texts and rows without an id are unchanged; of others each run of white space becomes one blank.
+    """
+    held = _repeated(docs, min_words, id_col, text_col).where("low < doc_id")
+    cuts = _runs(held, min_words).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    names, at = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index(text_col)  # by place, as any name may be taken
+    keyed = docs.toDF(*names).withColumn("id", F.col(names[docs.columns.index(id_col)]).cast("long"))
+
+    def digests(batches):
+        for batch in batches:
+            yield batch.append_column("own", pa.array([None if t is None else _copy(_flat(t)) for t in batch.column(at).to_pylist()], pa.int32()))
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for k, ranges in enumerate(batch.column(len(names)).to_pylist()):
+                if ranges:
+                    data, out, reach = _flat(texts[k]).tobytes(), [], 0
+                    for r in ranges:
+                        out.append(data[reach : r["start"]])
+                        reach = max(reach, r["end"])
+                    out.append(data[reach:])
+                    texts[k] = b"\n".join(out).decode("utf-8", "replace")
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = docs.columns
+    rows = keyed.mapInArrow(digests, T.StructType([*keyed.schema.fields, T.StructField("own", T.IntegerType())]))
+    both = rows.join(cuts.select(F.col("doc_id").alias("id"), F.col("copy").alias("own"), "cuts"), ["id", "own"], "left")
+    return both.select(*names, "cuts").mapInArrow(cut, docs.schema)
