@@ -4,17 +4,19 @@ Texts and items are taken as lower-cased words, and as shingles of five words. F
 rounded down to a grid, by an eighth at most, and such an item is looked for by its first and its last window of the size),
 every window of a document gets a SimHash of its shingles. The counts of all 64 bits of a window are kept in eight
 machine words, a byte for each bit, and come from differences of running sums. Fingerprints within the radius of an
-item's agree with it in at least one of four blocks of 16 bits up to that block's share of the radius; tables of all
-block values so near give the windows to compare, and none within the radius is missed. For each hit the window is
-widened to the item's own size, and the weighted Jaccard similarity of the two bags of shingles, by their counts, is
+item's agree with it in at least one of four blocks of 16 bits up to that block's share of the radius; for each block an
+index leads from each of its values to the items so near, so a window is only compared with these, and none within the
+radius is missed. For each hit the window is widened to the item's own size, and the weighted Jaccard similarity of the two bags of shingles, by their counts, is
 computed; at 0.8 or more the document holds the item. A text with fewer shingles than an item is compared as a whole, by
 the shingles that the two share, and so are all windows of a text with items of more shingles than a byte counts.
 
-Documents are not shuffled. Items go to the executors in blocks of bounded size, with a pass over the documents for each.
+Documents are not shuffled. Items are broadcast in blocks of bounded size, with a pass over the documents for each; a
+worker builds the index of a block once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections import Counter, defaultdict
@@ -30,7 +32,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bits that may differ, as shares of the blocks: the sum of (share + 1) is one more than the radius.
 RADIUS, SHARES = 16, (4, 3, 3, 3)
 #: Items and characters of items in one pass.
-PASS_ITEMS, PASS_CHARS = 5_000, 8_000_000
+PASS_ITEMS, PASS_CHARS = 4_000, 8_000_000
 BLOCK_CHARS = 800_000
 LONGEST = 255
 ONES = np.uint64(0x0101010101010101)
@@ -76,6 +78,24 @@ def near_values(value: int, radius: int) -> np.ndarray:
     return np.array(masks, np.int64) ^ value
 
 
+class Block:
+    """For each value of 16 bits, the entries whose own value is within ``radius`` of it."""
+
+    def __init__(self, values: np.ndarray, radius: int):
+        masks = near_values(0, radius).astype(np.uint16)
+        near = (values[:, None] ^ masks[None, :]).ravel()
+        order = np.argsort(near, kind="stable")
+        kind = np.uint16 if len(values) < 1 << 16 else np.uint32
+        self.entries = (order // len(masks)).astype(kind)
+        self.start = np.searchsorted(near[order], np.arange((1 << 16) + 1)).astype(np.int32)
+
+    def near(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a value, entry) for all entries near each of ``values``."""
+        low = self.start[values]
+        which, place = _spread(low, self.start[values.astype(np.int32) + 1] - low, np.arange(len(values), dtype=np.int32))
+        return which, self.entries[place].astype(np.int64)
+
+
 class Index:
     """Items by the size of their windows."""
 
@@ -103,11 +123,9 @@ class Index:
         self.long, self.long_by = self.held[long], self.held_by[long]
         self.sizes = {}
         for size, found in entries.items():
-            tables = np.zeros((4, 1 << 16), bool)
-            for fp, _, _ in found:
-                for b, share in enumerate(SHARES):
-                    tables[b][near_values(int(fp) >> 16 * b & 0xFFFF, share)] = True
-            self.sizes[size] = (tables, np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found]), np.array([x[2] for x in found]))
+            fps = np.array([x[0] for x in found], np.uint64)
+            parts = fps.view("<u2").reshape(-1, 4)
+            self.sizes[size] = ([Block(parts[:, b], share) for b, share in enumerate(SHARES)], fps, np.array([x[1] for x in found]), np.array([x[2] for x in found]))
 
     def matches(self, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words): the best window for each text and item it holds."""
@@ -118,21 +136,21 @@ class Index:
             return []
         sums = lanes(hashes)
         text_of = np.repeat(np.arange(len(texts)), np.diff(at))
-        for size, (tables, fps, item_of, offset_of) in self.sizes.items():
+        for size, (blocks, fps, item_of, offset_of) in self.sizes.items():
             own = window_fingerprints(sums, size)
             if not len(own):
                 continue
-            parts = own.view("<u2").reshape(-1, 4)
-            near = tables[0][parts[:, 0]]
-            for b in range(1, 4):
-                near |= tables[b][parts[:, b]]
-            near &= text_of[: len(own)] == text_of[size - 1 :]
-            at_window = np.flatnonzero(near)
-            window = own[at_window]
-            for e in range(len(fps)):
-                hit = at_window[np.bitwise_count(window ^ fps[e]) <= RADIUS]
-                if hit.size:
-                    self._verify(hit - offset_of[e], text_of[hit], int(item_of[e]), hashes, at, similarity, best)
+            inside = np.flatnonzero(text_of[: len(own)] == text_of[size - 1 :])
+            window, hits = own[inside], []
+            parts = window.view("<u2").reshape(-1, 4)
+            for b, block in enumerate(blocks):
+                which, entry = block.near(parts[:, b])
+                close = np.bitwise_count(window[which] ^ fps[entry]) <= RADIUS
+                hits.append(which[close].astype(np.int64) * len(fps) + entry[close])
+            which, entry = np.divmod(np.unique(np.concatenate(hits)), len(fps))
+            for e in np.unique(entry).tolist():
+                hit = inside[which[entry == e]]
+                self._verify(hit - offset_of[e], text_of[hit], int(item_of[e]), hashes, at, similarity, best)
         self._short(hashes, at, similarity, best)
         self._long(hashes, at, text_of, similarity, best)
         return [(t, self.items[i][0], s, a, n) for (t, i), (s, a, n) in sorted(best.items())]
@@ -230,19 +248,41 @@ def _holders(held, held_by, hashes) -> tuple[np.ndarray, np.ndarray]:
     return held_by[place], which
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words: one row for each item that a document holds, none for clean documents.
+#: Indexes that this worker has built, by a digest of their items; the last two.
+_BUILT: dict[str, Index] = {}
 
-    Null and empty texts, and items of fewer than five words or without an id, match nothing. Repeated rows of documents
-    are reported each; items of the same text too. Empty tables give no rows; further columns are not carried.
-    """
+
+def _index(items) -> Index:
+    held = items.value
+    key = hashlib.sha256(repr(held).encode()).hexdigest()
+    if key not in _BUILT:
+        while len(_BUILT) > 1:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = Index(held)
+    return _BUILT[key]
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> list:
+    """Broadcasts of the items, in blocks of bounded size. Equal items are in one block."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     passes = max(1, math.ceil(count / PASS_ITEMS), math.ceil(chars / PASS_CHARS))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    return [docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.where(block == k).collect()]) for k in range(passes)]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, similarity, first_word, n_words: one row for each item that a document holds, none for clean documents.
+
+    Null and empty texts match nothing. Nor do items without an id or a text, and those of fewer than five words: they
+    have no shingle, and so short a run of words stands in many a clean text. The place is that of the window of the
+    greatest similarity; of windows that tie, the first by size of window and place. Repeated rows of documents are
+    reported each, items of the same text too, rows without an id with a null id. Texts may be of any length. Empty
+    tables give no rows; further columns are not carried, whatever their names.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for k in range(passes):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
+    for part in _passes(docs, benchmark, item_col, item_text):
         found = rows.mapInArrow(_searcher(part, similarity), "doc_id long, item_id long, similarity double, first_word int, n_words int")
         out = found if out is None else out.unionByName(found)
     return out
@@ -250,19 +290,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns. Nulls as in ``contaminated``; no shuffle."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
-    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    passes = max(1, math.ceil(count / PASS_ITEMS), math.ceil(chars / PASS_CHARS))
     at = docs.columns.index(text_col)
-    for k in range(passes):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
+    for part in _passes(docs, benchmark, "item_id", "text"):
         docs = docs.mapInArrow(_cleaner(part, similarity, at), docs.schema)
     return docs
 
 
 def _cleaner(part, similarity, at):
     def run(batches):
-        index = Index(part)
+        index = _index(part)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = np.ones(len(texts), bool)
@@ -275,7 +311,7 @@ def _cleaner(part, similarity, at):
 
 def _searcher(part, similarity):
     def run(batches):
-        index = Index(part)
+        index = _index(part)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
