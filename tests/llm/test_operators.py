@@ -275,7 +275,7 @@ def test_urls(spark, sf):
 
 def test_licences(spark, docs, empty):
     rows = [(1, "Text.\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "All rights reserved."), (4, "He lost his driving license in the city."), (5, None), (6, ""), (7, "plain words only"), (8, "Licensed under the Apache License, Version 2.0."), (9, "Licensed under CC BY-NC 4.0.")]
-    got = {r.doc_id: (r.line, r.licence, r.confirmed) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.paragraph, r.licence, r.confirmed) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, "mit", True), 2: (0, "gpl-3.0", True), 3: (0, "proprietary", True), 8: (0, "apache-2.0", True), 9: (0, "cc-by-nc", True)}
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() > 0
 

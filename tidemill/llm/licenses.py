@@ -1,10 +1,13 @@
 """Licence scan with DataFrame functions only: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. Features are word n-grams (1 to 3) that hold a cue word, so a paragraph without cue
-words has no features and is of no licence; a pattern of the cue words finds the others. Weights are those of a sparse
-multinomial logistic regression, trained on the driver from the templates and counterexamples below, with a class for
-unknown text. The temperature of its probabilities is set on templates held out in turn, and so is the least probability
-of a known class. A prediction is confirmed if the paragraph holds most of the n-grams of one of the class's templates.
+Paragraphs are lines; a line that breaks off within a sentence goes on in the next one, as in text wrapped at a fixed
+width, and blank lines always end one. Features are all word n-grams (1 to 3). A sparse multinomial logistic regression,
+trained on the driver from the examples below, keeps some of them (the vocabulary); its classes are
+the licence families and unknown text. The temperature of its probabilities is set on examples held out in turn, and so
+is the least probability of a known class. A prediction is confirmed if the paragraph holds most of the n-grams of one
+of the class's templates. Every paragraph is classified: words are looked up in the vocabulary by their 64-bit hashes,
+n-grams by those of their words, in literal tables of buckets; a paragraph without any word of the vocabulary has the
+constant's verdict, which is unknown (``model`` sees to that).
 """
 
 from __future__ import annotations
@@ -13,13 +16,14 @@ import functools
 import json
 import math
 import re
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-CUES = frozenset(
-    "license licensed licence licenced licensing copyright copyrighted copyleft rights reserved warranty redistribution redistribute permission apache gnu gpl lgpl agpl mozilla mpl bsd isc cc cc0 creative commons unlicense eclipse epl domain spdx attribution sharealike noncommercial proprietary confidential".split()
-)
+from .common import let
+
 UNKNOWN = "unknown"
 TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache License 2.0.", "Apache License Version 2.0, January 2004"),
@@ -43,118 +47,205 @@ TEMPLATES = {
         "Civil rights were the subject of the debate.", "The commons voted on the bill.", "Creative people work at night.", "A warranty of two years came with the fridge.",
         "Copyright law is taught in the second year.", "The apache helicopter landed.", "He works in the domain of physics.", "The solar eclipse was seen in spring.", "A dog license is required in the city.",
         "The table was reserved for eight.", "The gnu is a large antelope.", "Redistribution of wealth was the theme of his speech.", "The letter was confidential.",
+        "The train to the coast leaves at ten and is seldom late.", "She wrote the second version of the report in January.", "Under the bridge the water is two metres deep.", "This file is too large to be sent by mail.",
+        "You may not use this door after six.", "The work was done by three people in a week.", "Any person over sixty travels free of charge.", "The terms of the loan were hard to understand.",
+        "All of the students passed the test at the university.", "Released in 1994, the film was seen by millions.", "The foundation of the house was laid in 2004.", "The public library is open on Sundays.",
+        "General Lee lost the battle.", "The source of the river lies in the mountains.", "Version 2.0 of the game runs faster.", "The software is installed on every machine.", "To the north lies the sea, to the south the desert.",
+        "import os", "def main(args):", "for i in range(10): print(i)", "Le train part à dix heures.", "Der Zug fährt um zehn Uhr ab.", "Er kam mit dem Zug.", "Mit und ohne Zucker.", "Sie spielt mit ihm.", "Mit ihr.", "El tren sale a las diez.", "", "", "", "",
     ),
 }
 
 
+#: Names by which notices call a licence, and what notices say of it: further examples.
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"),
+    "mit": ("MIT License", "MIT licence", "Expat MIT license"),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GPLv3 license", "GNU General Public License v3.0"),
+    "gpl-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GPLv2 license", "GNU General Public License v2.0"),
+    "lgpl": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v3", "GNU Lesser General Public License"),
+    "agpl-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3", "Affero General Public License"),
+    "bsd": ("BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "3-clause BSD license"),
+    "mpl-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0 license"),
+    "cc-by": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license", "Creative Commons Attribution 3.0 license"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license", "CC BY-SA 3.0 license"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 license", "CC BY-NC 3.0 license"),
+    "cc0": ("CC0 1.0 Universal public domain dedication", "CC0 license", "Creative Commons Zero, CC0 1.0"),
+    "public-domain": ("Unlicense, into the public domain", "terms of the Unlicense"),
+    "isc": ("ISC License", "ISC licence", "ISC open source license"),
+    "epl-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL 2.0 license"),
+}
+PHRASES = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "The code is available under the {}, see the file LICENSE.", "{}")
+EXAMPLES = {k: (*own, *(x.format(n) for n in NAMES.get(k, ()) for x in PHRASES)) for k, own in TEMPLATES.items()}
+#: What a line that goes on in the next one ends with, and what that begins with.
+SOFT_BREAK = r"\n(?<=[^\n]{40}[a-z0-9,;\"]\n)[ \t]*(?=[a-z(])"
+WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+SEED, BUCKETS, FLAGS = 42, 1024, 1 << 16
+
+
+def paragraphs_of(text: str) -> list[str]:
+    return re.split("\r?\n", re.sub(SOFT_BREAK, " ", text))
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters and digits of ASCII, with single points and hyphens within."""
-    return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+    return re.findall(WORD, text.lower())
 
 
 def grams_of(words: list[str]) -> set[str]:
-    parts = [re.split(r"[.-]", w) for w in words]
-    cue = [any(p in CUES for p in x) for x in parts]
-    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if any(cue[i : i + n])}
+    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+
+def norm_of(words: list[str]) -> float:
+    """The root of the number of n-grams, repeats included; 1 at least."""
+    return math.sqrt(max(1, sum(max(0, len(words) - n + 1) for n in (1, 2, 3))))
+
 
+def gram_hash(gram: str) -> int:
+    """As Spark's xxhash64 of the words: each word's hash is the next one's seed. Signed."""
+    h = SEED
+    for word in gram.split(" "):
+        h = xxhash.xxh64_intdigest(word.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
 
-def _fit(rows: list[tuple[set[str], int]], classes: int, rounds: int = 300, rate: float = 0.5, decay: float = 2e-3, l1: float = 2e-4) -> tuple[dict[str, int], np.ndarray]:
-    vocabulary = {g: i for i, g in enumerate(sorted(set().union(*(g for g, _ in rows))))}
-    x = np.zeros((len(rows), len(vocabulary) + 1))
-    for k, (grams, _) in enumerate(rows):
-        x[k, [vocabulary[g] for g in grams]] = 1 / math.sqrt(max(1, len(grams)))
+
+def _fit(rows: list[tuple[str, int]], classes: int, rounds: int = 200, rate: float = 0.5, decay: float = 2e-3, l1: float = 2e-4) -> tuple[dict[str, int], np.ndarray]:
+    """The vocabulary of n-grams with a weight, and the weights, the last row being the constants. Each class counts alike."""
+    held = [(grams_of(words_of(t)), norm_of(words_of(t)), c) for t, c in rows]
+    seen = Counter(g for grams, _, _ in held for g in grams)
+    vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 1))}  # what one example has alone tells little
+    x = np.zeros((len(rows), len(vocabulary) + 1), np.float32)
+    for k, (grams, norm, _) in enumerate(held):
+        x[k, [vocabulary[g] for g in grams if g in vocabulary]] = 1 / norm
     x[:, -1] = 1
-    y = np.eye(classes)[[c for _, c in rows]]
-    w = np.zeros((x.shape[1], classes))
+    y = np.eye(classes, dtype=np.float32)[[c for _, c in rows]]
+    w = np.zeros((x.shape[1], classes), np.float32)
     for _ in range(rounds):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         w -= rate * 10 * (x.T @ (p - y) / len(rows) + decay / 10 * w)
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * l1, 0)
-    return vocabulary, w
+    some = np.flatnonzero(np.abs(w[:-1]).max(axis=1) > 0)
+    names = sorted(vocabulary)
+    return {names[i]: k for k, i in enumerate(some.tolist())}, np.round(np.concatenate((w[:-1][some], w[-1:])).astype(np.float64), 6)
 
 
-def _logits(grams: set[str], vocabulary: dict[str, int], w: np.ndarray) -> np.ndarray:
-    known = [vocabulary[g] for g in grams if g in vocabulary]
-    return w[-1] + w[known].sum(axis=0) / math.sqrt(max(1, len(grams)))
+def _logits(text: str, vocabulary: dict[str, int], w: np.ndarray) -> np.ndarray:
+    words = words_of(text)
+    known = [vocabulary[g] for g in grams_of(words) if g in vocabulary]
+    return w[-1] + w[known].sum(axis=0) / norm_of(words)
+
+
+@functools.cache
+def _held_out(folds: int = 5) -> list[tuple[np.ndarray, int]]:
+    """Logits and class of every example, by a model fitted without its fold."""
+    names = list(EXAMPLES)
+    rows = [(t, k) for k, n in enumerate(names) for t in EXAMPLES[n]]
+    out = []
+    for fold in range(folds):
+        vocabulary, w = _fit([r for i, r in enumerate(rows) if i % folds != fold], len(names))
+        out += [(_logits(t, vocabulary, w), c) for i, (t, c) in enumerate(rows) if i % folds == fold]
+    return out
 
 
 @functools.cache
 def model() -> dict:
     """Vocabulary, weights, temperature and least probability of a known class."""
-    names = list(TEMPLATES)
-    rows = [(grams_of(words_of(t)), k) for k, n in enumerate(names) for t in TEMPLATES[n]]
-    held = []
-    for fold in range(5):
-        vocabulary, w = _fit([r for i, r in enumerate(rows) if i % 5 != fold], len(names))
-        held += [(_logits(g, vocabulary, w), c) for i, (g, c) in enumerate(rows) if i % 5 == fold]
+    names = list(EXAMPLES)
+    unknown, held = names.index(UNKNOWN), _held_out()
 
     def loss(t: float) -> float:
         return sum(math.log(np.exp(z / t - (z / t).max()).sum()) - (z[c] / t - (z / t).max()) for z, c in held)
 
     temperature = min((t / 20 for t in range(4, 61)), key=loss)
-    vocabulary, w = _fit(rows, len(names))
-    unknown = names.index(UNKNOWN)
+    vocabulary, w = _fit([(t, k) for k, n in enumerate(names) for t in EXAMPLES[n]], len(names))
+    if int(w[-1].argmax()) != unknown:
+        raise ValueError("text without any known word has to count as unknown")
     false = [np.exp(z / temperature - (z / temperature).max()) for z, c in held if c == unknown]
     least = max([0.3, *(float(np.delete(p / p.sum(), unknown).max()) for p in false)])
     return {"names": names, "vocabulary": vocabulary, "weights": w, "temperature": temperature, "least": min(0.6, least)}
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def judge_paragraph(text: str, least: float | None = None) -> tuple[str, float, float]:
+    """(class, probability, similarity) of one paragraph in plain Python: the reference of ``scan``."""
+    held = model()
+    names, vocabulary = held["names"], held["vocabulary"]
+    z = _logits(text, vocabulary, held["weights"]) / held["temperature"]
+    best = int(z.argmax())
+    probability = 1 / float(np.exp(z - z[best]).sum())
+    own = grams_of(words_of(text))
+    known = {g for g in own if g in vocabulary}
+    shares = [len({g for g in grams_of(words_of(t)) if g in vocabulary} & known) / len({g for g in grams_of(words_of(t)) if g in vocabulary}) for t in EXAMPLES[names[best]] if any(g in vocabulary for g in grams_of(words_of(t)))]
+    return names[best], probability, max(shares, default=0.0)
 
 
-def paragraph_words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+def _constant(value, kind: str) -> Column:
+    """One literal, folded by the optimizer."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _cue_grams(words: Column) -> Column:
-    cue = "(^|[ .-])(" + "|".join(sorted(CUES)) + ")($|[ .-])"
-    at = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-    every = F.concat(*[F.coalesce(at(n), F.array().cast("array<string>")) for n in (1, 2, 3)])
-    return F.filter(F.array_distinct(every), lambda g: g.rlike(cue))
+def _lookup(hashes: dict[int, int]):
+    """A function of a hash column: the number that belongs to the hash, or null."""
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for h, i in hashes.items():
+        buckets[h % BUCKETS].append({"h": h, "i": i})
+    table = _constant(buckets, "array<array<struct<h:bigint,i:int>>>")
+    return lambda h: F.get(F.filter(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), lambda x: x["h"] == h), F.lit(0))["i"]
 
 
 def scan(docs: DataFrame, least: float | None = None, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line (from 0), licence, probability, similarity, confirmed: one row for each paragraph of a known licence; no shuffle.
+    """doc_id, paragraph (from 0), licence, probability, similarity, confirmed: one row for each paragraph of a known licence; no shuffle.
 
     ``similarity`` is the largest share of a template's n-grams that the paragraph holds, over the templates of the
-    predicted class; ``confirmed`` if it is ``confirm`` or more. Null and empty texts, and texts without cue words, give
-    no rows. Repeated rows and lines are reported each; an empty table gives none; further columns are not carried.
+    predicted class; ``confirmed`` if it is ``confirm`` or more. Of classes that tie, the first of ``EXAMPLES`` counts.
+    Null and empty texts give no rows. Texts and lines may be of any length. Repeated rows and paragraphs are reported
+    each, rows without an id with a null id; an empty table gives none; further columns are not carried, whatever their
+    names.
     """
     held = model()
     least = held["least"] if least is None else least
     names, vocabulary, w, t = held["names"], held["vocabulary"], held["weights"], held["temperature"]
-    gate = "(?i)(?<![a-z0-9])(" + "|".join(sorted(CUES)) + ")(?![a-z0-9])"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(gate))
-    lines = rows.select("doc_id", F.posexplode(F.split("_text", "\r?\n", -1)).alias("line", "_line")).where(F.col("_line").rlike(gate))
-    order = sorted(vocabulary, key=vocabulary.get)
-    constants = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)  # noqa: E731  one literal, folded by the optimizer
-    index = constants(vocabulary, "map<string,int>")
-    table = constants([[round(float(v), 6) for v in w[i]] for i in range(len(order))], "array<array<double>>")
-    constant = constants([round(float(v), 6) for v in w[-1]], "array<double>")
+    unknown = names.index(UNKNOWN)
+    parts = sorted({x for g in vocabulary for x in g.split(" ")})
+    some = [False] * FLAGS
+    for x in parts:
+        some[gram_hash(x) % FLAGS] = True
+    flags = _constant(some, "array<boolean>")
+    gram_number = _lookup({gram_hash(g): i for g, i in vocabulary.items()})
+    weights, constant = _constant(w[:-1].tolist(), "array<array<double>>"), _constant(w[-1].tolist(), "array<double>")
     # n-grams of each template as numbers of the vocabulary
-    templates = constants([[sorted(vocabulary[g] for g in grams_of(words_of(x))) for x in TEMPLATES[n] if grams_of(words_of(x))] for n in names], "array<array<array<int>>>")
-    zero = F.array_repeat(F.lit(0.0), len(names))
+    templates = _constant([[sorted(vocabulary[g] for g in grams_of(words_of(x)) if g in vocabulary) for x in EXAMPLES[n] if any(g in vocabulary for g in grams_of(words_of(x)))] for n in names], "array<array<array<int>>>")
 
-    def judged(grams: Column) -> Column:
-        known = F.filter(F.transform(grams, lambda g: F.try_element_at(index, g)), lambda i: i.isNotNull())
-        return _let(known, lambda k: _let(logits(grams, k), lambda z: _let(F.array_max(z), lambda top: classed(k, z, top))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).where("_text is not null")
+    lines = rows.select("doc_id", F.posexplode(F.split(F.regexp_replace("_text", SOFT_BREAK, " "), "\r?\n", -1)).alias("paragraph", "_line"))
+    words = F.regexp_extract_all(F.lower("_line"), F.lit(WORD), F.lit(0))
 
-    def logits(grams: Column, known: Column) -> Column:
-        total = F.aggregate(known, zero, lambda acc, i: F.zip_with(acc, F.get(table, i), lambda a, b: a + b))
-        scale = F.greatest(F.sqrt(F.size(grams).cast("double")), F.lit(1.0))
-        return _let(scale, lambda s: F.zip_with(total, constant, lambda a, b: (a / s + b) / F.lit(float(t))))
+    def known_grams(words: Column) -> Column:
+        """Numbers of the paragraph's n-grams that the vocabulary has; they begin at words whose flag is set, as those of the vocabulary's are."""
+        spots = F.array_compact(F.transform(words, lambda x, i: F.when(F.get(flags, F.pmod(F.xxhash64(x), F.lit(FLAGS)).cast("int")), i)))
+        at = lambda i, k: F.get(words, i + k)
+        each = lambda i: F.array(gram_number(F.xxhash64(at(i, 0))), F.when(at(i, 1).isNotNull(), gram_number(F.xxhash64(at(i, 0), at(i, 1)))), F.when(at(i, 2).isNotNull(), gram_number(F.xxhash64(at(i, 0), at(i, 1), at(i, 2)))))
+        return F.array_distinct(F.filter(F.flatten(F.transform(spots, each)), lambda i: i.isNotNull()))
+
+    def logits(known: Column, words: Column) -> Column:
+        total = F.aggregate(known, F.array_repeat(F.lit(0.0), len(names)), lambda acc, i: F.zip_with(acc, F.get(weights, i), lambda a, b: a + b))
+        n = F.size(words)
+        count = n + F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))
+        return let(F.greatest(F.sqrt(count.cast("double")), F.lit(1.0)), lambda s: F.zip_with(total, constant, lambda a, b: (a / s + b) / F.lit(float(t))))
 
     def classed(known: Column, z: Column, top: Column) -> Column:
         best = F.array_position(z, top).cast("int") - 1
         probability = F.round(1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top)), 6)
         share = lambda s: F.try_divide(F.size(F.array_intersect(s, known)), F.size(s))
-        similarity = F.round(F.array_max(F.transform(F.get(templates, best), share)), 6)
-        return F.struct(F.get(F.array(*[F.lit(n) for n in names]), best).alias("licence"), probability.alias("probability"), similarity.alias("similarity"))
-
-    found = lines.select("doc_id", "line", _let(paragraph_words(F.col("_line")), lambda ws: _let(_cue_grams(ws), judged)).alias("_r"))
-    out = found.select("doc_id", "line", "_r.licence", "_r.probability", "_r.similarity", (F.col("_r.similarity") >= confirm).alias("confirmed"))
-    return out.where((F.col("licence") != UNKNOWN) & (F.col("probability") >= least))
+        similarity = F.coalesce(F.round(F.array_max(F.transform(F.get(templates, best), share)), 6), F.lit(0.0))
+        return F.struct(best.alias("best"), probability.alias("probability"), similarity.alias("similarity"))
+
+    def verdict(ws: Column, known: Column) -> Column:
+        return F.when(F.size(known) > 0, let(logits(known, ws), lambda z: let(F.array_max(z), lambda top: classed(known, z, top))))
+
+    # all in one expression below an explode, so that no filter is evaluated ahead of it by computing it again
+    one = let(words, lambda ws: let(known_grams(ws), lambda known: F.array(verdict(ws, known))))
+    found = F.filter(one, lambda r: F.coalesce((r["best"] != unknown) & (r["probability"] >= least), F.lit(False)))
+    judged = lines.select("doc_id", "paragraph", F.explode(found).alias("_r"))
+    licence = F.get(F.array(*[F.lit(n) for n in names]), F.col("_r.best"))
+    return judged.select("doc_id", "paragraph", licence.alias("licence"), "_r.probability", "_r.similarity", (F.col("_r.similarity") >= confirm).alias("confirmed"))
