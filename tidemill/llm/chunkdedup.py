@@ -4,9 +4,10 @@ Words are runs of bytes without white space; a passage goes from the first lette
 one of its last word, so that signs around it do not matter. A gear hash rolls over the bytes: shifted by one bit a byte,
 its 32 bits know the last 32 bytes and nothing else. Cuts are the word ends at which the gear hash is least within reach:
 the cut of a window of ``min_words`` words is the least of its word ends whose 32 bytes lie in the window, so it depends
-on nothing outside, and an insertion moves no other cut. Windows that follow each other mostly share a cut; together they
-are a chunk, which varies in size, overlaps its neighbours by a window less a word, and has the hash of all its bytes as
-digest. So every window lies whole in the chunk of its cut, and a repeated window has the same cut wherever it stands.
+on nothing outside, and an insertion moves no other cut. A cut is named by the hash of the half of a window before it,
+or after it for windows that hold no half before it. Windows that follow each other mostly share a cut and its name;
+together they are a chunk, which varies in size, overlaps its neighbours by a window less a word, and has the hash of all
+its bytes as digest. So every window lies whole in one chunk, and a repeated window has the same cut wherever it stands.
 
 Chunks are counted by cut and digest. Where all chunks of a cut in two documents have one digest, all their windows are
 repeated; where digests differ, an exact check compares their windows one by one. Repeated windows that follow each other
@@ -110,7 +111,7 @@ def among(held: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame, min_words: int = MIN_WORDS, wanted=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark, span: the chunks; ``mark`` names the cut by its gear hash and its bytes, ``span`` is the digest of the chunk.
+    """doc_id, mark, span: the chunks; ``mark`` names the cut by the words at it, ``span`` is the digest of the chunk.
 
     A chunk of more than ``ROW_WINDOWS`` windows is several rows. With ``wanted``, a broadcast pair of ``bits``, only
     rows whose mark may be in the first, as doc_id, mark, copy, word, n,
@@ -137,11 +138,15 @@ def marked(docs: DataFrame, min_words: int = MIN_WORDS, wanted=None, id_col: str
         stretch = lambda a, z: wordhash.mix((total[z] - total[a]) * inverse[a])
         text_of = np.searchsorted(begin, starts, side="right") - 1
         whole = text_of[:n] == text_of[min_words - 1 :]
-        # a cut by its gear hash, and by a digest of the bytes that this knows
-        back = np.maximum(last - REACH, 0)
-        cut = gear_hashes(data)[last - 1].astype(np.uint64) << np.uint64(32) | stretch(back, last) >> np.uint64(32)
-        high = np.arange(n) + min_words - 1
-        mark = least_between(cut, np.minimum(np.searchsorted(last, first[:n] + REACH), high), high)
+        # of word ends of one gear hash the first is the cut; what names it is the half of a window before or after it
+        place = np.arange(len(starts))
+        ends = gear_hashes(data)[last - 1].astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
+        high = place[:n] + min_words - 1
+        cut = (least_between(ends, np.minimum(np.searchsorted(last, first[:n] + REACH), high), high) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        half = min_words // 2
+        before = cut - place[:n] >= half - 1
+        low, high = np.where(before, cut - half + 1, cut), np.where(before, cut, cut + half - 1)
+        mark = stretch(first[low], last[high]) ^ np.where(before, np.uint64(0), np.uint64(0x9FB21C651E98DF25))
         a, z = first[:n], last[min_words - 1 :]
         ahead = np.ones(n, bool)  # begins a row
         ahead[1:] = (mark[1:] != mark[:-1]) | (text_of[1:n] != text_of[: n - 1]) | (np.diff(a) > ROW_STEP) | (np.diff(z) > ROW_STEP)
