@@ -72,7 +72,7 @@ def embed_prompt(model: Column, purpose: Column, text: Column, title: Column) ->
 
 def compact_table(rows: Column, columns: tuple[str, ...]) -> Column:
     """An array of structs as text: columns that never change once above, the others in lines; bars are escaped."""
-    cell = lambda v: F.regexp_replace(F.coalesce(v.cast("string"), F.lit("-")), r"\|", r"\\\\|")
+    cell = lambda v: F.regexp_replace(F.coalesce(v.cast("string"), F.lit("-")), r"\|", r"\\|")
 
     def text(rs):
         first = F.get(rs, F.lit(0))

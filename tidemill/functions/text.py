@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import functools
+import json
+import re
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Words that are not indexed.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "to", "what", "when", "with", "after", "must", "does", "do")
 # A token is a word of ASCII with its codes, or a run of CJK signs.
 TOKEN = r"[a-z0-9]+(?:[-_./][a-z0-9]+)*|[\x{3400}-\x{9fff}\x{f900}-\x{faff}]+"
+#: A word border of ASCII letters, digits and the underscore, as \\b is in other engines; Java's follows Unicode.
+_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_E = _B
 # What counts as sensitive, in the order of redaction: (id, kind, pattern, replacement).
 SENSITIVE = (
     ("private_key", "secret", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(-----END [A-Z ]*PRIVATE KEY-----|\z)", "[REDACTED_PRIVATE_KEY]"),
-    ("api_key", "secret", r"(?<![A-Za-z0-9_])(sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9_])", "[REDACTED_API_KEY]"),
-    ("password_assignment", "secret", r"(?i)((?<![A-Za-z0-9_])(password|passwd|pwd)|密码)\s*[:=：]\s*\S{4,}", "[REDACTED_PASSWORD]"),
+    ("api_key", "secret", rf"{_B}(sk-[A-Za-z0-9_-]{{20,}}|AKIA[0-9A-Z]{{16}}|AIza[0-9A-Za-z_-]{{35}}|gh[pousr]_[A-Za-z0-9]{{36,}}|xox[baprs]-[A-Za-z0-9-]{{10,}}){_B}", "[REDACTED_API_KEY]"),
+    ("password_assignment", "secret", rf"(?i)({_B}(password|passwd|pwd)|密码)\s*[:=：]\s*\S{{4,}}", "[REDACTED_PASSWORD]"),
     ("cn_id_card", "pii", r"(?<!\d)\d{6}(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\d{3}[\dXx](?!\d)", "[REDACTED_ID]"),
     ("cn_phone", "pii", r"(?<!\d)1[3-9]\d{9}(?!\d)", "[REDACTED_PHONE]"),
-    ("email", "pii", r"(?<![A-Za-z0-9_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])", "[REDACTED_EMAIL]"),
+    ("email", "pii", rf"{_B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_B}", "[REDACTED_EMAIL]"),
 )
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Attempts to override instructions, in order of precedence: (id, pattern).
 INJECTION = (
     ("ignore_instructions", rf"(?i){_B}(ignore|disregard|forget|override){_E}.{{0,30}}{_B}(previous|prior|above|earlier|all|system|your){_E}.{{0,20}}{_B}(instructions?|prompts?|rules?|guidelines?){_E}"),
@@ -46,14 +53,59 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * k + 0.5) / k
 
 
+@functools.cache
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Signs of the basic plane whose compatible form holds what tokens are made of: those of one sign as two strings, the others as a map."""
+    one, many = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        form = unicodedata.normalize("NFKC", c)
+        if form != c and re.search(r"[A-Za-z0-9_./\-\u3400-\u9fff\uf900-\ufaff]", form) and (len(form) == 1 or re.search(r"[A-Za-z0-9\u3400-\u9fff]", form)):
+            (one if len(form) == 1 else many)[c] = form
+    return "".join(one), "".join(one.values()), many
+
+
+def _ranges(signs, gap: int = 16) -> str:
+    """A class of characters that holds all the signs: ranges, as a class of single signs is slow to test."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, signs)):
+        if out and c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+def nfkc(text: Column) -> Column:
+    """Every sign that matters to tokens in its compatible form (full width, ligatures, circled numbers). Marks are not composed with the letter before them."""
+    old, new, many = _compatible()
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # one literal, folded by the optimizer
+    spread = lambda x: F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    flat = F.translate(text, old, new)
+    return F.when(~text.rlike(_ranges(old + "".join(many))), text).when(text.rlike(_ranges(many)), spread(flat)).otherwise(flat)
+
+
 def tokenize(text: Column) -> Column:
-    """Tokens in order: words, the parts of compound ones, pairs of neighbouring CJK signs. The text is taken as normalised (NFKC)."""
+    """Tokens in order: words, the parts of compound ones, pairs of neighbouring CJK signs."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    parts = lambda t: F.concat(F.array(t), F.when(t.rlike("[-_./]"), F.split(t, "[-_./]")).otherwise(F.array().cast("array<string>")))
-    words = lambda t: F.filter(parts(t), lambda p: (p != "") & ~F.array_contains(stop, p))
-    pairs = lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
-    return F.flatten(F.transform(raw, lambda t: F.when(t.rlike("^[a-z0-9]"), words(t)).otherwise(pairs(t))))
+    raw = F.regexp_extract_all(F.lower(nfkc(text)), F.lit(TOKEN), F.lit(0))
+    return F.filter(F.flatten(F.transform(raw, token_parts)), lambda p: (p != "") & ~F.array_contains(stop, p))
+
+
+def token_parts(t: Column) -> Column:
+    """A raw token as an array: a compound word and its parts, or the pairs of a run of CJK signs."""
+    compound = F.concat(F.array(t), F.split(t, "[-_./]"))
+    pairs = F.when(F.length(t) == 1, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
+    return F.when(t.rlike("^[a-z0-9]+$"), F.array(t)).when(t.rlike("^[a-z0-9]"), compound).otherwise(pairs)
+
+
+def token_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, term: a row for each token of each document, as ``tokenize`` gives them; a document without any has one row with a null.
+
+    Each text is matched once, and everything after it are plain columns of rows.
+    """
+    raw = docs.select(F.col(id_col), F.explode_outer(F.regexp_extract_all(F.lower(nfkc(F.col(text_col))), F.lit(TOKEN), F.lit(0))).alias("_t"))
+    parts = raw.select(id_col, F.explode_outer(token_parts(F.col("_t"))).alias("_p"))
+    return parts.select(id_col, F.when((F.col("_p") != "") & ~F.col("_p").isin(*STOPWORDS), F.col("_p")).alias("term"))
 
 
 def sanitize(text: Column) -> Column:
@@ -67,6 +119,16 @@ def injection_rule(text: Column) -> Column:
     return F.coalesce(*[F.when(text.rlike(p) | flat.rlike(p), F.lit(name)) for name, p in INJECTION])
 
 
+def injection_excerpt(text: Column, most: int = 80) -> Column:
+    """struct<rule, excerpt>: the first rule that matches and the start of what it matched; nulls if none does."""
+    flat = F.regexp_replace(text, r"\s+", " ")
+    found = lambda p: F.coalesce(F.nullif(F.regexp_extract(text, p, 0), F.lit("")), F.regexp_extract(flat, p, 0))
+    out = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("excerpt"))
+    for name, p in reversed(INJECTION):
+        out = F.when(text.rlike(p) | flat.rlike(p), F.struct(F.lit(name).alias("rule"), F.substring(found(p), 1, most).alias("excerpt"))).otherwise(out)
+    return out
+
+
 def sensitive_findings(text: Column, kinds: tuple[str, ...] = ("secret", "pii")) -> Column:
     """array<struct<id, kind, n>> of the rules that match."""
     found = [F.struct(F.lit(name).alias("id"), F.lit(kind).alias("kind"), F.regexp_count(text, F.lit(p)).alias("n")) for name, kind, p, _ in SENSITIVE if kind in kinds]

@@ -22,19 +22,27 @@ TRANSITIONS = {
 }
 
 
+_START = object()
+
+
+def _same(a, b) -> bool:
+    """Whether two keys are one; all nulls are."""
+    return a == b or (a is not _START and pd.isna(a) and pd.isna(b))
+
+
 def ordered(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, *order)
 
 
 def rate_limit(hits: DataFrame, key: str, ms: str, tie: str, limit: int = 20, window_ms: int = 60_000) -> DataFrame:
-    """key, tie, accepted: a hit is accepted if fewer than ``limit`` accepted ones lie in the window before it."""
+    """key, tie, accepted, null keys being one key: a hit is accepted if fewer than ``limit`` accepted ones lie in the window before it."""
 
     def run(frames):
-        at, log = None, deque()
+        at, log = _START, deque()
         for f in frames:
             accepted = []
             for k, t in zip(f[key], f[ms]):
-                if k != at:
+                if at is _START or not _same(k, at):
                     at, log = k, deque()
                 while log and t - log[0] >= window_ms:
                     log.popleft()
@@ -58,12 +66,12 @@ def run_orders(actions: DataFrame, key: str, order: str, action: str, actor: str
     """key, status, funds, applied: what each order has come to after its actions; actions that do not fit are ignored."""
 
     def run(frames):
-        at, status, funds, applied = None, "pending_accept", "held", 0
+        at, status, funds, applied = _START, "pending_accept", "held", 0
         for f in frames:
             done = []
             for k, a, who in zip(f[key], f[action], f[actor]):
-                if k != at:
-                    if at is not None:
+                if at is _START or not _same(k, at):
+                    if at is not _START:
                         done.append((at, status, funds, applied))
                     at, status, funds, applied = k, "pending_accept", "held", 0
                 after = TRANSITIONS[status].get(a)
@@ -71,9 +79,29 @@ def run_orders(actions: DataFrame, key: str, order: str, action: str, actor: str
                     continue
                 funds = "released" if a == "complete" and funds == "held" else "refunded" if refunds(a, who, status, funds) else funds
                 status, applied = after, applied + 1
-            yield pd.DataFrame(done, columns=[key, "status", "funds", "applied"])
-        if at is not None:
-            yield pd.DataFrame([(at, status, funds, applied)], columns=[key, "status", "funds", "applied"])
+            yield pd.DataFrame(done, columns=[key, "status", "funds", "applied"]).convert_dtypes()
+        if at is not _START:
+            yield pd.DataFrame([(at, status, funds, applied)], columns=[key, "status", "funds", "applied"]).convert_dtypes()
 
     kind = dict(actions.dtypes)[key]
     return ordered(actions.select(key, order, action, actor), key, order).mapInPandas(run, f"`{key}` {kind}, status string, funds string, applied int")
+
+
+def admit(orders: DataFrame, key: str, at: str, tie: str, price: str, most: int, budget: float) -> DataFrame:
+    """key, tie, reason: why an order is refused, null if it is taken. Only orders that were taken count against the budget and the ``most`` that may be held."""
+
+    def run(frames):
+        held_by, held, spent = _START, 0, 0.0
+        for f in frames:
+            reasons = []
+            for k, p in zip(f[key], f[price]):
+                if held_by is _START or not _same(k, held_by):
+                    held_by, held, spent = k, 0, 0.0
+                reason = "tickets_insufficient" if spent + p > budget else "queue_full" if held >= most else None
+                if reason is None:
+                    held, spent = held + 1, spent + p
+                reasons.append(reason)
+            yield pd.DataFrame({key: f[key], tie: f[tie], "reason": pd.Series(reasons, dtype=object, index=f.index)})
+
+    kinds = dict(orders.dtypes)
+    return ordered(orders.select(key, at, tie, price), key, at, tie).mapInPandas(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, reason string")

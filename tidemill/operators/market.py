@@ -45,8 +45,9 @@ def hottest(orders: DataFrame, group: str, kind: str, kinds: tuple[str, ...]) ->
 
 
 def flatten_feed(stars: DataFrame) -> DataFrame:
-    """One row for each event of each star, the newest first within a star."""
-    return stars.select("slug", F.explode("events").alias("e")).select("slug", "e.*")
+    """One row for each event of each star, with its place within the star, the newest first."""
+    newest = F.reverse(F.array_sort(F.col("events")))
+    return stars.select("slug", F.posexplode(newest).alias("pos", "e")).select("slug", "pos", "e.*")
 
 
 def by_month(feed: DataFrame, date: str = "date") -> DataFrame:

@@ -48,7 +48,7 @@ def store_skip_reason(status: Column, output_chars: Column, error: Column, sensi
     return F.when((status != "ok") | (output_chars == 0), F.concat(F.lit("status "), status)).when(error.isNotNull(), F.concat(F.lit("provider error "), error)).when(sensitive, "sensitive input").when(flagged.isNotNull(), F.concat(flagged, F.lit(" guardrail hit"))).when(ungrounded > 0, "ungrounded references")
 
 
-def decide_hits(candidates: DataFrame, threshold: float) -> DataFrame:
+def decide_hits(candidates: DataFrame, threshold: float | Column) -> DataFrame:
     """For each query: the closest stored answer with the same terms at the threshold or above, the closest at all, and how many the terms ruled out.
 
     Rows: query_id, entry_id, pos, similarity, terms_match. Of equals the first counts.

@@ -31,8 +31,7 @@ PORTABLE: dict[str, str] = {
         LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM @lineitem GROUP BY l_orderkey) c ON l_orderkey = o_orderkey""",
     "parent_with_children": """
         SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS n_lines, coalesce(quantity, 0.0E0) AS quantity, parts FROM @orders LEFT JOIN
-          (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity, min(l_partkey) AS parts FROM @lineitem GROUP BY l_orderkey) c ON l_orderkey = o_orderkey
-        WHERE o_orderkey <= 2000""",
+          (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity, min(l_partkey) AS parts FROM @lineitem GROUP BY l_orderkey) c ON l_orderkey = o_orderkey""",
     "retention_survivors": """
         SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM @events) t
         WHERE rn <= 20""",
@@ -103,7 +102,7 @@ PORTABLE: dict[str, str] = {
     "semi_allowed_owner": """
         SELECT p_partkey, p_name FROM @part LEFT SEMI JOIN (SELECT l_partkey FROM @lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R') a ON p_partkey = l_partkey""",
     "enrich_skip_unknown": """
-        SELECT e.event_id, l.label FROM @events e JOIN (SELECT 'click' AS kind, 'Click' AS label UNION ALL SELECT 'purchase', 'Purchase') l ON e.event_type = l.kind WHERE e.event_id < 2000""",
+        SELECT e.event_id, l.label FROM @events e JOIN (SELECT 'click' AS kind, 'Click' AS label UNION ALL SELECT 'purchase', 'Purchase') l ON e.event_type = l.kind""",
     "enrich_or_key": """
         SELECT e.event_type, coalesce(l.label, e.event_type) AS label, count(*) AS n FROM @events e
         LEFT JOIN (SELECT 'click' AS kind, 'Click' AS label UNION ALL SELECT 'purchase', 'Purchase') l ON e.event_type = l.kind GROUP BY e.event_type, coalesce(l.label, e.event_type)""",
@@ -144,11 +143,6 @@ PORTABLE: dict[str, str] = {
                status IN ('pending_accept', 'accepted') AS viewer_can_cancel, status IN ('accepted', 'in_progress') AS streamer_can_abort FROM
           (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'pending_accept' WHEN '2-HIGH' THEN 'accepted' WHEN '3-MEDIUM' THEN 'in_progress'
              WHEN '4-NOT SPECIFIED' THEN 'completed' ELSE 'rejected' END AS status FROM @orders) t""",
-    "admission": """
-        SELECT o_orderkey, queue <= 3 AND spent <= 600000 AS admitted FROM (SELECT o_orderkey,
-          count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS queue,
-          round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS spent
-          FROM @orders WHERE o_orderstatus = 'O') t""",
     # -- event folds and windows
     "event_fold": """
         SELECT user_id, count(*) AS n, min(ts) AS started, max(ts) AS ended, min(ts) FILTER (WHERE event_type = 'click') AS first_click,
@@ -182,9 +176,8 @@ PORTABLE: dict[str, str] = {
           (VALUES ('v1', 'held', 30), ('v1', 'released', 20), ('v2', 'held', 5), ('v2', 'held', 7)) AS o(viewer, funds, price) GROUP BY viewer""",
     # -- retrieval metrics on given ranks
     "maxpool_groups": """
-        SELECT label, vec_id, rk FROM (SELECT label, vec_id, rk, row_number() OVER (PARTITION BY label ORDER BY rk) AS rn FROM
-          (SELECT label, vec_id, row_number() OVER (ORDER BY first DESC, vec_id) AS rk FROM (SELECT label, vec_id, element_at(embedding, 1) AS first FROM @embeddings
-             ORDER BY element_at(embedding, 1) DESC, vec_id LIMIT 60) a) b) c WHERE rn = 1""",
+        SELECT label, vec_id, row_number() OVER (ORDER BY best DESC, vec_id) AS rk FROM (SELECT label, vec_id, element_at(embedding, 1) AS best,
+          row_number() OVER (PARTITION BY label ORDER BY element_at(embedding, 1) DESC, vec_id) AS rn FROM @embeddings) a WHERE rn = 1""",
     "rerank_cut": """
         SELECT doc_id, relevance FROM (SELECT d.doc_id, coalesce(l.quality * 2 + (1 - l.toxic), 0) AS relevance, d.n_chars FROM
           (SELECT doc_id, n_chars FROM @documents ORDER BY n_chars DESC, doc_id LIMIT 8) d LEFT JOIN @labels l ON l.doc_id = d.doc_id) t
@@ -192,7 +185,7 @@ PORTABLE: dict[str, str] = {
     "ir_metrics": """
         SELECT lang, max(CASE WHEN rk = 1 THEN rel ELSE 0 END) AS hit1, round(sum(CASE WHEN rk <= 3 THEN rel ELSE 0 END) * 1.0E0 / nullif(max(total), 0), 6) AS r3,
                round(coalesce(1.0E0 / min(CASE WHEN rel = 1 AND rk <= 10 THEN rk END), 0), 6) AS rr,
-               round(sum(CASE WHEN rk <= 5 AND rel = 1 THEN ln(2) / ln(rk + 1) ELSE 0 END), 6) AS dcg5 FROM
+               round(sum(CASE WHEN rk <= 5 AND rel = 1 THEN ln(2) / ln(rk + 1) ELSE 0 END) / nullif(sum(CASE WHEN rk <= least(5, total) THEN ln(2) / ln(rk + 1) ELSE 0 END), 0), 6) AS ndcg5 FROM
           (SELECT d.lang, l.quality AS rel, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id) AS rk, sum(l.quality) OVER (PARTITION BY d.lang) AS total
            FROM @documents d JOIN @labels l ON l.doc_id = d.doc_id) t GROUP BY lang""",
     "ir_by_category": """

@@ -30,28 +30,31 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def rate_limited(events: DataFrame, limit: int = 20, window_ms: int = 60_000) -> DataFrame:
-    """user_id, event_id, accepted of a stream; the state is the accepted times of the last window, dropped when idle."""
+def rate_limited(events: DataFrame, limit: int = 20, window_ms: int = 60_000, late: str = "10 minutes") -> DataFrame:
+    """user_id, event_id, accepted of a stream, in order of event time within a trigger; the state is the accepted times of the last window.
+
+    It goes when the watermark, not the clock, has passed the window, so a replay that pauses forgets nothing.
+    """
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         log = list(state.get[0]) if state.exists else []
-        for f in frames:
-            f = f.sort_values(["ts", "event_id"])
-            accepted = []
-            for t in (pd.to_datetime(f["ts"]).astype("int64") // 1_000_000 if str(f["ts"].dtype).startswith("datetime64[ns") else pd.to_datetime(f["ts"]).astype("datetime64[ms]").astype("int64")):
-                log = [x for x in log if t - x < window_ms]
-                ok = len(log) < limit
-                if ok:
-                    log.append(int(t))
-                accepted.append(ok)
-            yield pd.DataFrame({"user_id": key[0], "event_id": f["event_id"].to_numpy(), "accepted": accepted})
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])  # a key's rows of one trigger may come in several frames
+        accepted = []
+        for t in rows["ms"]:
+            log = [x for x in log if t - x < window_ms]
+            ok = len(log) < limit
+            if ok:
+                log.append(int(t))
+            accepted.append(ok)
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": accepted})
         state.update((log,))
-        state.setTimeoutDuration(window_ms)
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + window_ms, state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, accepted boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = timed(events, late).withColumn("ms", F.unix_millis("ts"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, accepted boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def overdue(orders: DataFrame, now, accept_minutes: int = 15, start_minutes: int = 30) -> DataFrame:
