@@ -30,6 +30,8 @@ from .components import Forest, Residents, components
 SEED = 42
 #: Residents of an anchor on average, and of one slice of it at most on average.
 RESIDENTS, SLICE = 4096, 16384
+#: Pairs compared at a time.
+PAIRS = 500_000
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -166,14 +168,15 @@ def links(distinct: DataFrame, n_distinct: int, threshold: int = 3, check_bits:
                     continue
                 if residents is None:
                     res, residents = np.concatenate([x for x, _ in held], axis=1), Residents(np.concatenate([y for _, y in held]))
-                for c in range(a, b, 128):
-                    some = codes[:, c : min(b, c + 128)]
+                step = max(1, PAIRS // len(residents.nodes))
+                for c in range(a, b, step):
+                    some = codes[:, c : min(b, c + step)]
                     near = np.bitwise_count(some[0, :, None] ^ res[0, None, :]) <= threshold
                     if len(some) > 1:
                         i, j = np.nonzero(near)
                         far = sum(np.bitwise_count(some[k, i] ^ res[k, j]).astype(np.int16) for k in range(1, len(some))) > check_bits
                         near[i[far], j[far]] = False
-                    for u, v in forest.join(*residents.links(node[c : min(b, c + 128)], near)):
+                    for u, v in forest.join(*residents.links(node[c : min(b, c + step)], near)):
                         src.append(u)
                         dst.append(v)
             if src:

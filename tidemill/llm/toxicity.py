@@ -38,7 +38,9 @@ THRICE = re.compile(r"([^\W\d_])\1\1")
 SIGNS = "!#$%&*+@|~^=<>"
 EDGES = ".,;:?\"'()[]{}<>«»…-_/\\"
 #: Words whose restored form a worker keeps, and the longest of them; longer ones are decoded each time.
-KNOWN, KNOWN_CHARS = 100_000, 64
+KNOWN, KNOWN_CHARS = 50_000, 64
+#: Characters of the texts whose words are held at a time.
+BLOCK_CHARS = 200_000
 
 
 @functools.cache
@@ -231,8 +233,9 @@ class Model:
 
     def scores(self, texts: list[str], restorer: Restorer) -> np.ndarray:
         own = self.weights
-        held = own.keys()
-        z = [self.constant + sum(own[f] for f in held & features_of(words)) for words in token_sets(texts, restorer)]
+        held, z = own.keys(), []
+        for a, b in slices([len(t) for t in texts], BLOCK_CHARS):  # the words of a few texts at a time
+            z += [self.constant + sum(own[f] for f in held & features_of(words)) for words in token_sets(texts[a:b], restorer)]
         return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -60, 60)))
 
 
@@ -248,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
         restorer = Restorer(costs)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices([len(t) for t in texts], 200_000):
+            for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
                 words = [sorted(w) for w in token_sets(texts[a:b], restorer)]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)[a:b].cast(pa.int32())], ["words", "toxic"])
 
