@@ -16,6 +16,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that a model fitted on the labelled ones scores at 0.5 or more go. Null and empty texts score as texts without words; repeated rows fare alike; no rows give none."""
     return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -33,15 +34,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds a benchmark item go. Null, empty and short texts hold none; repeated rows fare alike; no rows, or no items, are fine."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay, with secrets replaced in their texts and ``n_chars`` of what is left. Null texts stay null."""
     clean = secretscan.redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each row, as ``bpe.encode_documents``; a null text counts as the empty one."""
     return bpe.encode_documents(docs)
 
 
@@ -49,6 +53,7 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; what each keeps is written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = spill_table(stage(spark, docs, sf_dir), f"stage-{name}")
