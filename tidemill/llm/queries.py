@@ -11,42 +11,52 @@ from .common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, by a model fitted on the labelled rows that are not held out."""
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
     return secretscan.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of the token ids of every document, and of what they decode to."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
 def op5_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, within its label."""
     return vecjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of the ids of every document, from the token files."""
     return tokenfile.token_file_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of every document that others hold too."""
     return chunkdedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of every document that name a licence."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 

@@ -14,6 +14,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import let
+
 BUCKETS, NGRAMS = 4096, (3, 4, 5)
 #: (verdict, host and path); the longest that fits wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -30,6 +32,14 @@ LABELLED = (
     ("adult-xxx.example.org/en/video", 1), ("cheap-pills.example.net/order/viagra", 1), ("viagra-shop.example.org/buy", 1), ("warez-crack.example.net/download/keygen.exe", 1),
     ("free-torrent.example.org/download/crack", 1), ("click-track.example.net/redirect", 1), ("spam-offers.example.org/win-prize", 1), ("promo-ads.example.net/banner/33", 1),
     ("payday-loans.example.org/apply-now", 1), ("seo-links.example.net/buy-backlinks", 1), ("tracker.example.org/pixel/track", 1), ("doubleads.example.net/de/12", 1),
+    ("ads.media.example.org/banner/300x250", 1), ("adserver.example.net/click?x", 1), ("banner-ads.example.org/serve/1", 1), ("ads2.example.net/en/click/7", 1), ("track.clicks.example.org/pixel.gif", 1), ("pixel-track.example.net/t", 1),
+    ("casino-slots.example.net/en/bonus", 1), ("win-casino.example.org/free-bonus", 1), ("online-poker.example.net/casino/spins", 1), ("slots-bet.example.org/win", 1), ("xxx-video.example.org/live-cams", 1), ("adult-cams.example.net/xxx", 1),
+    ("buy-pills.example.org/cheap-viagra", 1), ("cheap-viagra.example.net/order", 1), ("pharma-pills.example.org/order/cheap", 1), ("crack-keygen.example.org/download", 1), ("torrent-warez.example.net/free/keygen.exe", 1), ("download-crack.example.org/setup.exe", 1),
+    ("win-prize.example.net/spam/offers", 1), ("loans-payday.example.net/apply", 1), ("backlinks-seo.example.org/buy-links", 1), ("clickbait.example.net/wont-believe/12", 1), ("popup.example.net/ads/pop", 1), ("host-malware.example.net/exe/setup", 1),
+    ("library.city.example.org/guide/hours", 0), ("research.university.example.edu/papers/12", 0), ("daily.example.org/news/world/2024", 0), ("en.wiki.example.org/page/River", 0), ("writer.example.net/blog/en/77", 0), ("forum.garden.example.org/de/991", 0),
+    ("museum.example.org/en/history/room", 0), ("recipes.kitchen.example.net/fr/soupe", 0), ("www.example.edu/courses/history", 0), ("docs.code.example.net/project/guide", 0), ("weather.example.org/today/north", 0), ("books.library.example.org/en/novel/9.html", 0),
+    ("travel.example.org/de/berlin", 0), ("health.city.example.gov/advice", 0), ("law.example.org/statute/44", 0), ("films.example.net/review/en/5", 0), ("music.letters.example.org/it/9", 0), ("school.example.org/courses/physics", 0),
+    ("news.science.example.net/2023/stars", 0), ("www.trees.example.org/garden/oak", 0), ("history.example.edu/papers/rome", 0), ("archive.example.org/en/letters/1844", 0), ("maps.example.org/rivers", 0), ("poems.example.net/es/3.html", 0),
     ("bet-slots.example.org/casino", 1), ("popup-ads.example.net/fr/19", 1), ("malware-host.example.org/setup.exe", 1), ("clickbait-farm.example.net/you-wont-believe", 1),
 )
 
@@ -94,20 +104,23 @@ def block_score(host: Column, path: Column) -> Column:
     held = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # one literal, folded by the optimizer
 
     def grams(mark: str, part: Column) -> Column:
-        text = F.concat(F.lit("^"), part, F.lit("$"))
-        at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))))
-        return F.concat(*[F.coalesce(at(n), F.array().cast("array<string>")) for n in NGRAMS])
+        def cut(chars: Column) -> Column:
+            at = lambda n: F.when(F.size(chars) >= n, F.transform(F.slice(chars, F.lit(1), F.size(chars) - n + 1), lambda c, i: F.concat(F.lit(mark), *[F.get(chars, i + k) for k in range(n)])))
+            return F.concat(*[F.coalesce(at(n), F.array().cast("array<string>")) for n in NGRAMS])
+
+        return let(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""), cut)
 
-    every = F.concat(grams("h", host), grams("p", path))
-    own = F.transform(every, lambda g: F.get(held, F.conv(F.substring(F.md5(g.cast("binary")), 1, 3), 16, 10).cast("int")))
-    return F.lit(constant) + F.when(F.size(every) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size(every).cast("double"))).otherwise(F.lit(0.0))
+    weight = lambda g: F.get(held, F.conv(F.substring(F.md5(g.cast("binary")), 1, 3), 16, 10).cast("int"))
+    mean = lambda every: F.when(F.size(every) > 0, F.aggregate(every, F.lit(0.0), lambda a, g: a + weight(g)) / F.sqrt(F.size(every).cast("double"))).otherwise(F.lit(0.0))
+    return F.lit(constant) + let(F.concat(grams("h", host), grams("p", path)), mean)
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score: one row per row of ``pages``; no shuffle.
 
-    A null url, or one without ``://``, has an empty host and path; no rule fits it, and the model judges it. Repeated rows
-    stay; further columns are not carried.
+    A null url, or one without ``://``, has an empty host and path; no rule fits it, and the model judges it. Of rules that
+    fit the longest counts; a score of just 0 blocks. Urls may be of any length, at a cost in proportion. Repeated rows
+    stay, as do rows without an id; an empty table gives no rows; further columns are not carried, whatever their names.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("_url"))
     rows = rows.select("page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
