@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, decontam, licenses, merkle, secretscan, simhash, tokenfile, toxicity, urlfilter, vecjoin
+from . import bpe, chunkdedup, conversations, decontam, licenses, merkle, secretscan, simhash, tokenfile, toxicity, urlfilter, vecjoin
 from .common import table
 
 
@@ -60,14 +60,19 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cost, audit and digest of every damaged conversation as repaired."""
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and whether the tampered table is proved by them."""
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op8_urls, op9_substrings, op10_licences, op13_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op8_urls, op9_substrings, op10_licences, op12_conversations, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urls": urlfilter.judge_sql(), "op13_manifest": merkle.verify_sql()}
+    return {"op8_urls": urlfilter.judge_sql(), "op12_conversations": conversations.repair_report_sql(), "op13_manifest": merkle.verify_sql()}
