@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, conversations, decontam, licenses, merkle, secretscan, simhash, tokenfile, toxicity, urlfilter, vecjoin
+from . import bpe, chunkdedup, conversations, decontam, langid, licenses, merkle, secretscan, simhash, tokenfile, toxicity, urlfilter, vecjoin
 from .common import table
 
 
@@ -60,6 +60,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by prototypes of the documents that are not held out."""
+    return langid.judge(table(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cost, audit and digest of every damaged conversation as repaired."""
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
@@ -71,7 +76,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op8_urls, op9_substrings, op10_licences, op12_conversations, op13_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_bpe, op5_vector_join, op6_token_file, op7_simhash, op8_urls, op9_substrings, op10_licences, op11_language, op12_conversations, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
