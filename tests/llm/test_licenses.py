@@ -12,8 +12,8 @@ def brute(rows):
     held, out = licenses.model(), Counter()
     for i, t in rows:
         for k, p in enumerate(licenses.paragraphs_of(t) if t is not None else []):
-            name, probability, similarity = licenses.judge_paragraph(p)
-            if name != licenses.UNKNOWN and probability >= held["least"]:
+            name, probability, similarity, same = licenses.judge_paragraph(p)
+            if name != licenses.UNKNOWN and (same or probability >= held["least"]):
                 out[i, k, name, round(probability, 4), round(similarity, 4), similarity >= 0.6] += 1
     return out
 
@@ -34,14 +34,27 @@ def test_every_paragraph_is_judged_as_by_plain_python(spark, sf):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
-def test_quality_on_examples_held_out():
+def test_every_example_is_recognised():
+    """All texts, notices and identifiers of the module, and the same within further words."""
+    m = licenses.model()
+    for name, own in licenses.EXAMPLES.items():
+        for x in own:
+            got, probability, _, same = licenses.judge_paragraph(x)
+            assert got == name and (name == licenses.UNKNOWN or same or probability >= m["least"]), (name, x, got, probability)
+    for name, x in (("mit", "// Copyright (c) 2021 Jane Doe. Released under the MIT License."), ("gpl-2.0", "# SPDX-License-Identifier: GPL-2.0-only"), ("lgpl", "This project is Released under the LGPL version 3, unless stated otherwise"), ("bsd", "/* SPDX-License-Identifier: BSD-3-Clause */")):
+        assert licenses.judge_paragraph(x)[0] == name
+
+
+def test_quality_on_names_and_texts_held_out():
+    """Whole names, with all phrases about them, and every text and notice by itself are left out of training and of the templates."""
     unknown = list(licenses.EXAMPLES).index(licenses.UNKNOWN)
-    held = [(int(z.argmax()), c) for z, c in licenses._held_out()]
-    assert np.mean([a == b for a, b in held]) > 0.9 and np.mean([a == unknown for a, b in held if b == unknown]) > 0.95
+    held = licenses._held_out()
+    right = [b == c for _, c, b in held]
+    assert np.mean(right) > 0.74 and np.mean([b == c for _, c, b in held if c != unknown]) > 0.7 and all(b == c for _, c, b in held if c == unknown)
     # probabilities mean what they say: their mean is near the share of right classes
     m = licenses.model()
-    p = [np.exp(z / m["temperature"] - (z / m["temperature"]).max()) for z, _ in licenses._held_out()]
-    assert abs(np.mean([float((x / x.sum()).max()) for x in p]) - np.mean([a == b for a, b in held])) < 0.1
+    p = [np.exp(z / m["temperature"] - (z / m["temperature"]).max()) for z, _, _ in held]
+    assert abs(np.mean([float((x / x.sum()).max()) for x in p]) - np.mean([int(z.argmax()) == c for z, c, _ in held])) < 0.1
 
 
 def test_hashes_are_sparks(spark):

@@ -3,11 +3,13 @@
 Paragraphs are lines; a line that breaks off within a sentence goes on in the next one, as in text wrapped at a fixed
 width, and blank lines always end one. Features are all word n-grams (1 to 3). A sparse multinomial logistic regression,
 trained on the driver from the examples below, keeps some of them (the vocabulary); its classes are
-the licence families and unknown text. The temperature of its probabilities is set on examples held out in turn, and so
-is the least probability of a known class. A prediction is confirmed if the paragraph holds most of the n-grams of one
-of the class's templates. Every paragraph is classified: words are looked up in the vocabulary by their 64-bit hashes,
-n-grams by those of their words, in literal tables of buckets; a paragraph without any word of the vocabulary has the
-constant's verdict, which is unknown (``model`` sees to that).
+the licence families and unknown text. The temperature of its probabilities is set on examples held out in turn, whole
+names at a time, and so is the least probability of a known class. A prediction is confirmed if the paragraph holds most
+of the n-grams of one of the class's templates; a paragraph that holds 0.95 of the n-grams of a template is of that template's
+class, whatever the model says. Templates to compare with are found by their rarest n-grams, of which such a paragraph
+holds one at least. Every paragraph is classified: words are looked up by their 64-bit hashes, n-grams by those of their
+words, in literal tables of buckets; a paragraph without any known n-gram has the constant's verdict, which is unknown
+(``model`` sees to that).
 """
 
 from __future__ import annotations
@@ -74,12 +76,82 @@ NAMES = {
     "isc": ("ISC License", "ISC licence", "ISC open source license"),
     "epl-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL 2.0 license"),
 }
+
+#: Paragraphs of the licences themselves, of their notices and of the files that go with them (fixed texts).
+TEXTS = {
+    "apache-2.0": (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "You must give any other recipients of the Work or Derivative Works a copy of this License; and You must cause any modified files to carry prominent notices stating that You changed the files",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "gpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "gpl-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, see <https://www.gnu.org/licenses/>.",
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
+    "bsd": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0.",
+    ),
+    "cc-by": ("To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/", "Creative Commons Attribution 4.0 International Public License", "Attribution 4.0 International (CC BY 4.0)"),
+    "cc-by-sa": ("To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "Attribution-ShareAlike 4.0 International (CC BY-SA 4.0)", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."),
+    "cc-by-nc": ("To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "Attribution-NonCommercial 4.0 International (CC BY-NC 4.0)"),
+    "cc0": ("The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.", "To view a copy of CC0, visit http://creativecommons.org/publicdomain/zero/1.0/"),
+    "public-domain": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS",
+    ),
+    "epl-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Eclipse Public License - v 2.0", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE"),
+    "proprietary": (
+        "This document is proprietary and confidential. No part of it may be disclosed in any manner to a third party without the prior written consent of the company.",
+        "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited.", "All content is the property of its owner and may not be used without permission. All rights reserved.",
+    ),
+    UNKNOWN: (
+        "The court granted the company permission to build on the land without restriction, subject to the following conditions of the council.", "She is free to copy the recipe, to change it and to sell the cake for any purpose.", "The above notice was included in all copies of the newspaper.",
+        "In no event shall the players be late for the game.", "Either version of the story may be true, or any later one.", "The terms of the contract were published by the foundation in June 2007.", "To view the exhibition, visit the museum on Sunday.",
+        "The author of the book disclaims any link with the party.", "The program was made available to the public in 2004.", "He waived his right to a lawyer.", "The company lost its licence to sell beer.", "Version 3 of the plan was dropped in 1991.",
+    ),
+}
 PHRASES = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "The code is available under the {}, see the file LICENSE.", "{}")
-EXAMPLES = {k: (*own, *(x.format(n) for n in NAMES.get(k, ()) for x in PHRASES)) for k, own in TEMPLATES.items()}
+EXAMPLES = {k: (*own, *TEXTS.get(k, ()), *(x.format(n) for n in NAMES.get(k, ()) for x in PHRASES)) for k, own in TEMPLATES.items()}
+#: Examples that are measured together: all phrases of a name, and each other example by itself.
+GROUPS = {k: (*range(len(TEMPLATES[k]) + len(TEXTS.get(k, ()))), *(1000 + n for n in range(len(NAMES.get(k, ()))) for _ in PHRASES)) for k in EXAMPLES}
 #: What a line that goes on in the next one ends with, and what that begins with.
 SOFT_BREAK = r"\n(?<=[^\n]{40}[a-z0-9,;\"]\n)[ \t]*(?=[a-z(])"
-WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-SEED, BUCKETS, FLAGS = 42, 1024, 1 << 16
+WORD = "[a-z]+|[0-9]+"
+SEED, BUCKETS, FLAGS = 42, 8192, 1 << 16
 
 
 def paragraphs_of(text: str) -> list[str]:
@@ -87,7 +159,7 @@ def paragraphs_of(text: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters and digits of ASCII, with single points and hyphens within."""
+    """Lower-cased runs of letters, or of digits, of ASCII, so that names of versions fall apart alike however they are written."""
     return re.findall(WORD, text.lower())
 
 
@@ -108,14 +180,14 @@ def gram_hash(gram: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _fit(rows: list[tuple[str, int]], classes: int, rounds: int = 200, rate: float = 0.5, decay: float = 2e-3, l1: float = 2e-4) -> tuple[dict[str, int], np.ndarray]:
+def _fit(rows: list[tuple[str, int]], classes: int, rounds: int = 300, rate: float = 1.0, l1: float = 5e-5) -> tuple[dict[str, int], np.ndarray]:
     """The vocabulary of n-grams with a weight, and the weights, the last row being the constants. Each class counts alike."""
     held = [(grams_of(words_of(t)), norm_of(words_of(t)), c) for t, c in rows]
-    seen = Counter(g for grams, _, _ in held for g in grams)
-    vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 1))}  # what one example has alone tells little
+    seen = {g for grams, _, _ in held for g in grams}
+    vocabulary = {g: i for i, g in enumerate(sorted(seen))}
     x = np.zeros((len(rows), len(vocabulary) + 1), np.float32)
     for k, (grams, norm, _) in enumerate(held):
-        x[k, [vocabulary[g] for g in grams if g in vocabulary]] = 1 / norm
+        x[k, [vocabulary[g] for g in grams]] = 1 / norm
     x[:, -1] = 1
     y = np.eye(classes, dtype=np.float32)[[c for _, c in rows]]
     w = np.zeros((x.shape[1], classes), np.float32)
@@ -123,7 +195,7 @@ def _fit(rows: list[tuple[str, int]], classes: int, rounds: int = 200, rate: flo
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w -= rate * 10 * (x.T @ (p - y) / len(rows) + decay / 10 * w)
+        w -= rate * 10 * (x.T @ (p - y) / len(rows))
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * l1, 0)
     some = np.flatnonzero(np.abs(w[:-1]).max(axis=1) > 0)
     names = sorted(vocabulary)
@@ -137,17 +209,33 @@ def _logits(text: str, vocabulary: dict[str, int], w: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _held_out(folds: int = 5) -> list[tuple[np.ndarray, int]]:
-    """Logits and class of every example, by a model fitted without its fold."""
+def _held_out(folds: int = 5) -> list[tuple[np.ndarray, int, int]]:
+    """Logits, class, and class after the comparison with templates, of every example, by a model and templates without its whole group."""
     names = list(EXAMPLES)
-    rows = [(t, k) for k, n in enumerate(names) for t in EXAMPLES[n]]
+    rows = [(t, k, sum(map(ord, n)) + g) for k, n in enumerate(names) for t, g in zip(EXAMPLES[n], GROUPS[n])]
     out = []
     for fold in range(folds):
-        vocabulary, w = _fit([r for i, r in enumerate(rows) if i % folds != fold], len(names))
-        out += [(_logits(t, vocabulary, w), c) for i, (t, c) in enumerate(rows) if i % folds == fold]
+        own = [r[:2] for r in rows if r[2] % folds != fold]
+        vocabulary, w = _fit(own, len(names))
+        known = [(k, grams_of(words_of(t))) for t, k in own if names[k] != UNKNOWN]
+        for t, c, g in rows:
+            if g % folds == fold:
+                z = _logits(t, vocabulary, w)
+                out.append((z, c, _same(grams_of(words_of(t)), known, int(z.argmax()))[0]))
     return out
 
 
+def _same(own: set[str], templates: list[tuple[int, set[str]]], best: int) -> tuple[int, bool]:
+    """The class of the template that fits best (``_fits``; the first of those that tie) if ``own`` holds enough of one; else ``best``."""
+    found = [(fit, -i, k) for i, (k, grams) in enumerate(templates) if grams and (fit := _fits(len(grams & own), len(grams))) >= 0]
+    return (max(found)[2], True) if found else (best, False)
+
+
+def _fits(shared, size):
+    """0 or more if a share of 0.95 is there; larger for large templates, and for those of which less is missing."""
+    return shared * 20 - size * 19
+
+
 @functools.cache
 def model() -> dict:
     """Vocabulary, weights, temperature and least probability of a known class."""
@@ -155,28 +243,27 @@ def model() -> dict:
     unknown, held = names.index(UNKNOWN), _held_out()
 
     def loss(t: float) -> float:
-        return sum(math.log(np.exp(z / t - (z / t).max()).sum()) - (z[c] / t - (z / t).max()) for z, c in held)
+        return sum(math.log(np.exp(z / t - (z / t).max()).sum()) - (z[c] / t - (z / t).max()) for z, c, _ in held)
 
     temperature = min((t / 20 for t in range(4, 61)), key=loss)
     vocabulary, w = _fit([(t, k) for k, n in enumerate(names) for t in EXAMPLES[n]], len(names))
     if int(w[-1].argmax()) != unknown:
         raise ValueError("text without any known word has to count as unknown")
-    false = [np.exp(z / temperature - (z / temperature).max()) for z, c in held if c == unknown]
+    false = [np.exp(z / temperature - (z / temperature).max()) for z, c, _ in held if c == unknown]
     least = max([0.3, *(float(np.delete(p / p.sum(), unknown).max()) for p in false)])
-    return {"names": names, "vocabulary": vocabulary, "weights": w, "temperature": temperature, "least": min(0.6, least)}
+    templates = [(k, grams_of(words_of(t))) for k, n in enumerate(names) if n != UNKNOWN for t in EXAMPLES[n]]
+    return {"names": names, "vocabulary": vocabulary, "weights": w, "temperature": temperature, "least": min(0.6, least), "templates": templates}
 
 
-def judge_paragraph(text: str, least: float | None = None) -> tuple[str, float, float]:
-    """(class, probability, similarity) of one paragraph in plain Python: the reference of ``scan``."""
+def judge_paragraph(text: str, least: float | None = None) -> tuple[str, float, float, bool]:
+    """(class, probability, similarity, whether a template outweighed the model or agreed) of one paragraph in plain Python: the reference of ``scan``."""
     held = model()
-    names, vocabulary = held["names"], held["vocabulary"]
-    z = _logits(text, vocabulary, held["weights"]) / held["temperature"]
-    best = int(z.argmax())
-    probability = 1 / float(np.exp(z - z[best]).sum())
+    names, templates = held["names"], held["templates"]
+    z = _logits(text, held["vocabulary"], held["weights"]) / held["temperature"]
     own = grams_of(words_of(text))
-    known = {g for g in own if g in vocabulary}
-    shares = [len({g for g in grams_of(words_of(t)) if g in vocabulary} & known) / len({g for g in grams_of(words_of(t)) if g in vocabulary}) for t in EXAMPLES[names[best]] if any(g in vocabulary for g in grams_of(words_of(t)))]
-    return names[best], probability, max(shares, default=0.0)
+    best, same = _same(own, templates, int(z.argmax()))
+    probability = 1 / float(np.exp(z - z[best]).sum())
+    return names[best], probability, max((len(g & own) / len(g) for k, g in templates if k == best), default=0.0), same
 
 
 def _constant(value, kind: str) -> Column:
@@ -197,55 +284,76 @@ def scan(docs: DataFrame, least: float | None = None, confirm: float = 0.6, id_c
     """doc_id, paragraph (from 0), licence, probability, similarity, confirmed: one row for each paragraph of a known licence; no shuffle.
 
     ``similarity`` is the largest share of a template's n-grams that the paragraph holds, over the templates of the
-    predicted class; ``confirmed`` if it is ``confirm`` or more. Of classes that tie, the first of ``EXAMPLES`` counts.
+    class; ``confirmed`` if it is ``confirm`` or more. ``probability`` is the model's for the class, also where a template
+    decided it. Of classes that tie, the first of ``EXAMPLES`` counts, of templates the one that fits best (``_fits``) and then the first one.
     Null and empty texts give no rows. Texts and lines may be of any length. Repeated rows and paragraphs are reported
     each, rows without an id with a null id; an empty table gives none; further columns are not carried, whatever their
     names.
     """
     held = model()
     least = held["least"] if least is None else least
-    names, vocabulary, w, t = held["names"], held["vocabulary"], held["weights"], held["temperature"]
+    names, vocabulary, w, t, own = held["names"], held["vocabulary"], held["weights"], held["temperature"], held["templates"]
     unknown = names.index(UNKNOWN)
-    parts = sorted({x for g in vocabulary for x in g.split(" ")})
+    # numbers of n-grams: those with a weight first, then those that only templates hold
+    rest = sorted({g for _, grams in own for g in grams} - vocabulary.keys())
+    number = vocabulary | {g: len(vocabulary) + i for i, g in enumerate(rest)}
+    seen = Counter(g for _, grams in own for g in grams)
+    # a text that holds a share of 0.95 of a template holds one of its rarest n-grams, a few more of them than the others may be
+    rare: list[list[int]] = [[] for _ in number]
+    for i, (_, grams) in enumerate(own):
+        for g in sorted(grams, key=lambda g: (seen[g], -len(g), g))[: len(grams) - math.ceil(len(grams) * 19 / 20) + 1]:
+            rare[number[g]].append(i)
     some = [False] * FLAGS
-    for x in parts:
-        some[gram_hash(x) % FLAGS] = True
+    for g in number:
+        some[gram_hash(g.split(" ")[0]) % FLAGS] = True
     flags = _constant(some, "array<boolean>")
-    gram_number = _lookup({gram_hash(g): i for g, i in vocabulary.items()})
+    gram_number = _lookup({gram_hash(g): i for g, i in number.items()})
     weights, constant = _constant(w[:-1].tolist(), "array<array<double>>"), _constant(w[-1].tolist(), "array<double>")
-    # n-grams of each template as numbers of the vocabulary
-    templates = _constant([[sorted(vocabulary[g] for g in grams_of(words_of(x)) if g in vocabulary) for x in EXAMPLES[n] if any(g in vocabulary for g in grams_of(words_of(x)))] for n in names], "array<array<array<int>>>")
+    templates = _constant([{"k": k, "i": i, "g": sorted(number[g] for g in grams)} for i, (k, grams) in enumerate(own)], "array<struct<k:int,i:int,g:array<int>>>")
+    by_class = _constant([[i for i, (k, _) in enumerate(own) if k == n] for n in range(len(names))], "array<array<int>>")
+    rarest = _constant(rare, "array<array<int>>")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).where("_text is not null")
     lines = rows.select("doc_id", F.posexplode(F.split(F.regexp_replace("_text", SOFT_BREAK, " "), "\r?\n", -1)).alias("paragraph", "_line"))
     words = F.regexp_extract_all(F.lower("_line"), F.lit(WORD), F.lit(0))
 
     def known_grams(words: Column) -> Column:
-        """Numbers of the paragraph's n-grams that the vocabulary has; they begin at words whose flag is set, as those of the vocabulary's are."""
+        """Numbers of the paragraph's n-grams; they begin at words whose flag is set, as those of the table are."""
         spots = F.array_compact(F.transform(words, lambda x, i: F.when(F.get(flags, F.pmod(F.xxhash64(x), F.lit(FLAGS)).cast("int")), i)))
         at = lambda i, k: F.get(words, i + k)
         each = lambda i: F.array(gram_number(F.xxhash64(at(i, 0))), F.when(at(i, 1).isNotNull(), gram_number(F.xxhash64(at(i, 0), at(i, 1)))), F.when(at(i, 2).isNotNull(), gram_number(F.xxhash64(at(i, 0), at(i, 1), at(i, 2)))))
         return F.array_distinct(F.filter(F.flatten(F.transform(spots, each)), lambda i: i.isNotNull()))
 
     def logits(known: Column, words: Column) -> Column:
-        total = F.aggregate(known, F.array_repeat(F.lit(0.0), len(names)), lambda acc, i: F.zip_with(acc, F.get(weights, i), lambda a, b: a + b))
+        total = F.aggregate(F.filter(known, lambda i: i < len(vocabulary)), F.array_repeat(F.lit(0.0), len(names)), lambda acc, i: F.zip_with(acc, F.get(weights, i), lambda a, b: a + b))
         n = F.size(words)
         count = n + F.greatest(n - 1, F.lit(0)) + F.greatest(n - 2, F.lit(0))
         return let(F.greatest(F.sqrt(count.cast("double")), F.lit(1.0)), lambda s: F.zip_with(total, constant, lambda a, b: (a / s + b) / F.lit(float(t))))
 
-    def classed(known: Column, z: Column, top: Column) -> Column:
-        best = F.array_position(z, top).cast("int") - 1
-        probability = F.round(1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top)), 6)
-        share = lambda s: F.try_divide(F.size(F.array_intersect(s, known)), F.size(s))
-        similarity = F.coalesce(F.round(F.array_max(F.transform(F.get(templates, best), share)), 6), F.lit(0.0))
-        return F.struct(best.alias("best"), probability.alias("probability"), similarity.alias("similarity"))
+    held_of = lambda x, known: F.size(F.array_intersect(x["g"], known))
+
+    def same(known: Column) -> Column:
+        """How well the best template fits, its place and class; null if none does."""
+        near = F.array_distinct(F.flatten(F.transform(known, lambda i: F.get(rarest, i))))
+        fits = F.transform(near, lambda i: let(F.get(templates, i), lambda x: F.struct(_fits(held_of(x, known), F.size(x["g"])).alias("n"), (-x["i"]).alias("i"), x["k"].alias("k"))))
+        return F.array_max(F.filter(fits, lambda x: x["n"] >= 0))
+
+    def classed(known: Column, z: Column, top: Column, match: Column) -> Column:
+        best = F.coalesce(match["k"], F.array_position(z, top).cast("int") - 1)
+
+        def told(b: Column) -> Column:
+            chance = F.exp(F.get(z, b) - top) / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+            share = lambda i: let(F.get(templates, i), lambda x: held_of(x, known) / F.size(x["g"]))
+            similarity = F.coalesce(F.round(F.array_max(F.transform(F.get(by_class, b), share)), 6), F.lit(0.0))
+            return F.when((b != unknown) & (match.isNotNull() | (chance >= least)), F.struct(b.alias("best"), F.round(chance, 6).alias("probability"), similarity.alias("similarity")))
+
+        return let(best, told)
 
     def verdict(ws: Column, known: Column) -> Column:
-        return F.when(F.size(known) > 0, let(logits(known, ws), lambda z: let(F.array_max(z), lambda top: classed(known, z, top))))
+        return F.when(F.size(known) > 0, let(logits(known, ws), lambda z: let(F.array_max(z), lambda top: let(same(known), lambda match: classed(known, z, top, match)))))
 
     # all in one expression below an explode, so that no filter is evaluated ahead of it by computing it again
     one = let(words, lambda ws: let(known_grams(ws), lambda known: F.array(verdict(ws, known))))
-    found = F.filter(one, lambda r: F.coalesce((r["best"] != unknown) & (r["probability"] >= least), F.lit(False)))
-    judged = lines.select("doc_id", "paragraph", F.explode(found).alias("_r"))
+    judged = lines.select("doc_id", "paragraph", F.explode(F.filter(one, lambda r: r.isNotNull())).alias("_r"))
     licence = F.get(F.array(*[F.lit(n) for n in names]), F.col("_r.best"))
     return judged.select("doc_id", "paragraph", licence.alias("licence"), "_r.probability", "_r.similarity", (F.col("_r.similarity") >= confirm).alias("confirmed"))
