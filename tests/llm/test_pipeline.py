@@ -46,7 +46,7 @@ def test_one_of_each_group_stays(stages):
     rows = sorted(((i, t) for i, t in pairs(held[1]) if i is not None), key=lambda x: (x[0], x[1] or ""))
     codes = simhash.word_codes([t or "" for _, t in rows])
     far = lambda c, i, j: (int(codes[c][i]) ^ int(codes[c][j])).bit_count()
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if min(far(0, i, j), far(1, i, j)) <= 3 and far(2, i, j) + far(3, i, j) <= simhash.check_bits()]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if min(far(0, i, j), far(1, i, j), far(4, i, j)) <= 3 and far(2, i, j) + far(3, i, j) <= simhash.check_bits()]
     root = roots(len(rows), links)
     got, groups = pairs(held[2]), {}
     for i, r in enumerate(root):
@@ -83,6 +83,19 @@ def test_the_rest_is_encoded(stages):
     assert Counter((r.doc_id, tuple(r.ids)) for r in held[5].collect()) == want
 
 
+def test_clashing_names(spark, sf):
+    import corpus_pipeline as p
+
+    text = "one two three four five six seven eight nine ten " * 3
+    docs = spark.createDataFrame([(1, text, 5, "x", "y"), (2, text + "!", 6, None, "y"), (3, "unlike the others in all its words", 7, "z", None), (None, text, 8, "k", "y")], "doc_id long, text string, _key long, `__KEY` string, component_id string")
+    held = docs
+    for _, stage in p.STAGES[:4]:
+        held = stage(spark, held, sf)
+        assert held.columns == docs.columns
+    assert sorted((r.doc_id or 0, r._key, r["__KEY"], r.component_id) for r in held.collect()) == [(0, 8, "k", "y"), (1, 5, "x", "y"), (3, 7, "z", None)]
+    assert p.STAGES[4][1](spark, held, sf).count() == 3
+
+
 def test_empty_table(spark, sf, stages):
     import corpus_pipeline as p
 

@@ -79,6 +79,14 @@ def partitions_for(spark: SparkSession, size: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in whatever case."""
+    held = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in held:
+        pass
+    return name
+
+
 def let(value: Column, use) -> Column:
     """``use(value)``, with the value computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -208,15 +208,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, words: int = 3, id_col:
     return join_counted(fps, nodes.select("fp", "n", "component_id"), ["fp"], "n", F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# -- near copies by two fingerprints
+# -- near copies by fingerprints of words
 
-#: Bits by which the 128-bit fingerprints of two texts of cosine 0.8 differ on average: an angle of acos(0.8).
+#: Cosine of the counts of shingles from which texts are near copies.
 SIMILARITY = 0.8
 BLOCK_CHARS = 400_000
 
 
 def check_bits(similarity: float = SIMILARITY) -> int:
-    return math.floor(128 * math.acos(similarity) / math.pi)
+    """Bits by which 128-bit fingerprints of texts of this cosine differ on average (its angle), and a standard deviation more."""
+    part = math.acos(similarity) / math.pi
+    return math.floor(128 * part + math.sqrt(128 * part * (1 - part)))
 
 
 def _majorities(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -234,36 +236,36 @@ def _majorities(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 #: Constants that make further hashes of a hash; the first fingerprints are of the hashes themselves.
-OTHER = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+OTHER = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
 def word_codes(texts: list[str], words: int = 5) -> np.ndarray:
-    """(4, n): two fingerprints of the words of each text, by two hashes, and two more, 128 bits, of its shingles of ``words`` words; all with their counts.
+    """(5, n) for n texts, all with their counts: rows 0, 1 and 4 are fingerprints of the words by three hashes, rows 2 and 3, 128 bits together, of the shingles of ``words`` words.
 
     Words are lower-cased runs of letters and digits. A text of fewer words is one shingle; one without words has the
     hash of what it holds without white space for its only word, and zeros if that is nothing.
     """
     hashes, first = wordhash.word_hashes(texts)
-    out = np.zeros((4, len(texts)), np.uint64)
+    out = np.zeros((5, len(texts)), np.uint64)
     shingles, at = wordhash.shingle_hashes(hashes, first, words)
     out[0], out[1] = _majorities(hashes, first), _majorities(wordhash.mix(hashes ^ OTHER[0]), first)
     out[2], out[3] = _majorities(shingles, at), _majorities(wordhash.mix(shingles ^ OTHER[1]), at)
+    out[4] = _majorities(wordhash.mix(hashes ^ OTHER[2]), first)
     for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < words)).tolist():
         own = xxhash.xxh3_128_intdigest(hashes[first[i] : first[i + 1]].tobytes())
-        out[2:, i] = own >> 64, own & (1 << 64) - 1
+        out[2:4, i] = own >> 64, own & (1 << 64) - 1
     for i in np.flatnonzero(np.diff(first) == 0).tolist():
         if held := "".join(texts[i].split()).encode("utf-8", "replace"):
             own = xxhash.xxh3_128_intdigest(held)
-            out[:, i] = xxhash.xxh64_intdigest(held), xxhash.xxh64_intdigest(held, 1), own >> 64, own & (1 << 64) - 1
+            out[:, i] = xxhash.xxh64_intdigest(held), xxhash.xxh64_intdigest(held, 1), own >> 64, own & (1 << 64) - 1, xxhash.xxh64_intdigest(held, 2)
     return out
 
 
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, threshold: int = 3, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component_id for every row of ``docs`` with an id: texts link if their fingerprints say so.
+    """id, component_id (the least id of a group) for every row of ``docs`` with an id: texts link if their fingerprints say so.
 
-    Two SimHashes of the words with their counts find candidates, within ``threshold`` bits of either, by the covering
-    anchors; a SimHash of 128 bits of the shingles of ``words`` words then has to differ in no more bits than an angle of
-    cosine ``similarity`` gives on average. All are compared within an anchor before links are contracted, so a candidate
+    Three SimHashes of the words with their counts find candidates, within ``threshold`` bits of any, by the covering
+    anchors; a SimHash of 128 bits of the shingles of ``words`` words then has to differ in no more than ``check_bits``. All are compared within an anchor before links are contracted, so a candidate
     that the last fingerprint refuses never joins two groups. Null texts count as empty ones; empty texts are alike;
     repeated rows share a component; an empty table gives no rows; further columns are not carried.
     """
@@ -275,11 +277,11 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, threshold: in
                 codes = word_codes(texts[a:b], words)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c.view(np.int64)) for c in codes)], ["doc_id", *names])
 
-    names = ["fp", "fp_b", "check_a", "check_b"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    fps = spill_table(rows.mapInArrow(run, "doc_id long, fp long, fp_b long, check_a long, check_b long"), "text-codes")
+    names = ["fp", "fp_b", "check_a", "check_b", "fp_c"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    fps = spill_table(rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fp long, fp_b long, check_a long, check_b long, fp_c long"), "text-codes")
     distinct = spill_table(fps.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.xxhash64(*names)), "text-codes-distinct")
     n, bits = distinct.count(), check_bits(similarity)
-    found = [links(distinct.select("node", F.col(name).alias("fp"), "check_a", "check_b"), n, threshold, bits) for name in names[:2]]
-    nodes = _named(distinct, components(found[0].unionByName(found[1])))
+    found = [links(distinct.select("node", F.col(name).alias("fp"), "check_a", "check_b"), n, threshold, bits) for name in ("fp", "fp_b", "fp_c")]
+    nodes = _named(distinct, components(found[0].unionByName(found[1]).unionByName(found[2])))
     return join_counted(fps, nodes.select(*names, "n", "component_id"), names, "n", F.col("doc_id")).select("doc_id", "component_id")
