@@ -99,13 +99,13 @@ def token_parts(t: Column) -> Column:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term: a row for each token of each document, as ``tokenize`` gives them; a document without any has one row with a null.
+    """_id, term: a row for each token of each document, as ``tokenize`` gives them; a document without any has one row with a null.
 
     Each text is matched once, and everything after it are plain columns of rows.
     """
-    raw = docs.select(F.col(id_col), F.explode_outer(F.regexp_extract_all(F.lower(nfkc(F.col(text_col))), F.lit(TOKEN), F.lit(0))).alias("_t"))
-    parts = raw.select(id_col, F.explode_outer(token_parts(F.col("_t"))).alias("_p"))
-    return parts.select(id_col, F.when((F.col("_p") != "") & ~F.col("_p").isin(*STOPWORDS), F.col("_p")).alias("term"))
+    raw = docs.select(F.col(id_col).alias("_id"), F.explode_outer(F.regexp_extract_all(F.lower(nfkc(F.col(text_col))), F.lit(TOKEN), F.lit(0))).alias("_t"))
+    parts = raw.select("_id", F.explode_outer(token_parts(F.col("_t"))).alias("_p"))
+    return parts.select("_id", F.when((F.col("_p") != "") & ~F.col("_p").isin(*STOPWORDS), F.col("_p")).alias("term"))
 
 
 def sanitize(text: Column) -> Column:

@@ -31,17 +31,17 @@ def query_tokens(query: str) -> list[str]:
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """An inverted index below ``path``: ``postings`` (term, id, tf) in order of the terms, and ``lengths`` (id, dl).
+    """An inverted index below ``path``: ``postings`` (term, _id, tf) in order of the terms, and ``lengths`` (_id, dl).
 
     A search reads the row groups of its terms and the lengths, not the texts. Texts are matched once. Rows of one id
     count as one document.
     """
-    counted = tx.token_rows(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count("term").alias("tf"))
+    counted = tx.token_rows(docs, id_col, text_col).groupBy("_id", "term").agg(F.count("term").alias("tf"))
     spark = docs.sparkSession
     counted.write.parquet(f"{path}/counts")
     held = spark.read.parquet(f"{path}/counts")
-    held.where("term is not null").repartitionByRange("term").sortWithinPartitions("term", id_col).write.parquet(f"{path}/postings")
-    held.groupBy(id_col).agg(F.sum("tf").alias("dl")).write.parquet(f"{path}/lengths")
+    held.where("term is not null").repartitionByRange("term").sortWithinPartitions("term", "_id").write.parquet(f"{path}/postings")
+    held.groupBy("_id").agg(F.sum("tf").alias("dl")).write.parquet(f"{path}/lengths")
 
 
 def search_index(spark: SparkSession, path: str, query: str, id_col: str = "doc_id", min_should_match: float = 0.0, where: Column | None = None) -> DataFrame:
@@ -51,19 +51,19 @@ def search_index(spark: SparkSession, path: str, query: str, id_col: str = "doc_
     found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(terms))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     held = [F.count_if(F.col("term") == t).alias(f"df{i}") for i, t in enumerate(terms)]
-    by_doc = found.groupBy(id_col).agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
-    rows = by_doc.join(lengths, id_col)
-    return _scored(rows if where is None else rows.where(where), stats.crossJoin(found.agg(F.count("*").alias("_n"), *held)), terms, id_col, min_should_match)
+    by_doc = found.groupBy("_id").agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    rows = by_doc.join(lengths, "_id")
+    return _scored(rows, stats.crossJoin(found.agg(F.count("*").alias("_n"), *held)), terms, id_col, min_should_match, where)
 
 
 def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """id, dl, tf0, tf1, ...: one narrow row for each document. One matching of each text; counts combine before the shuffle by document."""
+    """_id, dl, tf0, tf1, ...: one narrow row for each document. One matching of each text; counts combine before the shuffle by document."""
     counts = [F.count_if(F.col("term") == t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    return tx.token_rows(docs, id_col, text_col).groupBy(id_col).agg(F.count("term").alias("dl"), *counts)
+    return tx.token_rows(docs, id_col, text_col).groupBy("_id").agg(F.count("term").alias("dl"), *counts)
 
 
-def _scored(rows: DataFrame, stats: DataFrame, terms: list[str], id_col: str, min_should_match: float) -> DataFrame:
-    """Scores of rows (id, dl, tf0, ...) by one row of statistics (n, avgdl, df0, ...)."""
+def _scored(rows: DataFrame, stats: DataFrame, terms: list[str], id_col: str, min_should_match: float, where: Column | None) -> DataFrame:
+    """Scores of rows (_id, dl, tf0, ...) by one row of statistics (n, avgdl, df0, ...), of ids that pass ``where``."""
     rows = rows.crossJoin(F.broadcast(stats))
     norm = F.lit(K1) * (1 - B + F.lit(B) * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0)))
     score, matched = F.lit(0.0), F.lit(0)
@@ -72,7 +72,8 @@ def _scored(rows: DataFrame, stats: DataFrame, terms: list[str], id_col: str, mi
         score = score + F.when(tf > 0, F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
         matched = matched + F.when(tf > 0, 1).otherwise(0)
     need = max(1, math.ceil(min_should_match * len(terms)))
-    return rows.select(F.col(id_col), score.alias("score"), matched.alias("matched")).where((F.col("matched") >= need) & (F.col("score") > 0))
+    out = rows.select(F.col("_id").alias(id_col), score.alias("score"), matched.alias("matched")).where((F.col("matched") >= need) & (F.col("score") > 0))
+    return out if where is None else out.where(where)
 
 
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, min_should_match: float = 0.0, where: Column | None = None) -> DataFrame:
@@ -85,7 +86,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, min_should_mat
     terms = query_tokens(query)
     narrow = written(term_counts(docs, terms, id_col, text_col), "terms")
     stats = narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    return _scored(narrow if where is None else narrow.where(where), stats, terms, id_col, min_should_match)
+    return _scored(narrow, stats, terms, id_col, min_should_match, where)
 
 
 def nearest(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str) -> DataFrame:

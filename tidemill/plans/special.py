@@ -28,7 +28,7 @@ def query_row(spark: SparkSession, sf_dir: str, vec_id: int = 3) -> DataFrame:
 
 def tokenize_terms(spark, sf_dir):
     """Every term with the number of documents that hold it and of its places; counted by document first, so no distinct is needed."""
-    counted = tx.token_rows(table(spark, sf_dir, "documents"), "doc_id", "text").where("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    counted = tx.token_rows(table(spark, sf_dir, "documents"), "doc_id", "text").where("term is not null").groupBy("term", "_id").agg(F.count("*").alias("n"))
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
