@@ -1,13 +1,11 @@
-"""Functions for SQL: a table function that cuts text into chunks, and an exact percentile as an aggregate."""
+"""Functions for SQL: a table function that cuts text into chunks. An example of extension; ``text.pack_chunks`` is the native one."""
 
 from __future__ import annotations
 
-import math
 import re
 
-import pandas as pd
 from pyspark.sql import SparkSession, types as T
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import udtf
 
 MOST = 180
 
@@ -41,14 +39,6 @@ class ChunkText:
             yield done, len(held), held
 
 
-@pandas_udf(T.DoubleType())
-def nearest_rank(value: pd.Series, share: pd.Series) -> float:
-    """The value at ceil(share n) of a group's sorted values; null of none."""
-    held = value.dropna().sort_values()
-    return float(held.iloc[max(0, math.ceil(share.iloc[0] * len(held)) - 1)]) if len(held) else None
-
-
 def register(spark: SparkSession) -> None:
-    """Make them known to the session's SQL: ``tidemill_chunks(text)`` and ``tidemill_nearest_rank(value, share)``."""
+    """Make it known to the session's SQL: ``tidemill_chunks(text)``."""
     spark.udtf.register("tidemill_chunks", ChunkText)
-    spark.udf.register("tidemill_nearest_rank", nearest_rank)

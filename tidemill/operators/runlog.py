@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+
+from . import tree
 
 WINDOW_RUNS = 500
 
 
 def nearest_rank(value: Column, p: float) -> Column:
-    """The value at ceil(p n) of the group's sorted values; null of none. For groups of bounded size."""
+    """The value at ceil(p n) of the group's sorted values; null of none. For groups of bounded size; ``prefix.percentiles`` is for any."""
     held = F.sort_array(F.collect_list(value))
     return F.get(held, F.greatest(F.ceil(F.lit(p) * F.size(held)) - 1, F.lit(0)).cast("int"))
 
@@ -78,23 +79,16 @@ def trace_summary(spans: DataFrame) -> DataFrame:
 
 
 def waterfall(spans: DataFrame) -> DataFrame:
-    """Spans in the order of their tree, with depth and shares of the run's time; a span without its parent is a root.
+    """run_id, span_id, depth, offset_pct, width_pct, ttft_pct, duration_ms, pos: spans in the order of their tree (``tree.walk``), with shares of the run's time.
 
-    The walk is a recursive query: each level is one join by run and parent.
+    A span without its parent is a root; spans on a circle of parents have no row.
     """
-    spark = spans.sparkSession
-    siblings = Window.partitionBy("run_id", "up").orderBy("started_at", "span_id")
-    parents = spans.select(F.col("run_id").alias("r"), F.col("span_id").alias("up"))
-    rooted = spans.join(parents, (spans.run_id == parents.r) & (spans.parent_id == parents.up), "left").drop("r").withColumn("step", F.lpad(F.row_number().over(siblings).cast("string"), 8, "0"))
-    walk = spark.sql(
-        """WITH RECURSIVE walk AS (SELECT run_id, span_id, 0 AS depth, step AS path FROM {rooted} WHERE up IS NULL
-           UNION ALL SELECT s.run_id, s.span_id, w.depth + 1, concat(w.path, '/', s.step) FROM {rooted} s JOIN walk w ON s.run_id = w.run_id AND s.up = w.span_id) SELECT * FROM walk""",
-        rooted=rooted,
-    )
-    run = Window.partitionBy("run_id")
+    walked = tree.walk(spans, "started_at").select(F.col("run").alias("run_id"), F.col("id").alias("span_id"), "depth", "pos")
     end = F.coalesce("ended_at", "started_at")
-    span = F.greatest(F.max(end).over(run) - F.min("started_at").over(run), F.lit(1))
+    runs = spans.groupBy(F.col("run_id").alias("_run")).agg(F.min("started_at").alias("_from"), F.max(end).alias("_to"))
+    span = F.greatest(F.col("_to") - F.col("_from"), F.lit(1))
     took = end - F.col("started_at")
     ttft = F.when(F.col("first_token_at").isNotNull() & (took > 0), F.least(F.lit(100.0), (F.col("first_token_at") - F.col("started_at")) * 100 / F.when(took > 0, took)))
-    shares = spans.select("run_id", "span_id", ((F.col("started_at") - F.min("started_at").over(run)) * 100 / span).alias("offset_pct"), (took * 100 / span).alias("width_pct"), ttft.alias("ttft_pct"), took.alias("duration_ms"))
-    return walk.join(shares, ["run_id", "span_id"]).withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy("path"))).drop("path")
+    shares = spans.join(runs, F.col("run_id").eqNullSafe(F.col("_run"))).select("run_id", "span_id", ((F.col("started_at") - F.col("_from")) * 100 / span).alias("offset_pct"), (took * 100 / span).alias("width_pct"), ttft.alias("ttft_pct"), took.alias("duration_ms"))
+    a, b = walked.alias("a"), shares.alias("b")
+    return a.join(b, F.col("a.run_id").eqNullSafe(F.col("b.run_id")) & (F.col("a.span_id") == F.col("b.span_id"))).select("a.run_id", "a.span_id", "a.depth", "b.offset_pct", "b.width_pct", "b.ttft_pct", "b.duration_ms", "a.pos")

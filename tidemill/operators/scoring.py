@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fields, text as tx
-from .runlog import nearest_rank
+from . import prefix
 
 # Checks that protect users, and how far measures may fall.
 SAFETY = ("blocked", "no_model_call", "not_blocked", "must_not_contain", "guardrail_fired")
 PASS_TOLERANCE, JUDGE_TOLERANCE, LEAST_PASS = 0.15, 0.1, 0.7
 CHECK = "struct<name:string,pass:boolean>"
+TIMES = ("ttft_ms", "total_ms")
 
 
 def _check(name: str, when: Column, passed: Column) -> Column:
@@ -85,9 +86,13 @@ def measure(scored: DataFrame, percentiles: bool = True) -> DataFrame:
     ]
     if "via" in scored.columns:
         out += [F.count_if(answering & (F.col("via") == v)).alias(f"via_{v}") for v in ("local", "cloud")] + [F.count_if(answering & F.col("fell_back")).alias("fallbacks")]
-        if percentiles:  # of a set of cases, which is small
-            out += [nearest_rank(F.when(answering, F.col(c)), p).alias(f"{c[:-3]}_p{int(p * 100)}") for c in ("ttft_ms", "total_ms") for p in (0.5, 0.95)]
-    return scored.agg(*out)
+    total = scored.agg(*out)
+    if not percentiles or "via" not in scored.columns:
+        return total
+    times = scored.where(answering).select(F.explode(F.array(*[F.struct(F.lit(c[:-3]).alias("time"), F.col(c).cast("long").alias("ms")) for c in TIMES])).alias("t")).select("t.*")
+    found = prefix.percentiles(times, ["time"], "ms", {"p50": 0.5, "p95": 0.95})
+    # both are one row
+    return total.crossJoin(found.agg(*[F.max(F.when(F.col("time") == c[:-3], F.col(p))).alias(f"{c[:-3]}_{p}") for c in TIMES for p in ("p50", "p95")]))
 
 
 def by_category(scored: DataFrame) -> DataFrame:

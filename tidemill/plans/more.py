@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fields, plans, registry, text as tx
-from ..operators import answers, folds, market, retrieval, rules, runlog, scoring
+from ..operators import answers, folds, market, prefix, retrieval, rules, runlog, scoring
 from ..sources import stores
 
 #: Words that make a text an attempt to override instructions or an offer that is banned, by the remainder of a key.
@@ -382,8 +382,8 @@ def chunk_udtf(spark, sf_dir):
 
 
 def nearest_rank_udaf(spark, sf_dir):
-    registry.register(spark)
-    return spark.sql("SELECT event_type, tidemill_nearest_rank(value, 0.9D) AS p90 FROM {e} GROUP BY event_type", e=table(spark, sf_dir, "events"))
+    """The exact 90th percentile of every type, for groups of any size."""
+    return prefix.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p90": 0.9})
 
 
 # -- retrieval

@@ -62,3 +62,21 @@ def overdue(orders: DataFrame, now, accept_minutes: int = 15, start_minutes: int
     due = lambda c, m: F.lit(now) >= F.col(c) + F.make_interval(mins=F.lit(m))
     late = ((F.col("status") == "pending_accept") & due("created_at", accept_minutes)) | ((F.col("status") == "accepted") & due("accepted_at", start_minutes))
     return orders.withColumn("action", F.when((F.col("funds") == "held") & late, "cancel"))
+
+
+def once(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFrame:
+    """Each event once, however often it comes within the watermark's delay; state is kept that long only. Batches alike."""
+    return timed(events, late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
+
+
+def runs_with_spans(runs: DataFrame, spans: DataFrame, late: str = "10 minutes", within: str = "30 minutes") -> DataFrame:
+    """run_id, status, started, span_id, at: each span once with its run, if it began ``within`` of the run's start.
+
+    Both are streams (or batches) with a time ``ts``: runs have run_id and status, spans run_id and span_id. Rows later than
+    the watermark are dropped; the bound on time lets either side's state go. Runs without spans wait until no span can
+    come any more and then have one row with nulls.
+    """
+    left = once(runs, ["run_id"], late).select("run_id", "status", F.col("ts").alias("started"))
+    right = once(spans, ["run_id", "span_id"], late).select(F.col("run_id").alias("of_run"), "span_id", F.col("ts").alias("at"))
+    near = (F.col("of_run") == F.col("run_id")) & (F.col("at") >= F.col("started")) & (F.col("at") <= F.col("started") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, near, "left").drop("of_run")
