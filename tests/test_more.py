@@ -147,3 +147,24 @@ def test_entry_without_the_subpackage(monkeypatch):
 @pytest.mark.parametrize("groups, want", [([["a", "Z"], ["q"]], [True, False])])
 def test_mentions(spark, groups, want):
     assert one(spark, rules.check_mentions(F.lit("xz"), groups)) == want
+
+
+def test_every_class_of_failure(spark):
+    cases = [("http", 429, "quota", "quota_exhausted"), ("http", 503, "", "provider_unavailable"), ("Error", None, "Network down", "network"), ("TypeError", None, "", "network"), ("TimeoutError", None, "quota", "timeout"), ("AbortError", None, "", "aborted"), (None, None, "", "unknown"), ("Error", 500, "odd", "unknown")]
+    for kind, status, text, code in cases:
+        args = (F.lit(kind).cast("string"), F.lit(status).cast("int"), F.lit(text))
+        assert one(spark, rules.failure_code(*args, F.lit(False))) == code
+        assert one(spark, rules.failure_code(*args, F.lit(True))) == ("ollama_offline" if code == "network" else code)
+    assert one(spark, rules.retryable(F.lit("auth"))) is False and one(spark, rules.falls_back_to_cloud(F.lit("ollama_offline"))) is True
+
+
+def test_rows_are_told_once(spark):
+    rows = [(1, 0, 0, ("a", "x")), (1, 0, 1, ("b", "x")), (1, 1, 0, ("b", "x")), (1, 1, 1, ("b", "y")), (1, 2, 0, (None, "x")), (1, 3, 0, (None, "x")), (2, 1, 0, ("b", "x")), (1, 4, 0, ("a", "x"))]
+    df = spark.createDataFrame(rows, "run_id int, result_pos int, row_pos int, row struct<id:string,v:string>")
+    got = {(r.run_id, r.result_pos): r.text for r in plans.told_once(df, ("id", "v")).collect()}
+    assert got == {(1, 0): "same for all rows: v=x\nid\na\nb", (1, 1): "id | v\nb | y\nalso: b (listed above)", (1, 2): "id | v\n- | x", (1, 3): "id | v\n- | x", (1, 4): "also: a (listed above)", (2, 1): "id | v\nb | x"}
+
+
+def test_terms_of_a_table_with_an_id_named_term(spark):
+    docs = spark.createDataFrame([(1, "pump valve"), (2, "pump")], "term int, text string")
+    assert [r.term for r in retrieval.top(retrieval.bm25(docs, "valve", "term", "text"), "term", 3).collect()] == [1]

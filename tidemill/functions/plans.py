@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import let, strip
 
@@ -86,6 +86,24 @@ def compact_table(rows: Column, columns: tuple[str, ...]) -> Column:
     return let(rows, text)
 
 
+def told_once(results: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """run_id, result_pos, text of each result of a run: rows that an earlier result of the run showed are only named by their ids.
+
+    ``results``: run_id, result_pos, row_pos, row (a struct with ``id``). Rows without an id are always shown. The first
+    place of a row is one aggregate by its digest, so what a run has shown is never held in one place.
+    """
+    digest = F.when(F.col("row")["id"].isNotNull(), F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256))
+    keyed = results.withColumn("_digest", digest)
+    first = keyed.where("_digest is not null").groupBy(F.col("run_id").alias("_run"), F.col("_digest").alias("_own")).agg(F.min("result_pos").alias("_first"))
+    # a row and a result are few rows of the key, as ids are a run's own
+    shown = keyed.join(first, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_digest") == F.col("_own")), "left").withColumn("_fresh", F.coalesce(F.col("_first") == F.col("result_pos"), F.lit(True)))
+    rows = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("row_pos", "row")))), lambda x: x["row"])
+    held = shown.groupBy("run_id", "result_pos").agg(rows(F.col("_fresh")).alias("fresh"), rows(~F.col("_fresh")).alias("seen"))
+    also = F.concat(F.lit("also: "), F.array_join(F.transform("seen", lambda r: r["id"].cast("string")), ", "), F.lit(" (listed above)"))
+    text = F.concat_ws("\n", F.when(F.size("fresh") > 0, compact_table(F.col("fresh"), columns)), F.when(F.size("seen") > 0, also))
+    return held.select("run_id", "result_pos", text.alias("text"))
+
+
 # What makes a reply a claim about data, and how short a direct reply is.
 DATA_CLAIM = r"(?<![A-Za-z0-9_])B-\d{6}-\d{2}(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])T-[A-Z]+-\d+(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])[A-Z]{2,}(?:-[A-Z0-9]{2,})+(?![A-Za-z0-9_])|\d(?:\.\d+)?\s*%"
 DIRECT_CHARS = {"zh": 200, "en": 600}

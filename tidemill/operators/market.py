@@ -50,10 +50,19 @@ def flatten_feed(stars: DataFrame) -> DataFrame:
     return stars.select("slug", F.posexplode(newest).alias("pos", "e")).select("slug", "pos", "e.*")
 
 
-def by_month(feed: DataFrame, date: str = "date") -> DataFrame:
-    """Month and its rows, which are a page of a feed and so few, the newest first."""
-    rows = feed.withColumn("month", F.date_format(F.to_date(date), "yyyy-MM"))
-    return rows.groupBy("month").agg(F.sort_array(F.collect_list(F.struct(date, "title")), asc=False).alias("items"))
+def by_month(feed: DataFrame, date: str = "date", most: int = 20) -> DataFrame:
+    """month, n, items: how many rows a month has and the newest ``most`` of them, its page of the feed. No task holds a month."""
+    rows = feed.select(F.to_date(date).alias("date"), "title").withColumn("month", F.date_format("date", "yyyy-MM"))
+    newest = rows.withColumn("_n", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("date"), F.desc("title")))).where(F.col("_n") <= most)
+    items = newest.groupBy("month").agg(F.sort_array(F.collect_list(F.struct("date", "title")), asc=False).alias("items"))
+    counts = rows.groupBy(F.col("month").alias("_month")).agg(F.count("*").alias("n"))
+    return counts.join(items, F.col("month").eqNullSafe(F.col("_month"))).select("month", "n", "items")
+
+
+def refund_all(orders: DataFrame, viewer: str) -> DataFrame:
+    """viewer, refund, cancelled: the sum and number of each viewer's orders (funds, price) that still hold funds."""
+    held = F.coalesce(F.col("funds") == "held", F.lit(False))
+    return orders.groupBy(viewer).agg(F.sum(F.when(held, F.coalesce("price", F.lit(0.0))).otherwise(0.0)).alias("refund"), F.count_if(held).alias("cancelled"))
 
 
 def new_items(items: DataFrame, inbox: DataFrame, stars: DataFrame) -> DataFrame:

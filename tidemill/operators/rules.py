@@ -16,6 +16,7 @@ def route(task: Column, strategy: Column, length: Column, cloud: Column, local_r
 
 def error_code(status: Column, text: Column) -> Column:
     """The first class that fits the status or the message."""
+    # fixed values: what messages of each class hold
     has = lambda p: text.rlike("(?i)" + p)
     at = lambda *codes: F.coalesce(status.isin(*codes), F.lit(False))
     limited = at(429) | has("resource_exhausted|exceeded your current quota|quota|rate limit|too many requests")
@@ -30,6 +31,22 @@ def error_code(status: Column, text: Column) -> Column:
     )
 
 
+def failure_code(kind: Column, status: Column, text: Column, local: Column) -> Column:
+    """The class of a failure: ``kind`` is the error's name, or http for a reply with a status; ``local`` whether the local runtime failed."""
+    unreached = (kind == "TypeError") | ((kind == "Error") & text.rlike("(?i)fetch failed|network"))
+    return (
+        F.when(kind == "TimeoutError", "timeout")
+        .when(kind == "AbortError", "aborted")
+        .when(unreached, F.when(local, "ollama_offline").otherwise("network"))
+        .when(kind.isin("Error", "http"), error_code(F.when(kind == "http", status), text))
+        .otherwise("unknown")
+    )
+
+
+def retryable(code: Column) -> Column:
+    return ~code.isin("auth", "model_unavailable", "context_too_long")
+
+
 def falls_back_to_local(code: Column) -> Column:
     return code.isin("quota_exhausted", "rate_limited", "provider_unavailable", "network")
 

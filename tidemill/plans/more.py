@@ -367,15 +367,6 @@ NEW_ITEMS = """WITH i AS (SELECT substr(sha256('star' || page_id % 7 || '::' ||
 SELECT id, slug, title, 'pending' AS status, published = '2024-01-02' AS dated FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY published, title) AS n FROM i WHERE slug IN ('star0', 'star1', 'star2', 'star3') AND id NOT IN (SELECT id FROM i WHERE k % 5 = 0)) WHERE n = 1"""
 
 
-def feed_months(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
-    feed = e.select(F.to_date("ts").alias("date"), F.col("event_id").cast("string").alias("title"))
-    return market.by_month(feed).select("month", F.size("items").alias("n"), F.get("items", F.lit(0))["title"].alias("newest"))
-
-
-FEED = "SELECT strftime(ts, '%Y-%m') AS month, CAST(count(*) AS INT) AS n, arg_max(CAST(event_id AS VARCHAR), (CAST(ts AS DATE), CAST(event_id AS VARCHAR))) AS newest FROM events WHERE event_type = 'signup' GROUP BY 1"
-
-
 def chunk_udtf(spark, sf_dir):
     registry.register(spark)
     return spark.sql("SELECT c.i, c.size, count(*) AS n FROM {b} b, LATERAL tidemill_chunks(b.text) c GROUP BY ALL", b=table(spark, sf_dir, "benchmark"))
@@ -634,12 +625,12 @@ def cases_regressed(spark, sf_dir):
 
 
 def admission(spark, sf_dir):
-    """Open orders of each customer in turn: taken while fewer than 3 are held and what was taken before leaves enough."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    """The orders of each customer in turn: taken while fewer than 3 are held and what was taken before leaves enough."""
+    o = table(spark, sf_dir, "orders")
     return folds.admit(o, "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", 3, 600_000.0)
 
 
-ADMISSION = """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'O'),
+ADMISSION = """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
  f AS (SELECT o_custkey, o_orderkey, rn, CASE WHEN price > 600000 THEN 'tickets_insufficient' END AS reason, CASE WHEN price <= 600000 THEN 1 ELSE 0 END AS held, CASE WHEN price <= 600000 THEN price ELSE 0 END AS spent FROM o WHERE rn = 1
   UNION ALL SELECT o.o_custkey, o.o_orderkey, o.rn, CASE WHEN f.spent + price > 600000 THEN 'tickets_insufficient' WHEN f.held >= 3 THEN 'queue_full' END, f.held + CASE WHEN f.spent + price <= 600000 AND f.held < 3 THEN 1 ELSE 0 END, f.spent + CASE WHEN f.spent + price <= 600000 AND f.held < 3 THEN price ELSE 0 END FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.rn = f.rn + 1)
 SELECT o_custkey, o_orderkey, reason FROM f"""
@@ -707,7 +698,6 @@ MORE = {
     "migrated_orders": (migrated_orders, MIGRATED),
     "token_stream": (token_stream, TOKEN_STREAM),
     "new_items": (new_items, NEW_ITEMS),
-    "feed_months": (feed_months, FEED),
     "nearest_rank_udaf": (nearest_rank_udaf, "SELECT event_type, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY event_type"),
     "retrieve_reranked": (retrieve_reranked, reranked_sql),
     "retrieve_floor": (retrieve_floor, floor_sql),

@@ -168,12 +168,6 @@ PORTABLE: dict[str, str] = {
     "trace_rollup": """
         SELECT user_id, count(*) AS spans, count(*) FILTER (WHERE event_type = 'purchase') AS generations, count(*) FILTER (WHERE event_type = 'error') AS errors,
                round(sum(value) FILTER (WHERE event_type = 'purchase'), 4) AS cost, max(event_id) - min(event_id) AS width FROM @events GROUP BY user_id""",
-    "orphans_to_root": """
-        SELECT a.id, CASE WHEN b.id IS NULL THEN NULL ELSE a.parent END AS parent FROM (VALUES ('root', NULL), ('a', 'root'), ('a1', 'a'), ('orphan', 'gone')) AS a(id, parent)
-        LEFT JOIN (VALUES ('root'), ('a'), ('a1'), ('orphan')) AS b(id) ON a.parent = b.id""",
-    "rejoin_refund": """
-        SELECT viewer, sum(CASE WHEN funds = 'held' THEN price ELSE 0 END) AS refund, count(*) FILTER (WHERE funds = 'held') AS cancelled FROM
-          (VALUES ('v1', 'held', 30), ('v1', 'released', 20), ('v2', 'held', 5), ('v2', 'held', 7)) AS o(viewer, funds, price) GROUP BY viewer""",
     # -- retrieval metrics on given ranks
     "maxpool_groups": """
         SELECT label, vec_id, row_number() OVER (ORDER BY best DESC, vec_id) AS rk FROM (SELECT label, vec_id, element_at(embedding, 1) AS best,

@@ -241,42 +241,6 @@ TRACE_SQL = """WITH RECURSIVE span AS (SELECT concat('r', CAST(r_regionkey AS ST
  SELECT id, name, depth, path, row_number() OVER (ORDER BY path, id) AS pos FROM walk"""
 
 
-def grounding_check(spark, sf_dir):
-    rows = [(1, "Batch B-240909-01 fell by 7.4 % at T-ETCH-07, ETCH-RF-DRIFT", "B-240909-01 T-ETCH-07 ETCH-RF-DRIFT 91.6 99"), (2, "B-111111-11 rose 31%", "B-240909-01 12 5"), (3, "100% checked, 9% lost", "2024-09-09 12"), (4, "20 % of 50", "10 50")]
-    df = spark.createDataFrame(rows, "id int, output string, evidence string")
-    return df.select("id", F.array_join(tx.ungrounded(F.col("output"), F.col("evidence")), ",").alias("ungrounded"))
-
-
-GROUNDING_SQL = "SELECT * FROM (VALUES (1, ''), (2, 'B-111111-11,31%'), (3, '9%'), (4, '')) AS t(id, ungrounded)"
-
-
-def zh_numeral(spark, sf_dir):
-    df = spark.createDataFrame([(x,) for x in ("三", "十", "十二", "二十", "二十五", "九十九", "零", "百", "十十")], "x string")
-    return df.select("x", tx.chinese_number(F.col("x")).alias("n"))
-
-
-ZH_SQL = "SELECT * FROM (VALUES ('三', 3), ('十', 10), ('十二', 12), ('二十', 20), ('二十五', 25), ('九十九', 99), ('零', NULL), ('百', NULL), ('十十', NULL)) AS t(x, n)"
-
-
-def kind_lookup(spark, sf_dir):
-    df = spark.sql("SELECT * FROM VALUES ('s1', map('duo', 30, 'coach', 90)), ('s2', map('duo', 25)), ('s3', map()) AS t(streamer, prices)")
-    kinds = F.array(*map(F.lit, ("duo", "coach", "review")))
-    return df.select("streamer", F.try_element_at("prices", F.lit("coach")).alias("price"), F.array_join(F.filter(kinds, lambda k: F.map_contains_key("prices", k)), ",").alias("offered"))
-
-
-KIND_SQL = "SELECT * FROM (VALUES ('s1', 90, 'duo,coach'), ('s2', NULL, 'duo'), ('s3', NULL, '')) AS t(streamer, price, offered)"
-
-
-def sections_split(spark, sf_dir):
-    body = "---\ntitle: Pump check\ntype: sop\ncodes: A-B, C-D\n---\nintro\n## Steps\nOpen. Close.\n## Empty\n\n## Notes\n- one\n- two\n"
-    df = spark.createDataFrame([(body,)], "b string")
-    rows = df.select(F.posexplode(tx.sections(F.col("b"))).alias("i", "s"), tx.front_matter(F.col("b")).alias("m"))
-    return rows.select("i", F.col("s.heading").alias("heading"), F.col("s.body").alias("body"), F.col("m")["title"].alias("title"), F.array_join(tx.comma_list(F.col("m")["codes"]), "|").alias("codes"))
-
-
-SECTIONS_SQL = "SELECT * FROM (VALUES (0, 'Steps', 'Open. Close.', 'Pump check', 'A-B|C-D'), (1, 'Notes', '- one' || chr(10) || '- two', 'Pump check', 'A-B|C-D')) AS t(i, heading, body, title, codes)"
-
-
 def fingerprints(spark, sf_dir):
     return stores.fingerprint(table(spark, sf_dir, "nation"))
 
@@ -334,10 +298,6 @@ SPECIAL = {
     "json_prop_histogram": (json_prop_histogram, "SELECT CAST(json_extract(props, '$.k') AS INT) AS k, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "json_validate": (json_validate, "SELECT valid, count(*) AS n FROM (SELECT json_valid(CASE WHEN event_id % 5 = 0 THEN replace(props, '}', '') ELSE props END) AS valid FROM events) GROUP BY valid"),
     "trace_tree": (trace_tree, TRACE_SQL),
-    "grounding_check": (grounding_check, GROUNDING_SQL),
-    "zh_numeral": (zh_numeral, ZH_SQL),
-    "kind_lookup": (kind_lookup, KIND_SQL),
-    "section_split": (sections_split, SECTIONS_SQL),
     "fingerprint": (fingerprints, "SELECT " + FINGERPRINT_SQL + " AS fingerprint FROM (SELECT ('0x' || substr(md5(n_nationkey || chr(31) || n_name || chr(31) || n_regionkey), 1, 15))::BIGINT AS h FROM nation)"),
     "rate_limit_sliding": (rate_limit_sliding, RATE_LIMIT),
     "fsm_fold": (fsm_fold, FSM),
@@ -383,15 +343,6 @@ BY_TASK_SQL = RUNS_SQL + """SELECT task_type, count(*) AS n, count(*) FILTER (WH
  round(sum((k % 10) / 100.0::DOUBLE), 6) AS cost_usd FROM r GROUP BY task_type"""
 
 
-def trace_waterfall(spark, sf_dir):
-    rows = [("r", "root", None, 1000, 2000, None), ("r", "b", "root", 1500, 2000, 1600), ("r", "a", "root", 1100, 1200, None), ("r", "a1", "a", 1120, 1150, None), ("r", "orphan", "gone", 1900, None, None)]
-    spans = spark.createDataFrame(rows, "run_id string, span_id string, parent_id string, started_at long, ended_at long, first_token_at long")
-    return runlog.waterfall(spans).select("span_id", "depth", "pos", F.round("offset_pct", 4).alias("offset_pct"), F.round("width_pct", 4).alias("width_pct"), F.round("ttft_pct", 4).alias("ttft_pct"))
-
-
-WATERFALL_SQL = "SELECT * FROM (VALUES ('root', 0, 1, 0.0::DOUBLE, 100.0::DOUBLE, NULL::DOUBLE), ('a', 1, 2, 10.0, 10.0, NULL), ('a1', 2, 3, 12.0, 3.0, NULL), ('b', 1, 4, 50.0, 50.0, 20.0), ('orphan', 0, 5, 90.0, 0.0, NULL)) AS t(span_id, depth, pos, offset_pct, width_pct, ttft_pct)"
-
-
 def route_decision(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     task = F.when(F.col("turn") % 3 == 0, "analyze").when(F.col("turn") % 3 == 1, "chat").otherwise("tags")
@@ -403,21 +354,6 @@ ROUTE_SQL = """SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'local' WHEN
  WHEN turn % 3 = 0 THEN CASE WHEN conv_id % 5 > 0 THEN 'cloud' ELSE 'local' END WHEN conv_id % 5 > 0 AND length(text) * 20 >= 2000 THEN 'cloud' ELSE 'local' END AS route FROM conversations"""
 
 
-def error_classes(spark, sf_dir):
-    rows = [(429, "slow down"), (429, "quota exceeded"), (None, "Rate limit: tokens per minute"), (401, ""), (None, "invalid api key"), (404, ""), (None, "maximum context length"), (503, ""), (None, "odd"), (None, "Too many requests: tokens")]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, status int, text string")
-    code = rules.error_code(F.col("status"), F.col("text"))
-    return df.select("i", code.alias("code"), rules.falls_back_to_local(code).alias("to_local"), rules.lowers_tier(code).alias("lower"))
-
-
-ERROR_SQL = "SELECT * FROM (VALUES (0, 'rate_limited', true, true), (1, 'quota_exhausted', true, true), (2, 'rate_limited', true, true), (3, 'auth', false, false), (4, 'auth', false, false), (5, 'model_unavailable', false, true), (6, 'context_too_long', false, false), (7, 'provider_unavailable', true, true), (8, 'unknown', false, false), (9, 'quota_exhausted', true, true)) AS t(i, code, to_local, lower)"
-
-
-def rerank_scores(spark, sf_dir):
-    df = spark.createDataFrame([(1, '```json\n{"scores": [{"id": "P2", "score": 3}, {"id": "[P1]", "score": 7}, {"id": "P9", "score": 3}]}\n```', 3), (2, "no json", 2), (3, '{"scores": [{"id": "p1", "score": 0.5}]}', 1)], "i int, raw string, n int")
-    return df.select("i", F.array_join(F.transform(rules.rerank_scores(F.col("raw"), F.col("n")), lambda x: x.cast("string")), ",").alias("scores"))
-
-
 def store_skip(spark, sf_dir):
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     reason = rules.store_skip_reason(F.when(F.col("event_type") == "error", "error").otherwise("ok"), F.floor("value").cast("int"), F.when(k % 13 == 0, "auth"), k % 7 == 0, F.when(k % 5 == 0, F.array(F.lit("input"), F.lit("output"))).otherwise(F.array(F.lit("input"))), (k % 3).cast("int"))
@@ -437,48 +373,15 @@ HOTTEST_SQL = """SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER
  (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE rn = 1"""
 
 
-def order_reasons(spark, sf_dir):
-    rows = [(1, "duo", None, None, "chess", "x"), (2, "bad", None, None, "chess", "x"), (3, "seed", None, " ", "chess", "x"), (4, "duo", None, None, " ", "x"), (5, "duo", None, None, "chess", ""), (6, "duo", "gambling", None, "chess", "x"), (7, "seed", None, "s", "chess", "")]
-    df = spark.createDataFrame(rows, "i int, kind string, violation string, seed string, game string, details string")
-    return df.select("i", rules.order_reason(F.col("kind"), ("duo", "seed"), F.col("violation"), F.col("seed"), F.col("game"), F.col("details")).alias("reason"))
-
-
-REASON_SQL = "SELECT * FROM (VALUES (1, NULL), (2, 'kind_not_allowed'), (3, 'seed_required'), (4, 'game_required'), (5, 'details_required'), (6, 'gambling'), (7, NULL)) AS t(i, reason)"
-
 SPECIAL |= {
     "run_stats": (run_stats, STATS_SQL),
     "runs_by_task": (runs_by_task, BY_TASK_SQL),
-    "trace_waterfall": (trace_waterfall, WATERFALL_SQL),
     "route_decision": (route_decision, ROUTE_SQL),
-    "error_classes": (error_classes, ERROR_SQL),
-    "rerank_scores": (rerank_scores, "SELECT * FROM (VALUES (1, '3,3,0'), (2, '0,0'), (3, '1')) AS t(i, scores)"),
     "store_skip_reason": (store_skip, SKIP_SQL),
     "hottest_kind": (hottest_kind, HOTTEST_SQL),
-    "order_reasons": (order_reasons, REASON_SQL),
 }
 
 
-PLAN_JSON = '{"inScope": true, "summary": "Etch drifts.", "findings": [{"text": "Yield fell", "refs": ["B-1"]}], "causes": [{"text": "RF drift", "confidence": "high", "refs": []}], "actions": [{"text": "Clean", "priority": "P0", "owner": "process"}], "dataToConfirm": ["pressure"]}'
-PLANS = ((1, f"```json\n{PLAN_JSON}\n```"), (2, "{broken"), (3, PLAN_JSON.replace('"high"', '"certain"')), (4, '{"inScope": false, "summary": "No.", "findings": [], "causes": [], "actions": [], "dataToConfirm": []}'), (5, '{"inScope": true, "summary": "x", "findings": [], "causes": [], "actions": [], "dataToConfirm": []}'))
-
-
-def plan_markdown(spark, sf_dir):
-    df = spark.createDataFrame(PLANS, "i int, raw string").select("i", plans.parse_plan(F.col("raw")).alias("p"))
-    return df.select("i", F.col("p").isNotNull().alias("ok"), plans.render_plan(F.col("p")).alias("text"), F.array_join(plans.ungrounded_refs(F.col("p"), F.lit("A-1")), ",").alias("loose"))
-
-
-PLAN_TEXT = "'Etch drifts.\n\n## Findings\n- Yield fell (B-1)\n\n## Likely causes\n- [high] RF drift\n\n## Actions\n- P0 · Clean — process\n\n## Data to confirm\n- pressure'"
-PLAN_SQL = f"SELECT * FROM (VALUES (1, true, {PLAN_TEXT}, 'B-1'), (2, false, NULL, NULL), (3, false, NULL, NULL), (4, true, 'No.', ''), (5, false, NULL, NULL)) AS t(i, ok, text, loose)"
-
-
-def formats(spark, sf_dir):
-    df = spark.createDataFrame([(1, 0.0, 999), (2, 0.00005, 12345), (3, 0.0051, 2_500_000), (4, 0.25, 1000), (5, 12.5, None), (6, None, 0)], "i int, usd double, n long")
-    return df.select("i", plans.format_usd(F.col("usd")).alias("usd"), plans.format_tokens(F.col("n")).alias("tokens"))
-
-
-FORMATS_SQL = "SELECT * FROM (VALUES (1, '$0', '999'), (2, '<$0.0001', '12.3k'), (3, '$0.0051', '2.5M'), (4, '$0.250', '1,000'), (5, '$12.50', '—'), (6, '—', '0')) AS t(i, usd, tokens)"
-
-
 def embed_prompts(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     model, purpose = F.when(F.col("item_id") % 2 == 0, "embeddinggemma:300m").otherwise("other"), F.when(F.col("item_id") % 3 == 0, "document").when(F.col("item_id") % 3 == 1, "query").otherwise("similarity")
@@ -498,8 +401,6 @@ def compact_tables(spark, sf_dir):
 COMPACT_SQL = "SELECT n_regionkey, 'same for all rows: n_regionkey=' || n_regionkey || chr(10) || 'n_nationkey | n_name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey"
 
 SPECIAL |= {
-    "plan_markdown": (plan_markdown, PLAN_SQL),
-    "usd_format": (formats, FORMATS_SQL),
     "embed_prompt": (embed_prompts, PROMPT_SQL),
     "compact_table": (compact_tables, COMPACT_SQL),
 }
@@ -518,16 +419,6 @@ SECTION_SQL = (
 )
 
 
-def offer_games(spark, sf_dir):
-    df = spark.sql("SELECT * FROM VALUES ('s1', array(named_struct('game', 'chess', 'kindPrices', map('duo', 30)), named_struct('game', 'go', 'kindPrices', map('other', 1)))), ('s2', array(named_struct('game', 'chess', 'kindPrices', map('coach', 5)))) AS t(id, offers)")
-    return df.select("id", F.array_join(market.offered_games(F.col("offers"), ("duo", "coach")), ",").alias("games"))
-
-
-def featured_offer(spark, sf_dir):
-    df = spark.sql("SELECT * FROM VALUES (1, 's1', false, array(named_struct('game', 'chess', 'kindPrices', map('duo', 30)))), (2, 's2', true, array(named_struct('game', 'go', 'kindPrices', map('x', 1)), named_struct('game', 'chess', 'kindPrices', map('coach', 5, 'duo', 2)))) AS t(pos, id, live, offers)")
-    return market.featured(df, ("duo", "coach"))
-
-
 def collated_sort(spark, sf_dir):
     """Names in Unicode order: a few rows, ranked by one window."""
     return spark.sql("SELECT n_name, row_number() OVER (ORDER BY collate(n_name, 'UNICODE'), n_nationkey) AS pos FROM {n}", n=table(spark, sf_dir, "nation"))
@@ -543,8 +434,6 @@ def corpus_fingerprint(spark, sf_dir):
 
 SPECIAL |= {
     "section_check": (section_check, SECTION_SQL),
-    "offer_games": (offer_games, "SELECT * FROM (VALUES ('s1', 'chess'), ('s2', 'chess')) AS t(id, games)"),
-    "featured_offer": (featured_offer, "SELECT 's2' AS id, 'chess' AS game, 'duo' AS kind"),
     "collated_sort": (collated_sort, "SELECT n_name, row_number() OVER (ORDER BY n_name, n_nationkey) AS pos FROM nation"),
     "finding_summary": (finding_summary, f"SELECT doc_id, 'email×' || n AS email FROM (SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS n FROM documents) WHERE n > 0"),
     "corpus_fingerprint": (corpus_fingerprint, "SELECT " + FINGERPRINT_SQL + " AS fingerprint FROM (SELECT ('0x' || substr(md5(doc_id || chr(31) || sha1(text)), 1, 15))::BIGINT AS h FROM documents)"),
