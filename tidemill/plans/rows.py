@@ -274,15 +274,15 @@ def frame_source(spark, sf_dir):
 
 def results_once(spark, sf_dir):
     """What two tools found, told in one text for each order: lines that an earlier result showed are only named."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("row_pos"), F.struct(F.concat(F.lit("L"), F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("flag")).alias("row"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("row_pos"), F.struct(F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_returnflag").alias("flag")).alias("row"))
     both = lines.withColumn("result_pos", F.lit(0)).unionByName(lines.where("row_pos % 2 = 0 or run_id % 2 = 0").withColumn("result_pos", F.lit(1)).withColumn("row", F.col("row").withField("flag", F.when(F.col("run_id") % 5 == 0, "Z").otherwise(F.col("row.flag")))))
     return plans.told_once(both, ("id", "flag")).select("run_id", "result_pos", "text")
 
 
-RESULTS_ONCE = """WITH a AS (SELECT l_orderkey AS run_id, 0 AS result_pos, l_linenumber AS n, 'L' || l_linenumber AS id, l_returnflag AS flag FROM lineitem
-  UNION ALL SELECT l_orderkey, 1, l_linenumber, 'L' || l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN 'Z' ELSE l_returnflag END FROM lineitem WHERE l_linenumber % 2 = 0 OR l_orderkey % 2 = 0),
+RESULTS_ONCE = """WITH a AS (SELECT l_orderkey AS run_id, 0 AS result_pos, l_linenumber AS n, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_returnflag AS flag FROM lineitem
+  UNION ALL SELECT l_orderkey, 1, l_linenumber, l_linenumber || '-' || l_partkey || '-' || l_suppkey, CASE WHEN l_orderkey % 5 = 0 THEN 'Z' ELSE l_returnflag END FROM lineitem WHERE l_linenumber % 2 = 0 OR l_orderkey % 2 = 0),
  f AS (SELECT *, result_pos = min(result_pos) OVER (PARTITION BY run_id, id, flag) AS fresh FROM a),
- c AS (SELECT run_id, result_pos, count(*) FILTER (WHERE fresh) AS m, count(DISTINCT flag) FILTER (WHERE fresh) AS flags, min(flag) FILTER (WHERE fresh) AS flag0, string_agg(id || ' | ' || flag, chr(10) ORDER BY n, flag) FILTER (WHERE fresh) AS full_, string_agg(id, chr(10) ORDER BY n) FILTER (WHERE fresh) AS ids, string_agg(id, ', ' ORDER BY n) FILTER (WHERE NOT fresh) AS seen FROM f GROUP BY ALL)
+ c AS (SELECT run_id, result_pos, count(*) FILTER (WHERE fresh) AS m, count(DISTINCT flag) FILTER (WHERE fresh) AS flags, min(flag) FILTER (WHERE fresh) AS flag0, string_agg(id || ' | ' || flag, chr(10) ORDER BY n, id) FILTER (WHERE fresh) AS full_, string_agg(id, chr(10) ORDER BY n, id) FILTER (WHERE fresh) AS ids, string_agg(id, ', ' ORDER BY n, id) FILTER (WHERE NOT fresh) AS seen FROM f GROUP BY ALL)
 SELECT run_id, result_pos, concat_ws(chr(10), CASE WHEN m > 1 AND flags = 1 THEN 'same for all rows: flag=' || flag0 || chr(10) || 'id' || chr(10) || ids WHEN m > 0 THEN 'id | flag' || chr(10) || full_ END, CASE WHEN seen IS NOT NULL THEN 'also: ' || seen || ' (listed above)' END) AS text FROM c"""
 
 ROWS = {
