@@ -110,6 +110,52 @@ def test_token_file(spark, docs, texts, empty, tmp_path):
     assert tokenfile.token_file_digest(empty).count() == 0
 
 
+def test_token_file_format(spark, tmp_path):
+    """Encodings, row groups, page indexes and what a selective read touches, from the files' own metadata."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "tokens")
+    rows = [(i, f"word{i % 50} and more words {i * 7919 % 1000} " * 60) for i in range(6_000)]
+    with_small = tokenfile.WRITE | {"parquet.block.size": str(256 << 10)}
+    held, tokenfile.WRITE = tokenfile.WRITE, with_small
+    try:
+        tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, parts=2)
+    finally:
+        tokenfile.WRITE = held
+    files = sorted(f for f in (tmp_path / "tokens").iterdir() if f.name.endswith(".parquet"))
+    assert len(files) == 2
+    groups = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema.split(".")[0]: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert "RLE_DICTIONARY" in columns["tokens"].encodings and all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "row_start", "n_tokens"))
+            assert all(c.has_offset_index for c in columns.values()) and all(columns[c].has_column_index for c in ("doc_id", "row_start", "n_tokens"))
+            low, high = columns["doc_id"].statistics.min, columns["doc_id"].statistics.max
+            assert low <= high and high - low + 1 == meta.row_group(g).num_rows
+    assert groups > 4
+    # bits of the dictionary's numbers, not 32 for each id
+    raw = sum(pq.ParquetFile(f).metadata.row_group(g).column(4).total_uncompressed_size for f in files for g in range(pq.ParquetFile(f).metadata.num_row_groups))
+    assert raw < 2 * sum(r.n_tokens for r in tokenfile.read_index(spark, path).collect())
+    few = tokenfile.read_tokens(spark, path).where("doc_id between 100 and 120")
+    assert few.count() == 21 and "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,100), LessThanOrEqual(doc_id,120)]" in few._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(?<!n_)tokens[#:]", tokenfile.read_index(spark, path)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_token_file_of_one_id(spark, tmp_path):
+    """Rows of one id, and equal ones, are dealt to several files, in an order that is the same each time."""
+    rows = [(None if i % 2 else 7, f"text {i % 40}") for i in range(3_000)]
+    df, found = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), []
+    for k in range(2):
+        tokenfile.write_tokens(df, str(tmp_path / f"t{k}"), parts=6)
+        got = tokenfile.checksums(spark, str(tmp_path / f"t{k}")).collect()
+        found.append(sorted((r.start, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got))
+        sizes = [r["count"] for r in tokenfile.read_tokens(spark, str(tmp_path / f"t{k}")).groupBy("part").count().collect()]
+        assert len(sizes) == 6 and max(sizes) < 1_200
+    assert found[0] == found[1] and [r[1] for r in found[0]] == [0] * 1_500 + [7] * 1_500 and all(a[0] + a[2] == b[0] for a, b in zip(found[0], found[0][1:]))
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

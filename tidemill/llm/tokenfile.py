@@ -134,8 +134,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Encode all documents and write them below ``path`` in ascending order of their ids.
 
     A null text counts as the empty text: its only id is the end id. A null id comes first. Rows of the same id stay
-    and follow each other in the order of their texts. Further columns are not carried; an empty table gives files
-    without rows. One shuffle, by ranges of the id; no task holds more than its range.
+    and follow each other in the order of a hash of their texts. Further columns are not carried; an empty table gives
+    files without rows. One shuffle, by ranges of the id, the hash and a running number, so that rows of one id, or
+    without any, go to as many tasks as they need.
     """
     spark = docs.sparkSession
     schema = "doc_id long, part int, row_start long, n_tokens int, tokens array<int>"
@@ -158,8 +159,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, schema).write.options(**WRITE).parquet(path)
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(n, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
+    rows.select("doc_id", "text").mapInArrow(run, schema).write.options(**WRITE).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
