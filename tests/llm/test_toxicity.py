@@ -50,6 +50,19 @@ def test_disguises_of_any_length_and_alphabet(restorer):
     assert words("1 2 3 4 5 6 7") == set("1234567") and words("") == set() and words("plain words only") == {"plain", "words", "only"}
 
 
+def test_mixed_separators_groups_and_rare_doubles(restorer, monkeypatch):
+    monkeypatch.setattr(toxicity, "RARE_COST", 4.0)  # the fixture's few words leave chances that a corpus does not
+    words = lambda t: toxicity.token_sets([t], restorer)[0]
+    assert "idiot" in words("you i d-i o.t") and "stupid" in words("so st.up.id!") and "stupid" in words("s_t-u.p_i-d")
+    assert "stupid" in words("a stuupid one") and "idiot" in words("the idioot, again") and "moron" in words("mo-r-on")
+    # what the model expects stays as it is, and long parts are names, not disguises
+    assert words("the foolish pathetic") == {"the", "foolish", "pathetic"} and words("clown-show.text") == {"clown-show.text"}
+    costs, low = restorer.table, "idioot lost moron stuupid"
+    code, kind = toxicity._points(low)
+    want = [i for i in range(2, len(low)) if low[i] == low[i - 1] and low[i].isalpha() and costs[ord(low[i - 2]) - 97 if low[i - 2] != " " else 26][ord(low[i]) - 97][ord(low[i]) - 97] >= toxicity.RARE_COST]
+    assert toxicity._rare_doubles(code, kind, costs).tolist() == want and want
+
+
 def test_scores_are_the_models(spark):
     """Fitted twice on labels that differ in rows held out only; scores are recomputed from the weights; odd rows have scores."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -1,8 +1,8 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 A writer's letters pass a channel that swaps them for signs that look alike, repeats them and sets blanks or points
-between them. Candidate strings (tokens of letters and such signs, with a letter three times in a row, and signs standing
-singly) are turned into lattices: each sign may be one of several letters, a run of a letter may be one or two of it, and
+between them. Candidate strings (tokens of letters and such signs, words with a letter three times in a row or twice where
+that is rare under the model, short groups with points or the like between them, and signs standing singly) are turned into lattices: each sign may be one of several letters, a run of a letter may be one or two of it, and
 what stands between single signs is nothing or the end of a word. Letters other than a to z stand for themselves. The
 Viterbi path of a lattice under a character trigram model of the corpus, with the costs of the channel, is the restored
 word; of paths that tie, the one whose signs are read by the earlier option. Candidates may have any length: a path is a
@@ -33,10 +33,15 @@ TRAIN_ROWS, FEATURES = 50_000, 5_000
 RATIO, SHARE = 12.0, 0.01
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h"}
 SWAP_COST, WILD_COST, SINGLE_COST, DOUBLE_COST, KEEP_COST, GAP_COST, LOST_COST = 1.5, 3.0, 0.7, 0.7, 0.05, 1.0, 1.0
-SINGLY = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+*])([ ._-])(?:[^\W_]|[@$!|+*])(?:\1(?:[^\W_]|[@$!|+*])){2,}(?![^\W_])")
+SINGLY = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+*])(?:[ ._-](?:[^\W_]|[@$!|+*])){3,}(?![^\W_])")
+#: Short groups of signs with something between them, at least two of them.
+GROUPS = re.compile(r"[^\W_]{1,3}(?:[._-][^\W_]{1,3}){2,}")
 THRICE = re.compile(r"([^\W\d_])\1\1")
+GAPS = re.compile("[._-]")
 SIGNS = "!#$%&*+@|~^=<>"
 EDGES = ".,;:?\"'()[]{}<>«»…-_/\\"
+#: From this cost on, a letter that stands twice is rare after what it follows, and its word is decoded.
+RARE_COST = 6.0
 #: Words whose restored form a worker keeps, and the longest of them; longer ones are decoded each time.
 KNOWN, KNOWN_CHARS = 50_000, 64
 #: Characters of the texts whose words are held at a time.
@@ -82,7 +87,7 @@ class Restorer:
     """Viterbi decoding of candidate strings; keeps what it has decoded."""
 
     def __init__(self, costs: np.ndarray):
-        self.costs = costs.tolist()
+        self.table, self.costs = costs, costs.tolist()
         self.known: dict[tuple[str, bool], str] = {}
 
     def options(self, c: str) -> list[tuple[str, float]]:
@@ -185,6 +190,27 @@ def _single(kind: np.ndarray) -> bool:
     return bool(near.any())
 
 
+def _rare_doubles(code: np.ndarray, kind: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """Places of letters that stand twice where the model hardly expects them to, within words of ASCII letters or others."""
+    at = np.flatnonzero((kind[2:] == 1) & (code[2:] == code[1:-1])) + 2
+    if not len(at):
+        return at
+    letter = lambda i: np.where((code[i] >= 97) & (code[i] <= 122), code[i].astype(np.int64) - 97, 26)
+    x = letter(at)
+    return at[(x < 26) & (costs[letter(at - 2), x, x] >= RARE_COST)]
+
+
+def _word_at(low: str, i: int) -> str:
+    """The run of letters that holds a place."""
+    a = i
+    while a and low[a - 1].isalpha():
+        a -= 1
+    b = i + 1
+    while b < len(low) and low[b].isalpha():
+        b += 1
+    return low[a:b]
+
+
 def token_sets(texts: list[str], restorer: Restorer) -> list[set[str]]:
     """The distinct words of each text, lower-cased, and beside them the restored ones of those that were disguised."""
     out = []
@@ -197,7 +223,15 @@ def token_sets(texts: list[str], restorer: Restorer) -> list[set[str]]:
                 for x in {w, w.rstrip("!+*|")}:
                     if len(x) >= 3 and any(c.isalpha() for c in x) and all(c.isalpha() or c in LOOKALIKE for c in x):
                         more.add(restorer.restore(x))
+                if GROUPS.fullmatch(bare := w.strip(EDGES + SIGNS)):
+                    more.add(restorer.restore(GAPS.sub("", bare)))
         code, kind = _points(low)
+        last = -1
+        for i in _rare_doubles(code, kind, restorer.table).tolist():
+            if i > last:
+                word = _word_at(low, i)
+                last = i + len(word)
+                more.add(restorer.restore(word))
         if _thrice(code, kind):
             more.update(restorer.restore(w) for w in words if w.isalpha() and THRICE.search(w))
         if _single(kind):
