@@ -81,7 +81,8 @@ def nfkc(text: Column) -> Column:
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # one literal, folded by the optimizer
     spread = lambda x: F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     flat = F.translate(text, old, new)
-    return F.when(~text.rlike(_ranges(old + "".join(many))), text).when(text.rlike(_ranges(many)), spread(flat)).otherwise(flat)
+    plain = F.octet_length(text) == F.length(text)  # of ASCII alone, which most texts are; far cheaper than the patterns
+    return F.when(plain, text).when(~text.rlike(_ranges(old + "".join(many))), text).when(text.rlike(_ranges(many)), spread(flat)).otherwise(flat)
 
 
 def tokenize(text: Column) -> Column:
@@ -98,6 +99,18 @@ def token_parts(t: Column) -> Column:
     return F.when(t.rlike("^[a-z0-9]+$"), F.array(t)).when(t.rlike("^[a-z0-9]"), compound).otherwise(pairs)
 
 
+def token_counts(text: Column, terms: list[str]) -> Column:
+    """struct<dl, tf>: the number of tokens of a text and, in the order of ``terms``, how many are each. One matching, no rows."""
+    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+
+    def counted(tokens):
+        hits = F.filter(tokens, lambda t: F.array_contains(wanted, t))
+        tf = let(hits, lambda h: F.transform(wanted, lambda w: F.size(F.filter(h, lambda t: t == w))))
+        return F.struct(F.size(tokens).alias("dl"), tf.alias("tf"))
+
+    return let(F.coalesce(tokenize(text), F.array().cast("array<string>")), counted)
+
+
 def token_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id, term: a row for each token of each document, as ``tokenize`` gives them; a document without any has one row with a null.
 

@@ -57,9 +57,9 @@ def search_index(spark: SparkSession, path: str, query: str, id_col: str = "doc_
 
 
 def term_counts(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """_id, dl, tf0, tf1, ...: one narrow row for each document. One matching of each text; counts combine before the shuffle by document."""
-    counts = [F.count_if(F.col("term") == t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    return tx.token_rows(docs, id_col, text_col).groupBy("_id").agg(F.count("term").alias("dl"), *counts)
+    """_id, dl, tf0, tf1, ...: one narrow row for each document. One matching of each text, counted within its row; rows of one id are added up."""
+    rows = docs.select(F.col(id_col).alias("_id"), tx.token_counts(F.col(text_col), terms).alias("_c"))
+    return rows.groupBy("_id").agg(F.sum("_c.dl").alias("dl"), *[F.sum(F.get("_c.tf", F.lit(i))).alias(f"tf{i}") for i in range(len(terms))])
 
 
 def _scored(rows: DataFrame, stats: DataFrame, terms: list[str], id_col: str, min_should_match: float, where: Column | None) -> DataFrame:
