@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from . import pretoken
+from . import pretoken, wordhash
 from .common import scratch, slices
 
-#: Distinct pieces whose ids a worker keeps; then it starts afresh. Bounds memory only, never results.
-CACHE_PIECES = 300_000
-BLOCK_CHARS = 250_000
+#: Distinct pieces whose ids a worker keeps, twice; then those not used since go. Bounds memory only, never results.
+CACHE_PIECES = 250_000
+BLOCK_CHARS = 500_000
 SCHEMA = "doc_id long, part int, row_start long, n_tokens int, tokens array<int>"
 WRITE = {
     "compression": "zstd",
@@ -67,6 +67,7 @@ class LibraryEncoder:
             for name, i in names.items():
                 self.width[i] = len(name)  # one character of a name stands for one byte
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, new: set[str]) -> None:
         """Pieces that begin with a blank stay apart when joined, so one call takes many; the others go one by one."""
@@ -105,24 +106,67 @@ class LibraryEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, of which those not known yet are learnt. What was used lately is kept when the others go."""
+        seen, older = self.seen, self.older
+        out = list(map(seen.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            wanted = [pieces[i] for i in missing]
+            again = [p for p in wanted if p in older]
+            seen.update([(p, older[p]) for p in again])
+            if len(again) < len(wanted):
+                self.learn(set(wanted).difference(again))
+            for i, p in zip(missing, wanted):
+                out[i] = seen[p]
+        if len(seen) > CACHE_PIECES:
+            self.seen, self.older = {}, seen
+        return out
+
     def encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Of texts without added tokens."""
+        """Of texts without added tokens: each distinct piece of a block is looked up once, and ids are put together by array operations."""
         out: list[bytes] = []
         for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
             joined, bounds, index = pretoken.piece_bounds(texts[a:b])
+            if len(bounds) < 2:
+                out += [b""] * (b - a)
+                continue
+            first, place = distinct_pieces(joined, bounds)
             at = bounds.tolist()
-            every = [joined[i:j] for i, j in zip(at, at[1:])]
-            new = set(every).difference(self.seen)
-            if new:
-                if len(self.seen) + len(new) > CACHE_PIECES:
-                    self.seen.clear()
-                    new = set(every)
-                self.learn(new)
-            raw, cuts = list(map(self.seen.__getitem__, every)), index.tolist()
-            out += [b"".join(raw[i:j]) for i, j in zip(cuts, cuts[1:])]
+            raw = self.ids_of([joined[at[i] : at[i + 1]] for i in first.tolist()])
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            start = np.cumsum(size) - size
+            sizes = size[place]
+            ends = np.cumsum(sizes)
+            every = ids[np.repeat(start[place] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            cuts = np.concatenate(([0], ends))[index].tolist()
+            out += [every[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
         return out
 
 
+def distinct_pieces(joined: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the first piece of each kind, and for each piece which kind it is. Pieces of one 64-bit hash are compared character by character."""
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    powers, inverse = wordhash._powers(max(18, (len(code) + 1).bit_length()))
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * powers[: len(code)], out=total[1:])
+    starts, size = bounds[:-1], np.diff(bounds)
+    hashes = wordhash.mix((total[bounds[1:]] - total[starts]) * inverse[starts])
+    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    kind = first[place]
+    same = (size == size[kind]).all()
+    if same:
+        moved = np.repeat(starts[kind] - starts, size)
+        same = np.array_equal(code, code[np.arange(len(code)) + moved])
+    if not same:  # two kinds of one hash
+        held: dict[str, int] = {}
+        at = bounds.tolist()
+        place = np.array([held.setdefault(joined[i:j], len(held)) for i, j in zip(at, at[1:])])
+        first = np.unique(place, return_index=True)[1]
+    return first, place
+
+
 @functools.cache
 def encoder(path: str | None) -> LibraryEncoder:
     import public_tokenizers
@@ -134,9 +178,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Encode all documents and write them below ``path`` in ascending order of their ids.
 
     A null text counts as the empty text: its only id is the end id. A null id comes first. Rows of the same id stay
-    and follow each other in the order of a hash of their texts. Further columns are not carried; an empty table gives
-    files without rows. One shuffle, by ranges of the id, the hash and a running number, so that rows of one id, or
-    without any, go to as many tasks as they need.
+    and follow each other in the order in which the table gives them. Further columns are not carried; an empty table
+    gives files without rows. One shuffle, by ranges of the id and a running number, so that rows of one id, or without
+    any, go to as many tasks as they need; the texts are read once.
     """
     spark = docs.sparkSession
     schema = "doc_id long, part int, row_start long, n_tokens int, tokens array<int>"
@@ -148,7 +192,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], 8 * BLOCK_CHARS):
+            for a, b in slices([len(t) for t in texts], 4 * BLOCK_CHARS):
                 raw = [x + end for x in enc.encode(texts[a:b])]
                 counts = np.array([len(x) // 4 for x in raw], np.int64)
                 ends = np.cumsum(counts)
@@ -159,8 +203,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.repartitionByRange(n, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     rows.select("doc_id", "text").mapInArrow(run, schema).write.options(**WRITE).parquet(path)
 
 
