@@ -130,12 +130,15 @@ INJECTION = f"SELECT role, {_sql_case('conv_id % 9', INJECTED)} AS rule, {_sql_c
 
 
 def input_guard(spark, sf_dir):
-    """The whole guard of a request that follows each conversation; a history is as long as a conversation."""
+    """The whole guard of a request that follows each conversation, of which only the last messages are gathered."""
     c = table(spark, sf_dir, "conversations")
-    history = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("h"))
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    last = c.where("role in ('user', 'assistant') and text is not null").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= fields.MAX_MESSAGES)
+    held = last.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("h"))
+    history = c.groupBy("conv_id").agg(F.count("*").cast("int").alias("total")).join(held, "conv_id", "left")
     asked = F.concat_ws(" ", F.lit("​  mail me at a@b.co"), _case(F.col("conv_id") % 9, [(n, w) for n, w, _ in PLANTED]), F.when(F.col("conv_id") % 9 == 8, F.repeat(F.lit("long "), 2000)))
-    g = history.select("conv_id", fields.guard_input(asked, F.col("h")).alias("g"))
-    return g.select("conv_id", F.col("g.rule").alias("rule"), F.length("g.input").alias("size"), F.size("g.history").alias("kept"), F.col("g.trimmed").alias("trimmed"), F.get(F.filter("g.sensitive", lambda s: s["id"] == "email"), F.lit(0))["n"].alias("emails"))
+    g = history.select("conv_id", "total", fields.guard_input(asked, F.col("h")).alias("g"))
+    return g.select("conv_id", F.col("g.rule").alias("rule"), F.length("g.input").alias("size"), F.size("g.history").alias("kept"), (F.col("total") - F.size("g.history")).alias("trimmed"), F.get(F.filter("g.sensitive", lambda s: s["id"] == "email"), F.lit(0))["n"].alias("emails"))
 
 
 GUARD = f"""WITH m AS (SELECT conv_id, row_number() OVER w AS rn, sum(length(text)) OVER w AS size FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)),

@@ -121,6 +121,7 @@ def _with_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", more).alias("text"))
 
 
+# The patterns of sensitive data once more, as DuckDB writes them.
 PASSWORD = r"(?i)(\b(password|passwd|pwd)|密码)\s*[:=：]\s*\S{4,}"
 KEY = r"\b(?:sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,})\b"
 PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)"
@@ -159,14 +160,45 @@ LANGUAGE_SQL = r"""SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(r
   lambda w: length(w) > 1 AND w <> upper(w))) > len(regexp_extract_all(text, '\p{Han}')) THEN 'en' ELSE 'zh' END AS reply FROM documents"""
 
 
+#: What is put before a question by the remainder of its number, and the terms that it adds.
+ASKED = (
+    ("why did batch B-12 and T-ETCH-07 drop", ("B-12", "T-ETCH-07", "?why", "~down")),
+    ("compare shift A with line B versus last week, how many were lost? and why?", ("#A", "#B", "?amount", "?why")),
+    ("how do three wafers improve at 007 and 12", ("3", "7", "12", "?how", "~up")),
+    ("which action plan should we prioritize for ETCH-RF-DRIFT", ("?which", "ETCH-RF-DRIFT")),
+    ("what is the root cause of B-shift losses, correlated with two tools", ("#B", "2", "?why")),
+    ("x1 and x2 and 12345678901234567 are related", ("X1", "X2", "12345678901234567")),
+    ("plain words", ()),
+)
+
+
+def _asked(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    lead = F.get(F.array(*[F.lit(x) for x, _ in ASKED]), ((F.col("conv_id") * 3 + F.col("turn")) % len(ASKED)).cast("int"))
+    return c.select("conv_id", "turn", F.concat_ws(" ", lead, F.repeat(F.lit("and on "), ((F.col("conv_id") % 3) * 50).cast("int"))).alias("text"))
+
+
 def difficulty_score(spark, sf_dir):
-    d = tx.difficulty(F.col("text"))
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", d.alias("d"))
+    """Score, level and signals of every question, each of which holds what one or more signals look for."""
+    rows = _asked(spark, sf_dir).select("conv_id", "turn", tx.difficulty(F.col("text")).alias("d"))
     return rows.select("conv_id", "turn", "d.score", "d.level", F.array_join("d.signals", ",").alias("signals"))
 
 
 def key_terms(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tx.key_terms(F.col("text")), " ").alias("terms"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.array_join(tx.key_terms(F.col("text")), " ").alias("terms"))
+
+
+_ASKED_SQL = "(SELECT conv_id, turn, (conv_id * 3 + turn) % 7 AS q, CASE (conv_id * 3 + turn) % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(ASKED)) + " END || ' ' || repeat('and on ', CAST(conv_id % 3 * 50 AS INT)) AS text FROM conversations WHERE role = 'user')"
+KEY_TERMS = "SELECT conv_id, turn, CASE q " + " ".join(f"WHEN {i} THEN '{' '.join(sorted(t))}'" for i, (_, t) in enumerate(ASKED)) + f" END AS terms FROM {_ASKED_SQL}"
+
+
+def _difficulty_sql() -> str:
+    """The signals by their words, in the order of the rules, and their weights."""
+    entities = "CASE q " + " ".join(f"WHEN {i} THEN {sum(not x[0] in '~?' and not x.isdigit() for x in t)}" for i, (_, t) in enumerate(ASKED)) + " END"
+    has = lambda words: f"regexp_matches(text, '(?i)\\b(?:{words})\\b')"
+    tests = (("multi_entity", 2, f"{entities} >= 2"), ("comparison", 2, has("vs\\.?|versus|compar\\w*|differen\\w*|both")), ("causal", 1, has("correlat\\w*|related|root[\\s-]cause|impact\\w*")), ("why", 1, has("why")), ("planning", 1, has("action\\s+plan|prioriti\\w*")), ("very_long_input", 2, "length(text) > 600"), ("long_input", 1, "length(text) > 200 AND length(text) <= 600"), ("multi_question", 1, "len(regexp_extract_all(text, '[?]')) >= 2"))
+    found = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN ('{n}', {w}) END" for n, w, t in tests) + "], lambda x: x IS NOT NULL)"
+    return f"SELECT conv_id, turn, CAST(s AS INT) AS score, CASE WHEN s >= 3 THEN 'complex' ELSE 'simple' END AS level, array_to_string(list_transform(f, lambda x: x[1]), ',') AS signals FROM (SELECT *, coalesce(list_sum(list_transform(f, lambda x: x[2])), 0) AS s FROM (SELECT conv_id, turn, {found} AS f FROM {_ASKED_SQL}))"
 
 
 def chunk_pack(spark, sf_dir):
@@ -287,8 +319,8 @@ SPECIAL = {
     "sensitive_findings": (sensitive_findings, SENSITIVE_SQL),
     "redact": (redacted, REDACT_SQL),
     "language_id": (language_id, LANGUAGE_SQL),
-    "difficulty_score": (difficulty_score, None),
-    "key_terms": (key_terms, None),
+    "difficulty_score": (difficulty_score, _difficulty_sql()),
+    "key_terms": (key_terms, KEY_TERMS),
     "chunk_pack": (chunk_pack, CHUNK_SQL),
     "sanitize": (sanitized, "SELECT doc_id, md5(regexp_replace(text, '[\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{feff}\\x{ad}]', '', 'g')) AS digest FROM documents"),
     "preview": (previews, PREVIEW_SQL),
