@@ -168,3 +168,14 @@ def test_rows_are_told_once(spark):
 def test_terms_of_a_table_with_an_id_named_term(spark):
     docs = spark.createDataFrame([(1, "pump valve"), (2, "pump")], "term int, text string")
     assert [r.term for r in retrieval.top(retrieval.bm25(docs, "valve", "term", "text"), "term", 3).collect()] == [1]
+
+
+def test_messages_of_templates(spark):
+    from tidemill.functions import templates
+
+    exact, patterns = {"a": "A", "b": "B"}, [(r"^wait (\d+) for (.+)$", "{t2} in {1}"), (r"^([a-z]+): (.+)$", "{1} = {t2}")]
+    cases = {"a": "A", "a；b": "A; B", "a、c": "A, c", "c、d": "c、d", "wait 3 for b": "B in 3", "x: wait 2 for a": "x = A in 2", "x: y: wait 2 for a": "x = y = wait 2 for a", "c；wait 1 for a": "c; A in 1", "": ""}
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    got = {r.t: r.x for r in df.select("t", templates.translated(F.col("t"), exact, patterns).alias("x")).collect()}
+    assert got == cases | {None: None}
+    assert one(spark, templates.translated(F.lit("a"), exact, [], 0)) == "A"

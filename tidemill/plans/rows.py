@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import plans, text as tx
+from ..functions import plans, templates, text as tx
 from ..operators import folds, market, rules, runlog
 from ..scratch import shared_path
 from ..sources import stores, versioned
@@ -285,7 +285,26 @@ RESULTS_ONCE = """WITH a AS (SELECT l_orderkey AS run_id, 0 AS result_pos, l_lin
  c AS (SELECT run_id, result_pos, count(*) FILTER (WHERE fresh) AS m, count(DISTINCT flag) FILTER (WHERE fresh) AS flags, min(flag) FILTER (WHERE fresh) AS flag0, string_agg(id || ' | ' || flag, chr(10) ORDER BY n, id) FILTER (WHERE fresh) AS full_, string_agg(id, chr(10) ORDER BY n, id) FILTER (WHERE fresh) AS ids, string_agg(id, ', ' ORDER BY n, id) FILTER (WHERE NOT fresh) AS seen FROM f GROUP BY ALL)
 SELECT run_id, result_pos, concat_ws(chr(10), CASE WHEN m > 1 AND flags = 1 THEN 'same for all rows: flag=' || flag0 || chr(10) || 'id' || chr(10) || ids WHEN m > 0 THEN 'id | flag' || chr(10) || full_ END, CASE WHEN seen IS NOT NULL THEN 'also: ' || seen || ' (listed above)' END) AS text FROM c"""
 
+# -- messages
+
+# A small catalogue, with messages of every kind that it translates, or does not.
+WORDS = {"限流": "rate limited", "密码": "password", "邮箱": "email", "本地不可用": "Local unavailable"}
+PATTERNS = [(r"^输入过长（(\d+) 字）$", "Input too long ({1} characters)"), (r"^([^、]+)×(\d+)$", "{t1} ×{2}"), (r"^(.+)，已自动降级本地$", "{t1}; fell back to local"), (r"^([a-z_]+): (.+)$", "{1}: {t2}")]
+
+
+def template_text(spark, sf_dir):
+    """Messages with the number of every event, in English."""
+    n = _k().cast("string")
+    text = F.when(_k() % 8 == 0, "限流").when(_k() % 8 == 1, F.concat(F.lit("输入过长（"), n, F.lit(" 字）"))).when(_k() % 8 == 2, F.concat(F.lit("限流；输入过长（"), n, F.lit(" 字）"))).when(_k() % 8 == 3, F.concat(F.lit("密码×"), n, F.lit("、邮箱×2")))
+    text = text.when(_k() % 8 == 4, "限流，已自动降级本地").when(_k() % 8 == 5, F.concat(F.lit("aborted: 本地不可用"))).when(_k() % 8 == 6, F.concat(F.lit("odd "), n, F.lit("、odd")))
+    return table(spark, sf_dir, "events").select(E, templates.translated(text, WORDS, PATTERNS).alias("text"))
+
+
+TEMPLATE_TEXT = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'rate limited' WHEN 1 THEN 'Input too long (' || event_id || ' characters)' WHEN 2 THEN 'rate limited; Input too long (' || event_id || ' characters)' WHEN 3 THEN 'password ×' || event_id || ', email ×2'
+ WHEN 4 THEN 'rate limited; fell back to local' WHEN 5 THEN 'aborted: Local unavailable' WHEN 6 THEN 'odd ' || event_id || '、odd' END AS text FROM events"""
+
 ROWS = {
+    "template_text": (template_text, TEMPLATE_TEXT),
     "grounding_check": (grounding_check, GROUNDING),
     "zh_numeral": (zh_numeral, "SELECT event_id, CASE WHEN event_id % 102 BETWEEN 1 AND 99 THEN event_id % 102 END AS n FROM events"),
     "section_split": (section_split, SECTIONS),
