@@ -179,3 +179,10 @@ def test_messages_of_templates(spark):
     got = {r.t: r.x for r in df.select("t", templates.translated(F.col("t"), exact, patterns).alias("x")).collect()}
     assert got == cases | {None: None}
     assert one(spark, templates.translated(F.lit("a"), exact, [], 0)) == "A"
+
+
+def test_minutes_of_parts_of_a_millisecond(spark):
+    now = F.expr("TIMESTAMP '2024-01-15 12:00:00'")
+    cases = {"12:00:00.0004": None, "12:00:00.0005": 1, "12:07:00.000499": 7, "12:07:00.0007": 8, "12:07:00": 7, "11:59:59": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("at", F.concat(F.lit("2024-01-15 "), "t").cast("timestamp"))
+    assert {r.t: r.m for r in df.select("t", fields.minutes_left(F.col("at"), now).alias("m")).collect()} == cases

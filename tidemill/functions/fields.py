@@ -141,8 +141,9 @@ def item_count(n: Column, locale: str) -> Column:
 
 
 def minutes_left(deadline: Column, now: Column) -> Column:
-    """Whole minutes, rounded up; null if the deadline is due."""
-    left = F.ceil((F.unix_millis(deadline) - F.unix_millis(now)) / 60_000)
+    """Whole minutes, rounded up; null if the deadline is due. Times count in milliseconds, to which microseconds are rounded."""
+    at = lambda t: F.round(F.unix_micros(t), -3)
+    left = F.ceil((at(deadline) - at(now)) / 60_000_000)
     return F.when(left > 0, left)
 
 
