@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions import text as tx
 from tidemill.operators import neighbours, postings, retrieval
 
 
@@ -92,3 +93,33 @@ def test_no_row_for_each_document_that_holds_a_term(spark, index):
     assert passed.count() <= 3 * blocks * asked.count() and passed.groupBy("query_id").count().count() == asked.count()
     # only the documents and the queries of each block are dealt
     assert passed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_visits_are_told_by_numbers(spark, tmp_path, monkeypatch):
+    held, own = {}, neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name: held.setdefault(name, own(df, name)))
+    monkeypatch.setattr(neighbours, "STEP", 7)
+    rng = np.random.default_rng(3)
+    v = {i: rng.normal(size=6) for i in range(60)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    neighbours.build(df, str(tmp_path / "v"))
+    # a query that is asked twice with different vectors has the nearest of both
+    asked = df.where("vec_id < 9").unionByName(spark.createDataFrame([(1, v[50].tolist())], "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.id) for r in neighbours.search(spark, str(tmp_path / "v"), asked, 2, "vec_id", "embedding")[0].collect()}
+    assert {(i, i) for i in range(9)} | {(1, 50)} <= got and len({q for q, _ in got}) == 9
+    assert "vector" not in held["first-cells"].columns + held["other-cells"].columns
+
+
+def test_best_partner_within_a_group(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP_SLICE", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], rng.normal(size=4).round(2).tolist()) for i in range(60)] + [(60, "a", [1.0, 2.0]), (61, "a", None), (62, "a", [1.0, None, 0.0, 0.0]), (63, "c", [1.0]), (64, "d", None), (65, "d", [1.0]), (66, None, [1.0]), (67, "e", [1.0, None]), (68, "e", [1.0, 2.0])]
+    rows += [(70 + i, *rows[i][1:]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    # as each pair by itself
+    a = df.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    pairs = df.join(a, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6).alias("sim"))
+    want = {tuple(r) for r in pairs.groupBy("query_id").agg(F.max(F.struct("sim", (-F.col("vec_id")).alias("neg"))).alias("b")).select("query_id", -F.col("b.neg"), "b.sim").collect()}
+    best = neighbours.best_within(df, F.lit(True), "vec_id", "label", "embedding")
+    assert {tuple(r) for r in best.collect()} == want and len(want) == 71
+    assert "hashpartitioning(g" in (plan := best._jdf.queryExecution().executedPlan().toString()) and "slice" in plan
