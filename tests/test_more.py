@@ -186,3 +186,13 @@ def test_minutes_of_parts_of_a_millisecond(spark):
     cases = {"12:00:00.0004": None, "12:00:00.0005": 1, "12:07:00.000499": 7, "12:07:00.0007": 8, "12:07:00": 7, "11:59:59": None}
     df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("at", F.concat(F.lit("2024-01-15 "), "t").cast("timestamp"))
     assert {r.t: r.m for r in df.select("t", fields.minutes_left(F.col("at"), now).alias("m")).collect()} == cases
+
+
+def test_rows_told_once_are_dealt_twice_and_not_joined(spark):
+    rows = [(1, 0, 0, ("a", "x")), (1, 1, 0, ("a", "x")), (1, 1, 1, (None, "x")), (1, 2, 0, (None, "x")), (None, 0, 0, ("a", "x")), (None, 3, 0, ("a", "x")), (2, 1, 0, ("a", "x")), (2, 1, 1, ("b", None))]
+    df = spark.createDataFrame(rows, "run_id long, result_pos int, row_pos int, row struct<id: string, v: string>")
+    told = plans.told_once(df, ("id", "v"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
+    got = {(r.run_id, r.result_pos): r.text for r in told.collect()}
+    assert set(got) == {(r[0], r[1]) for r in rows} and got[1, 1].endswith("also: a (listed above)") and got[None, 3] == "also: a (listed above)" and "also" not in got[1, 2] + got[2, 1]
