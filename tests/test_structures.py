@@ -68,6 +68,45 @@ def test_trees_deep_broad_and_broken(spark):
     assert got == {k: tuple(v) for k, v in want.items()} and ("circle", "x") not in got
 
 
+def tree_rows():
+    rng = random.Random(8)
+    rows = [("deep", i, i - 1 if i else None, i % 3) for i in range(700)] + [("three", i, (i - 1) // 3 if i and i % 41 else None, i * 7 % 10) for i in range(900)]
+    rows += [(None, i, rng.randrange(500) if i % 9 else None, rng.randint(0, 3)) for i in range(500)]  # far ones, circles and rows below circles
+    rows += [("hub", i, 0 if i else None, -i) for i in range(600)] + [("round", i, (i + 1) % 400, 0) for i in range(400)] + [("round", 400 + i, i, 0) for i in range(300)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("size", [40, 1 << 18])
+def test_trees_over_blocks(spark, monkeypatch, size):
+    """Trees, a hub and circles that reach over many blocks, against plain Python; a chain within blocks takes fewer rounds than its depth asks for."""
+    monkeypatch.setattr(tree, "BLOCK_ROWS", size)
+    steps, jumped = [], tree._jumped
+    monkeypatch.setattr(tree, "_jumped", lambda *a: steps.append(1) or jumped(*a))
+    rows, want = tree_rows(), {}
+    for run in {r[0] for r in rows}:
+        own = {i: (up, at) for r, i, up, at in rows if r == run}
+        below = {}
+        for i, (up, at) in own.items():
+            below.setdefault(up, []).append((at, i))
+        stack, order = [(0, i) for _, i in sorted(below.get(None, []), reverse=True)], []
+        while stack:
+            depth, i = stack.pop()
+            order.append(i)
+            want[run, i] = [depth, 1, len(order)]
+            stack += [(depth + 1, j) for _, j in sorted(below.get(i, []), reverse=True)]
+        for i in reversed(order):
+            if own[i][0] is not None:
+                want[run, own[i][0]][1] += want[run, i][1]
+    df = spark.createDataFrame(rows, "run_id string, span_id long, parent_id long, started_at int")
+    got = tree.walk(df, "started_at").collect()
+    assert len(got) == len(want) and {(r.run, r.id): [r.depth, r["size"], r.pos] for r in got} == want and not any(r.run == "round" for r in got)
+    steps.clear()
+    chain = spark.createDataFrame([r for r in rows if r[0] == "deep"], df.schema)
+    assert sorted(r.depth for r in tree.walk(chain, "started_at").collect()) == list(range(700))
+    assert len(steps) <= (0 if size > 700 else 2 * 6)
+
+
 def test_waterfall_of_a_small_trace(spark):
     rows = [("r", "root", None, 1000, 2000, None), ("r", "b", "root", 1500, 2000, 1600), ("r", "a", "root", 1100, 1200, None), ("r", "a1", "a", 1120, 1150, None), ("r", "orphan", "gone", 1900, None, None)]
     spans = spark.createDataFrame(rows, "run_id string, span_id string, parent_id string, started_at long, ended_at long, first_token_at long")
