@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -454,6 +455,31 @@ def test_decontamination_of_long_items(spark):
     assert abs(index.matches([text])[0][2] - shared / (2 * size - shared)) < 1e-12
 
 
+def test_token_file_encoder_in_small_caches(monkeypatch):
+    """Ids against the library's of whole texts, with caches that overflow, hashes that clash, and every new piece in one call of the model."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(6)
+    signs = ["a", "b", "xyz", "é", "ü", "語", "😀", " ", "  ", "\n", "\t", "'s", "'ll", "12", "!?", "\x00", "\u0120", "\u00a0", "\ufffd", "the", " the", "ing"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "x" * 5000, "ab " * 700]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    for pieces, clash in ((500_000, False), (60, False), (500_000, True), (60, True)):
+        monkeypatch.setattr(tokenfile, "CACHE_PIECES", pieces)
+        monkeypatch.setattr(tokenfile, "BLOCK_CHARS", 300)
+        mix = tokenfile.wordhash.mix
+        with monkeypatch.context() as m:
+            if clash:
+                m.setattr(tokenfile.wordhash, "mix", lambda x: mix(x) & np.uint64(0xF << 60))
+            enc, learnt = tokenfile.LibraryEncoder(path), []
+            learn = enc.learn
+            enc.learn = lambda code, starts, sizes: learnt.append(len(starts)) or learn(code, starts, sizes)
+            assert enc.encode(texts) == want and len(enc.pieces) <= pieces + 300
+            first = sum(learnt)
+            assert enc.encode(texts) == want and (pieces < 100 or clash or sum(learnt) == first)
+
+
 def test_token_file_with_added_tokens(spark, tmp_path):
     """Against the library as it comes: the content of an added token is that token, wherever it stands."""
     from tokenizers import Tokenizer

@@ -5,7 +5,7 @@ earlier documents of that file), ``n_tokens`` (with the end id) and ``tokens`` (
 so bit-packed; the other columns are delta-encoded (format version 2). Row groups and pages are kept small enough for the
 page index to skip: a few documents, or the metadata of all, can be read without the rest.
 
-Every distinct piece of a block is encoded by the tokenizers library, many in one call; texts are put together from
+Every distinct piece of a block is encoded by the model of the tokenizers library, many in one call; texts are put together from
 these, as byte-level BPE never merges across pieces (``pretoken``). Texts that hold an added token's content, which may
 reach over pieces, are encoded by the library whole.
 """
@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from . import pretoken, wordhash
 from .common import scratch, slices
 
-#: Distinct pieces whose ids a worker keeps, twice; then those not used since go. Bounds memory only, never results.
-CACHE_PIECES = 250_000
+#: Distinct pieces whose ids a worker keeps, their characters, and slots to find them; then those not found again since go. Bounds memory only, never results.
+CACHE_PIECES, CACHE_CHARS, SLOT_BITS = 500_000, 16_000_000, 21
 BLOCK_CHARS = 500_000
 SCHEMA = "doc_id long, part int, row_start long, n_tokens int, tokens array<int>"
 WRITE = {
@@ -42,20 +42,103 @@ WRITE = {
 }
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _written(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` from place n on, in a larger array if there is no room."""
+    if n + len(more) > len(held):
+        held = np.concatenate((held[:n], np.zeros(max(n, len(more)), held.dtype)))
+    held[n : n + len(more)] = more
+    return held
+
+
+class Pieces:
+    """Pieces and their ids in arrays, found by a 64-bit hash with open addressing; a piece found is compared character by character."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot, self.n, self.n_chars, self.n_ids = np.full(1 << SLOT_BITS, -1, np.int32), 0, 0, 0
+        self.hash, self.used = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.chars, self.char_start, self.char_size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.id_start, self.id_size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray, code: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entry of each piece (a span of ``code``): -1 if its hash is not there, -2 if the hash is that of another piece."""
+        out = np.full(len(hashes), -1, np.int64)
+        at, left = self._first(hashes), np.arange(len(hashes) if len(self) else 0)
+        while left.size:
+            entry = self.slot[at[left]]
+            hit = (entry >= 0) & (self.hash[entry] == hashes[left])
+            out[left[hit]] = entry[hit]
+            left = left[(entry >= 0) & ~hit]
+            at[left] = (at[left] + 1) & ((1 << SLOT_BITS) - 1)
+        held = np.flatnonzero(out >= 0)
+        same = self.char_size[out[held]] == sizes[held]
+        out[held[~same]] = -2
+        held = held[same]
+        if held.size:
+            n = sizes[held]
+            other = self.chars[_spans(self.char_start[out[held]], n)] != code[_spans(starts[held], n)]
+            if other.any():
+                out[held[np.logical_or.reduceat(other, np.cumsum(n) - n)]] = -2
+        return out
+
+    def add(self, hashes: np.ndarray, code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """New entries, after all others; the hash of each finds one of those that have it."""
+        base = self.n
+        self.char_start = _written(self.char_start, base, self.n_chars + np.cumsum(sizes) - sizes)
+        self.id_start = _written(self.id_start, base, self.n_ids + np.cumsum(counts) - counts)
+        self.char_size, self.id_size = _written(self.char_size, base, sizes), _written(self.id_size, base, counts)
+        self.chars, self.ids = _written(self.chars, self.n_chars, code[_spans(starts, sizes)]), _written(self.ids, self.n_ids, ids)
+        self.hash, self.used = _written(self.hash, base, hashes), _written(self.used, base, np.zeros(len(hashes), bool))
+        self.n, self.n_chars, self.n_ids = base + len(hashes), self.n_chars + int(sizes.sum()), self.n_ids + len(ids)
+        self._settle(base)
+        return np.arange(base, self.n)
+
+    def _settle(self, base: int) -> None:
+        at, left = self._first(self.hash[base : self.n]), np.arange(self.n - base)
+        while left.size:
+            free = left[self.slot[at[left]] < 0]
+            self.slot[at[free]] = base + free  # of several, one gets it
+            left = left[self.slot[at[left]] != base + left]
+            at[left] = (at[left] + 1) & ((1 << SLOT_BITS) - 1)
+
+    def trim(self) -> None:
+        """Beyond the bounds, what was found since the last time is kept, or nothing if that is more than half."""
+        if self.n <= CACHE_PIECES and self.n_chars <= CACHE_CHARS:
+            return
+        kept = np.flatnonzero(self.used[: self.n])
+        if 2 * len(kept) > CACHE_PIECES or 2 * self.char_size[kept].sum() > CACHE_CHARS:
+            return self.clear()
+        held = self.hash[kept], self.chars, self.char_start[kept], self.char_size[kept], self.ids[_spans(self.id_start[kept], self.id_size[kept])], self.id_size[kept]
+        self.clear()
+        self.add(*held)
+        self.used[:] = False
+
+
 class LibraryEncoder:
     """Encodes texts by a tokenizers file, adding no special tokens; keeps the ids of pieces it has seen."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
-        #: For pieces of texts without added tokens, which pieces put together by ``learn`` are not to make either.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         own = self.tokenizer.pre_tokenizer
         self.by_piece = isinstance(own, ByteLevel) and not own.add_prefix_space and own.use_regex and self.tokenizer.normalizer is None
         if self.by_piece:
@@ -66,27 +149,31 @@ class LibraryEncoder:
             self.width = np.ones(max(names.values()) + 1, np.int64)
             for name, i in names.items():
                 self.width[i] = len(name)  # one character of a name stands for one byte
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, new: set[str]) -> None:
-        """Pieces that begin with a blank stay apart when joined, so one call takes many; the others go one by one."""
-        seen = self.seen
-        joined = [p for p in new if len(p) > 1 and p[0] == " " and not p.isspace()]
-        parts = [joined[a:b] for a, b in slices(list(map(len, joined)), 20_000)]
-        # offsets are not needed, so the faster call does; its ids are the same
-        for part, found in zip(parts, self.plain.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            at = np.cumsum(self.width[ids])
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "replace")) for p in part])
-            cuts = np.searchsorted(at, ends) + 1
-            if cuts[-1] != len(ids) or not np.array_equal(at[cuts - 1], ends):
-                raise ValueError("a token reaches over a piece: this vocabulary is not a byte-level one")
-            raw, stops = ids.tobytes(), (4 * cuts).tolist()
-            seen.update(zip(part, [raw[i:j] for i, j in zip([0, *stops], stops)]))
-        rest = list(new.difference(joined))
-        for piece, found in zip(rest, self.plain.encode_batch_fast(rest, add_special_tokens=False)):
-            seen[piece] = np.array(found.ids, "<u4").tobytes()
+            #: The library's model alone, for pieces that are written in the alphabet already, with blanks between.
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = CharDelimiterSplit(" ")
+            self.letters = byte_letters()
+        self.pieces = Pieces()
+
+    def learn(self, code: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces (spans of ``code``) one after the other, and how many each has; one call of the library takes all."""
+        chars = code[_spans(starts, sizes)]
+        raw = np.frombuffer(chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"), np.uint8)
+        width = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+        width[(chars >= 0xD800) & (chars < 0xE000)] = 1  # half of a pair: a question mark
+        ends = np.cumsum(np.add.reduceat(width, np.cumsum(sizes) - sizes))
+        letters = np.full(len(raw) + len(ends), 32, "<u2")
+        letters[np.arange(len(raw)) + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))] = self.letters[raw]
+        written = letters.tobytes().decode("utf-16-le")
+        stops = ends + np.arange(len(ends))  # of each piece, the blank after it
+        cuts = [*stops[:-1][np.diff(stops // 20_000) > 0].tolist(), int(stops[-1])]
+        found = self.model.encode_batch_fast([written[a:b] for a, b in zip([0, *[c + 1 for c in cuts]], cuts)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
+        at = np.cumsum(self.width[ids])
+        cuts = np.searchsorted(at, ends) + 1
+        if cuts[-1] != len(ids) or not np.array_equal(at[cuts - 1], ends):
+            raise ValueError("the ids of a piece do not spell it: this vocabulary is not a byte-level one")
+        return ids, np.diff(cuts, prepend=0)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
@@ -106,47 +193,41 @@ class LibraryEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, of which those not known yet are learnt. What was used lately is kept when the others go."""
-        seen, older = self.seen, self.older
-        out = list(map(seen.get, pieces))
-        missing = [i for i, x in enumerate(out) if x is None]
-        if missing:
-            wanted = [pieces[i] for i in missing]
-            again = [p for p in wanted if p in older]
-            seen.update([(p, older[p]) for p in again])
-            if len(again) < len(wanted):
-                self.learn(set(wanted).difference(again))
-            for i, p in zip(missing, wanted):
-                out[i] = seen[p]
-        if len(seen) > CACHE_PIECES:
-            self.seen, self.older = {}, seen
-        return out
-
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         """Of texts without added tokens: each distinct piece of a block is looked up once, and ids are put together by array operations."""
         out: list[bytes] = []
+        held = self.pieces
         for a, b in slices([len(t) for t in texts], BLOCK_CHARS):
             joined, bounds, index = pretoken.piece_bounds(texts[a:b])
             if len(bounds) < 2:
                 out += [b""] * (b - a)
                 continue
-            first, place = distinct_pieces(joined, bounds)
-            at = bounds.tolist()
-            raw = self.ids_of([joined[at[i] : at[i + 1]] for i in first.tolist()])
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            start = np.cumsum(size) - size
+            first, place, hashes, code = distinct_pieces(joined, bounds)
+            starts, size = bounds[first], np.diff(bounds)[first]
+            entry = held.find(hashes, code, starts, size)
+            held.used[entry[entry >= 0]] = True
+            new = np.flatnonzero(entry < 0)
+            if new.size:
+                entry[new] = held.add(hashes[new], code, starts[new], size[new], *self.learn(code, starts[new], size[new]))
+            size = held.id_size[entry]
+            ids = held.ids[_spans(held.id_start[entry], size)]
+            held.trim()
             sizes = size[place]
             ends = np.cumsum(sizes)
-            every = ids[np.repeat(start[place] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            every = ids[_spans((np.cumsum(size) - size)[place], sizes)]
             cuts = np.concatenate(([0], ends))[index].tolist()
             out += [every[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
         return out
 
 
-def distinct_pieces(joined: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the first piece of each kind, and for each piece which kind it is. Pieces of one 64-bit hash are compared character by character."""
+def byte_letters() -> np.ndarray:
+    """The letter of each byte in the byte-level alphabet: visible ones of Latin-1 stand for themselves, the others come from 256 on."""
+    visible = np.isin(np.arange(256), [*range(33, 127), *range(161, 173), *range(174, 256)])
+    return np.where(visible, np.arange(256), 255 + np.cumsum(~visible)).astype("<u2")
+
+
+def distinct_pieces(joined: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of the first piece of each kind, for each piece which kind it is, the hash of each kind, and the code points. Pieces of one 64-bit hash are compared character by character."""
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     powers, inverse = wordhash._powers(max(18, (len(code) + 1).bit_length()))
     total = np.zeros(len(code) + 1, np.uint64)
@@ -164,7 +245,7 @@ def distinct_pieces(joined: str, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         at = bounds.tolist()
         place = np.array([held.setdefault(joined[i:j], len(held)) for i, j in zip(at, at[1:])])
         first = np.unique(place, return_index=True)[1]
-    return first, place
+    return first, place, hashes[first], code
 
 
 @functools.cache
